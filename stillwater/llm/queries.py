@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import exact_dedup, html_extract, mixing, quality, sharding, token_file, warc
+from . import decontaminate, exact_dedup, html_extract, mixing, quality, sharding, token_file, warc
 from .common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -44,6 +44,11 @@ def op8_factorisation_machine(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op10_simhash_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = decontaminate.matches(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+    return found.drop("key")
+
+
 QUERIES: dict[str, Query] = {
     f.__name__: f
     for f in (
@@ -54,6 +59,7 @@ QUERIES: dict[str, Query] = {
         op6_hash_thresholds,
         op7_content_sort,
         op8_factorisation_machine,
+        op10_simhash_windows,
     )
 }
 
