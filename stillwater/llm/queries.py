@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontaminate, exact_dedup, html_extract, mixing, quality, sharding, token_file, warc
+from . import decontaminate, exact_dedup, html_extract, mixing, quality, sharding, similarity_join, token_file, warc
 from .common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -32,6 +32,10 @@ def op4_tree_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
     return html_extract.extract(table(spark, sf_dir, "pages"))
 
 
+def op5_chosen_path(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return similarity_join.similarity_classes(table(spark, sf_dir, "documents"))
+
+
 def op6_hash_thresholds(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(table(spark, sf_dir, "documents"))
 
@@ -56,6 +60,7 @@ QUERIES: dict[str, Query] = {
         op2_re_pair,
         op3_bounded_ring,
         op4_tree_scoring,
+        op5_chosen_path,
         op6_hash_thresholds,
         op7_content_sort,
         op8_factorisation_machine,
