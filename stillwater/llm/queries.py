@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontaminate, exact_dedup, html_extract, mixing, quality, sharding, similarity_join, token_file, warc
+from . import decontaminate, exact_dedup, html_extract, markov_lm, mixing, quality, sharding, similarity_join, token_file, warc
 from .common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -48,6 +48,10 @@ def op8_factorisation_machine(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op9_hidden_markov(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return markov_lm.score_documents(table(spark, sf_dir, "documents"))
+
+
 def op10_simhash_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = decontaminate.matches(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
     return found.drop("key")
@@ -64,6 +68,7 @@ QUERIES: dict[str, Query] = {
         op6_hash_thresholds,
         op7_content_sort,
         op8_factorisation_machine,
+        op9_hidden_markov,
         op10_simhash_windows,
     )
 }
