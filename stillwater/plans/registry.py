@@ -26,11 +26,14 @@ def query(name: str, sql: str | None = None):
     return add
 
 
-def scalar(name: str, base: Query, base_sql: str, keys: list[str], columns: dict[str, tuple[Column, str]]) -> None:
-    """Registers a projection of ``base``: each column as a Spark column and as SQL over base_sql."""
-    sql = ", ".join([*keys, *[f"{text} AS {c}" for c, (_, text) in columns.items()]])
+def scalar(
+    name: str, base: Query, base_sql: str, keys: list[str], columns: Callable[[], dict[str, Column]], texts: dict[str, str]
+) -> None:
+    """Registers a projection of ``base``: Spark columns, made when the query runs, and the same as SQL over base_sql."""
+    sql = ", ".join([*keys, *[f"{text} AS {c}" for c, text in texts.items()]])
 
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-        return base(spark, sf_dir).select(*keys, *[column.alias(c) for c, (column, _) in columns.items()])
+        made = columns()
+        return base(spark, sf_dir).select(*keys, *[made[c].alias(c) for c in texts])
 
     query(name, f"SELECT {sql} FROM ({base_sql}) AS base")(run)

@@ -235,15 +235,34 @@ def _coded(spark, sf_dir):
 
 
 _CODED = f"SELECT event_id AS id, {_CODE_SQL}[event_id % 26 + 1] AS code, event_id % 2 = 0 AS created FROM events"
-_SERVICE = from_service_code(F.col("code"), F.lit("m"))
 _STRANGE = "'the service reported \"' || code || '\", which this client does not recognise: m'"
-scalar("window_lost_mapping", _coded, _CODED, ["id"], {
-    "code": (O.window_lost(F.col("code"), F.col("created")), "CASE WHEN code = 'window_not_found' AND created THEN 'target_lost' ELSE code END")})
-scalar("state_after_error", _coded, _CODED, ["id"], {
-    "state": (O.state_after(F.col("code")), f"CASE WHEN code IN {_FATAL} THEN 'failed' ELSE 'ready' END")})
-scalar("from_service_code", _coded, _CODED, ["id"], {
-    "code": (_SERVICE["code"], "CASE WHEN code = 'internal_error' THEN 'service_protocol_error' ELSE code END"),
-    "message": (_SERVICE["message"], f"CASE WHEN code = 'internal_error' THEN {_STRANGE} ELSE 'm' END")})
+scalar(
+    "window_lost_mapping",
+    _coded,
+    _CODED,
+    ["id"],
+    lambda: {"code": O.window_lost(F.col("code"), F.col("created"))},
+    {"code": "CASE WHEN code = 'window_not_found' AND created THEN 'target_lost' ELSE code END"},
+)
+scalar(
+    "state_after_error",
+    _coded,
+    _CODED,
+    ["id"],
+    lambda: {"state": O.state_after(F.col("code"))},
+    {"state": f"CASE WHEN code IN {_FATAL} THEN 'failed' ELSE 'ready' END"},
+)
+scalar(
+    "from_service_code",
+    _coded,
+    _CODED,
+    ["id"],
+    lambda: {c: from_service_code(F.col("code"), F.lit("m"))[c] for c in ("code", "message")},
+    {
+        "code": "CASE WHEN code = 'internal_error' THEN 'service_protocol_error' ELSE code END",
+        "message": f"CASE WHEN code = 'internal_error' THEN {_STRANGE} ELSE 'm' END",
+    },
+)
 
 
 @query("try_get_exclusive", f"""WITH t AS (SELECT event_id AS id, ['ready', 'observing', 'closed', 'failed'][event_id % 4 + 1] AS state FROM events)

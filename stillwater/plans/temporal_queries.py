@@ -118,19 +118,16 @@ scalar(
     ),
     _DEADLINES,
     ["id"],
-    {
-        "deadline": (
-            T.next_deadline(F.col("due"), F.col("now"), F.lit(100)),
-            "CASE WHEN now <= due THEN due ELSE due + 100 * ((now - due) // 100 + 1) END",
-        )
-    },
+    lambda: {"deadline": T.next_deadline(F.col("due"), F.col("now"), F.lit(100))},
+    {"deadline": "CASE WHEN now <= due THEN due ELSE due + 100 * ((now - due) // 100 + 1) END"},
 )
 scalar(
     "ideal_offset",
     lambda spark, d: S.table(spark, d, "events").selectExpr("event_id AS id"),
     "SELECT event_id AS id FROM events",
     ["id"],
-    {"offset_ms": (F.col("id") % 8 * 50, "id % 8 * 50")},
+    lambda: {"offset_ms": F.col("id") % 8 * 50},
+    {"offset_ms": "id % 8 * 50"},
 )
 
 _DURATIONS = """SELECT user_id AS session_id, (list(CAST(round(value) AS BIGINT) ORDER BY ts, event_id))[1:5] AS d
@@ -189,14 +186,14 @@ scalar(
     _options,
     _OPT,
     ["id"],
-    {
-        "status": (
-            F.when((F.col("interval_ms") <= 0) | (F.col("timeout_ms") <= 0) | (F.col("stable_ms") <= 0), "invalid_duration")
+    lambda: {
+        "status": F.when((F.col("interval_ms") <= 0) | (F.col("timeout_ms") <= 0) | (F.col("stable_ms") <= 0), "invalid_duration")
             .when(~F.col("area").between(0.0, 1.0), "invalid_arguments")
-            .otherwise("ok"),
-            "CASE WHEN interval_ms <= 0 OR timeout_ms <= 0 OR stable_ms <= 0 THEN 'invalid_duration' "
-            "WHEN area < 0 OR area > 1 THEN 'invalid_arguments' ELSE 'ok' END",
-        )
+            .otherwise("ok")
+    },
+    {
+        "status": "CASE WHEN interval_ms <= 0 OR timeout_ms <= 0 OR stable_ms <= 0 THEN 'invalid_duration' "
+            "WHEN area < 0 OR area > 1 THEN 'invalid_arguments' ELSE 'ok' END"
     },
 )
 scalar(
@@ -204,14 +201,14 @@ scalar(
     _options,
     _OPT,
     ["id"],
-    {
-        "status": (
-            F.when(~F.col("frames").between(1, 8), "invalid_arguments")
+    lambda: {
+        "status": F.when(~F.col("frames").between(1, 8), "invalid_arguments")
             .when((F.col("timeout_ms") <= 0) | ((F.col("frames") > 1) & (F.col("interval_ms") <= 0)), "invalid_duration")
-            .otherwise("ok"),
-            "CASE WHEN frames < 1 OR frames > 8 THEN 'invalid_arguments' WHEN timeout_ms <= 0 OR frames > 1 AND interval_ms <= 0 "
-            "THEN 'invalid_duration' ELSE 'ok' END",
-        )
+            .otherwise("ok")
+    },
+    {
+        "status": "CASE WHEN frames < 1 OR frames > 8 THEN 'invalid_arguments' WHEN timeout_ms <= 0 OR frames > 1 AND interval_ms <= 0 "
+            "THEN 'invalid_duration' ELSE 'ok' END"
     },
 )
 
@@ -245,10 +242,10 @@ scalar(
     _options,
     _OPT,
     ["id"],
+    lambda: {
+        "status": F.when(F.col("frames") == 0, "observation_failed").otherwise("ok")
+    },
     {
-        "status": (
-            F.when(F.col("frames") == 0, "observation_failed").otherwise("ok"),
-            "CASE WHEN frames = 0 THEN 'observation_failed' ELSE 'ok' END",
-        )
+        "status": "CASE WHEN frames = 0 THEN 'observation_failed' ELSE 'ok' END"
     },
 )
