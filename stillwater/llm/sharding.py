@@ -90,7 +90,8 @@ def shard_rows(
 
     With epsilon 0 counts of rows are at most one apart. Null keys hash alike and spread clockwise once
     their shard is full, as do repeated rows; which of fully equal rows gets which place is left open.
-    Empty table: no rows. Columns named shard or slot are replaced.
+    Rows are ordered by key and content, whatever partitions they come in. Empty table: no rows. Columns named
+    shard or slot are replaced.
     """
     spark = df.sparkSession
     names = [c for c in (carry or df.columns) if c not in ("shard", "slot")]
@@ -105,12 +106,12 @@ def shard_rows(
         *[F.col(f"`{c}`") for c in names],
         F.shiftrightunsigned(key, 48).cast("int").alias("__at"),
         key.alias("__key"),
-        F.xxhash64(F.monotonically_increasing_id()).alias("__tie"),
+        F.xxhash64(*[F.col(f"`{c}`") for c in names]).alias("__tie"),
     )
     rows = rows.join(F.broadcast(arc_of), "__at").withColumn(
         "__cell", F.pmod(F.xxhash64("__key", "__tie"), F.lit(CELLS)).cast("int")
     )
-    rows = written(rows, "ring")  # ties are settled here once, for the counts and the ranks alike
+    rows = written(rows, "ring")  # read once, for the counts and the ranks alike
     counts = {(r[0], r[1]): r[2] for r in rows.groupBy("__arc", "__cell").count().collect()}
     places = plan(counts, points_at, capacities(sum(counts.values()), shards, epsilon))
     kinds = {"__arc": pa.int32(), "__cell": pa.int32(), "__low": pa.int64(), "__high": pa.int64()}
