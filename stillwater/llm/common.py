@@ -14,12 +14,19 @@ WORD = rf"[^{SPACE}]+"
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors see: spark.checkpoint.dir, or a local one of our own where it is unset."""
+    """A new folder, as a full URI, in the one all executors see: spark.checkpoint.dir, or ours where it is unset.
+
+    What operators write there belongs to one run and may be removed after it.
+    """
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
         base = "/tmp/checkpoints"
         spark.sparkContext.setCheckpointDir(base)
-    return f"{base.rstrip('/')}/stillwater-{uuid.uuid4().hex}"
+    path = spark._jvm.org.apache.hadoop.fs.Path(base)
+    base = path.getFileSystem(spark._jsc.hadoopConfiguration()).makeQualified(path).toString().rstrip("/")
+    if base.startswith("file:/") and not base.startswith("file://"):
+        base = base.replace("file:/", "file:///", 1)
+    return f"{base}/stillwater-{uuid.uuid4().hex}"
 
 
 def written(df: DataFrame, name: str) -> DataFrame:

@@ -232,6 +232,5 @@ def read_records(selected: DataFrame, with_payload: bool = True) -> DataFrame:
 def warc_round_trip(df: DataFrame) -> DataFrame:
     """Every row of ``df`` (page_id, url, html) written to archives and read back, without the payloads."""
     base = shared_dir(df.sparkSession)
-    base = base if "://" in base or base.startswith("file:") else f"file://{base}"
     index = write_archives(df, f"{base}/warc")
     return read_records(index, with_payload=False).drop("payload")
