@@ -15,7 +15,9 @@ from __future__ import annotations
 import os
 import re
 import struct
+import sys
 import zlib
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -32,57 +34,93 @@ SHARD_IDS = 1 << 20
 #: First nonterminal; symbols are 16 bits, so a shard has up to 2**16 less this many rules.
 FIRST_RULE = 50_257
 ROUNDS, RULES_A_ROUND, LEAST_COUNT = 4, 3_500, 8
-#: Pieces of text of which a worker remembers the ids.
-CACHE = 400_000
+#: Pieces of text of which a worker remembers the ids; as many older ones are forgotten together.
+CACHE = 450_000
 
 _MAGIC = b"RPT1"
 _HEAD = struct.Struct("<4sIIQ")
 
 
 class Encoder:
-    """Exact encodings by the tokenizers library, one piece between spaces at a time, remembered.
+    """Exact encodings by the tokenizers library, one piece between white spaces at a time, remembered.
 
-    The byte-level pattern ends every match before a single space that precedes a non-space, so pieces
-    encode independently; texts with longer white space around spaces, or special tokens, go whole.
+    The byte-level pattern ends a match before a single space that precedes a non-space, and around a single
+    line break, so pieces encode independently; a run of letters, and a run of punctuation after it, are matches
+    of their own, which the tokenizer's model encodes without its pipeline. Texts with longer white space go
+    by spaces alone, and those with white space around spaces, or special tokens, go whole.
     """
 
     _whole = re.compile(r" \s|\s $|<\|")
+    _letters = re.compile(r"([^\W\d_]+)([^\w\s]*)")
 
     def __init__(self, path: str):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        model = self.tokenizer.model
-        encode = self.encode_whole
-        marks = {m: model.token_to_id(m) for m in ".,"}
-        space = model.token_to_id("Ġ") is not None
+        tokenize, encode, letters = self.tokenizer.model.tokenize, self.encode_whole, self._letters.fullmatch
+        known = self.tokenizer.get_vocab()
+        # the letters that stand for bytes: printable ones for themselves, the rest from 256 on
+        pack = array if sys.byteorder == "little" else lambda _, ids: np.array(ids, "<u2")
+        printable = [*range(33, 127), *range(161, 173), *range(174, 256)]
+        rest = [b for b in range(256) if b not in printable]
+        stands = {b: chr(b) for b in printable} | {b: chr(256 + i) for i, b in enumerate(rest)}
+        bytewise = all(c in known for c in stands.values())
 
         class Pieces(dict):
+            """Ids of a piece after ``lead``."""
+
+            def __init__(self, lead: str):
+                self.lead, self.mark, self.older = lead, stands[32] if lead else "", {}
+
             def __missing__(self, piece: str) -> bytes:
                 if len(self) >= CACHE:
+                    self.older = dict(self)
                     self.clear()
-                if space and piece.isascii() and piece.isalpha():
-                    ids = [t.id for t in model.tokenize("Ġ" + piece)]
-                    out = np.array(ids, "<u2").tobytes()
-                elif len(piece) > 1 and piece[-1] in marks and piece[:-1].isalpha():
-                    out = self[piece[:-1]] + struct.pack("<H", marks[piece[-1]])
+                if (out := self.older.get(piece)) is not None:
+                    self[piece] = out
+                    return out
+                m = letters(piece) if bytewise and (piece.isascii() or max(piece) < "\u0250") else None
+                if m and m[2]:
+                    out = self[m[1]] + marks[m[2]]
+                elif m:
+                    text = piece if piece.isascii() else "".join(map(stands.__getitem__, piece.encode()))
+                    out = pack("H", [t.id for t in tokenize(self.mark + text)]).tobytes()
                 else:
-                    out = encode(" " + piece)
+                    out = encode(self.lead + piece)
                 self[piece] = out
                 return out
 
-        self.pieces = Pieces()
+        class Marks(dict):
+            def __missing__(self, run: str) -> bytes:
+                if len(self) >= CACHE:
+                    self.clear()
+                out = self[run] = encode(run)
+                return out
+
+        marks = Marks()
+        self.spaced, self.bare, self.line = Pieces(" "), Pieces(""), encode("\n")
 
     def encode_whole(self, text: str) -> bytes:
         return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u2").tobytes()
 
-    def __call__(self, text: str) -> bytes:
-        """The ids of ``text`` as little-endian 16-bit integers."""
+    def _by_spaces(self, text: str) -> bytes:
         if self._whole.search(text):
             return self.encode_whole(text)
         first, *rest = text.split(" ")
-        return self.encode_whole(first) + b"".join(map(self.pieces.__getitem__, rest))
+        return self.encode_whole(first) + b"".join(map(self.spaced.__getitem__, rest))
+
+    def __call__(self, text: str) -> bytes:
+        """The ids of ``text`` as little-endian 16-bit integers."""
+        if "<|" in text:
+            return self.encode_whole(text)
+        spaced, bare, out = self.spaced.__getitem__, self.bare.__getitem__, []
+        for line in text.split("\n"):
+            first, *rest = line.split(" ")
+            if not first or "" in rest:  # white space beside a space or line break
+                return self._by_spaces(text)
+            out.append(bare(first) + b"".join(map(spaced, rest)))
+        return self.line.join(out)
 
 
 def re_pair(ids: np.ndarray, starts: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -293,5 +331,4 @@ def read_shards(shards: DataFrame) -> DataFrame:
 def token_round_trip(df: DataFrame, tokenizer: str, end_id: int = 0) -> DataFrame:
     """Every document written to shards and decoded from them."""
     base = shared_dir(df.sparkSession)
-    base = base if "://" in base or base.startswith("file:") else f"file://{base}"
     return read_shards(write_shards(df, f"{base}/tokens", tokenizer, end_id=end_id))
