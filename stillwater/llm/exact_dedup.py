@@ -1,7 +1,8 @@
 """Exact deduplication by content sort.
 
-Sampled splitters range-partition the rows by (normalised bytes, salt); each partition is sorted
-externally, which puts equal contents side by side; one pass compares each row with its neighbour in full.
+Sampled splitters range-partition the rows by (first normalised bytes, digest of all, salt), keys of bounded
+size whatever the texts' length; each partition is sorted externally, which puts equal contents side by side;
+one pass compares each row with its neighbour in full.
 The salt lets a group of copies of any size span as many partitions as it fills: only the first and the
 last run of a partition can continue elsewhere, and those (two a partition at most) are joined up in
 partition order, again by full comparison.
@@ -9,7 +10,6 @@ partition order, again by full comparison.
 
 from __future__ import annotations
 
-import hashlib
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -37,18 +37,19 @@ _ARROW = pa.schema(
     ]
 )
 _FLUSH = 8192
+#: Characters of the normalised text that splitters hold.
+HEAD = 64
 
 
 def _runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Runs of equal contents of a sorted partition. edge: 1 for the first run, 2 the last, 3 both, 0 others."""
     pid = TaskContext.get().partitionId()
     out: list[list] = [[] for _ in _ARROW]
-    norm, ids, cp, seen = None, [], 0, 0
+    norm, digest, ids, cp, seen = None, None, [], 0, 0
 
     def close(last: bool) -> None:
         edge = (1 if seen == 1 else 0) + (2 if last else 0)
         n = len(ids)
-        digest = hashlib.sha256(norm.encode()).hexdigest()
         for column, values in zip(
             out,
             (
@@ -72,14 +73,14 @@ def _runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         return batch
 
     for batch in batches:
-        rows = zip(*(batch.column(k).to_pylist() for k in ("norm", "cp", "doc_id")))
-        for text, length, doc_id in rows:
+        rows = zip(*(batch.column(k).to_pylist() for k in ("norm", "digest", "cp", "doc_id")))
+        for text, sha256, length, doc_id in rows:
             if text != norm:
                 if seen:
                     close(False)
                     if len(out[0]) >= _FLUSH:
                         yield emit()
-                norm, ids, cp, seen = text, [], length, seen + 1
+                norm, digest, ids, cp, seen = text, sha256, [], length, seen + 1
             ids.append(doc_id)
     if seen:
         close(True)
@@ -104,8 +105,9 @@ def exact_dedup(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -
         F.translate("__text", " \t\n\x0b\x0c\r", "").alias("norm"),
         F.xxhash64("doc_id", F.monotonically_increasing_id()).alias("salt"),
     )
-    ranged = rows.repartitionByRange(shuffle_partitions(spark), "norm", "salt").drop("salt")
-    ordered = ranged.sortWithinPartitions("norm", F.desc("cp"), F.asc_nulls_last("doc_id"))
+    rows = rows.withColumns({"head": F.substring("norm", 1, HEAD), "digest": F.sha2(F.encode("norm", "UTF-8"), 256)})
+    ranged = rows.repartitionByRange(shuffle_partitions(spark), "head", "digest", "salt").drop("salt")
+    ordered = ranged.sortWithinPartitions("head", "digest", "norm", F.desc("cp"), F.asc_nulls_last("doc_id"))
     runs = written(ordered.mapInArrow(_runs, _RUNS), "runs")
 
     order = Window.orderBy("pid", "edge")  # over two rows a partition at most
