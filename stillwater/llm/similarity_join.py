@@ -332,7 +332,7 @@ def likely_pairs(classes: DataFrame) -> DataFrame:
 
 
 def _keyed_classes(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """similarity_classes with key, a hash of id and text."""
+    """similarity_classes with key, a hash of id and text, and root, which names the class also where no row has an id."""
     spark = df.sparkSession
     rows = df.select(
         F.col(id_col).cast("long").alias("doc_id"),
@@ -375,7 +375,7 @@ def _keyed_classes(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
     least = of_class.groupBy("root").agg(F.min("least_id").alias("class_id"))
     of_class = written(
         of_class.join(least, "root").select(
-            "set_id", "class_id", (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n_links")
+            "set_id", "root", "class_id", (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n_links")
         ),
         "of_class",
     )
@@ -383,6 +383,7 @@ def _keyed_classes(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
     return out.select(
         "doc_id",
         "key",
+        "root",
         F.coalesce("class_id", "doc_id").alias("class_id"),
         F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"),
     )
@@ -398,7 +399,7 @@ def similarity_classes(df: DataFrame, id_col: str = "doc_id", text_col: str = "t
     on, and is a class id only where a class has no other. Repeated rows link to each other. Empty table: no
     rows. Other columns are ignored.
     """
-    return _keyed_classes(df, id_col, text_col).drop("key")
+    return _keyed_classes(df, id_col, text_col).drop("key", "root")
 
 
 def one_of_each(df: DataFrame) -> DataFrame:
@@ -411,7 +412,7 @@ def one_of_each(df: DataFrame) -> DataFrame:
     names = [F.col(f"`{c}`") for c in df.columns]
     classes = _keyed_classes(df.filter(~wordless), "doc_id", "text")
     first = F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "key")).alias("first")
-    kept = classes.groupBy("class_id").agg(first).select(F.col("first.key").alias("__key"))
+    kept = classes.groupBy("root").agg(first).select(F.col("first.key").alias("__key"))
     keyed = df.filter(~wordless).withColumn("__key", F.xxhash64("doc_id", "text"))
     # the join leaves equal keys together, so the copies go without another shuffle
     stay = keyed.join(kept, "__key", "left_semi").dropDuplicates(["__key"]).select(*names)

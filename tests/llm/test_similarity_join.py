@@ -79,6 +79,13 @@ def test_awkward_rows(spark):
     assert J.similarity_classes(df.limit(0)).count() == 0 and J.one_of_each(df.limit(0)).count() == 0
 
 
+def test_classes_without_ids_stay_apart(spark):
+    texts = ["alpha beta gamma delta epsilon zeta", "one two three four five six", "red green blue black white grey"]
+    rows = [(None, texts[0]), (None, texts[0]), (None, texts[1]), (None, texts[2]), (7, texts[2])]
+    kept = J.one_of_each(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert sorted(map(tuple, kept), key=repr) == sorted([(None, texts[0]), (None, texts[1]), (7, texts[2])], key=repr)
+
+
 def test_components(spark):
     edges = [("a", "b"), ("c", "b"), ("x", "y"), ("z", "y"), ("q", "q")] + [(f"n{i:02}", f"n{i + 1:02}") for i in range(40)]
     got = {r.node: r.root for r in components(spark.createDataFrame(edges, "a string, b string")).collect()}
