@@ -117,7 +117,8 @@ class Encoder:
         spaced, bare, out = self.spaced.__getitem__, self.bare.__getitem__, []
         for line in text.split("\n"):
             first, *rest = line.split(" ")
-            if not first or "" in rest:  # white space beside a space or line break
+            # white space, of any kind, beside a space or line break
+            if not first or "" in rest or first[0].isspace() or line[-1].isspace():
                 return self._by_spaces(text)
             out.append(bare(first) + b"".join(map(spaced, rest)))
         return self.line.join(out)

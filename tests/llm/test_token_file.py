@@ -53,3 +53,11 @@ def test_pieces_encode_as_whole_texts():
     encoder = T.Encoder(PATH)
     for text in ("", " ", "  ", "a  b", "a \n b", "\n\n a", "x.\ny z", "don't I'll 3.5, (a)  ", "é ü.", "a b c", "a <|endoftext|> b", "tab\t end", "end \n"):
         assert encoder(text) == encoder.encode_whole(text), text
+
+
+def test_unicode_space_beside_line_breaks():
+    encoder = T.Encoder(PATH)
+    for space in "\u00a0\u0085\u1680\u2003\u2009\u2028\u202f\u3000\t\r\x0b\x0c\x1c":
+        for text in ("a\n{}\nb", "a\n{} b", "a\n{}", "a{}\nb", "a\n{}b", "{}\na", "a {}\n{} b", "a\n{}{}\n{}b c", "a b{}\n\n{}c"):
+            text = text.replace("{}", space)
+            assert encoder(text) == encoder.encode_whole(text), text
