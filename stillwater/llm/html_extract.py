@@ -1,8 +1,9 @@
 """Main text of HTML pages by tree scoring.
 
-A tolerant pass builds the tree; boilerplate elements (by tag, role or class words) are cut. Each paragraph
-scores points for itself, its commas and its length, and passes them to its ancestors, less the further up.
-Scores are discounted by link density; the best container, and siblings that score near it, are kept whole.
+A tolerant pass builds the tree; boilerplate elements (by tag, role or class words) are cut, but not for class words
+or a form alone if they declare or hold the main text. Each paragraph scores points for itself, its commas and its
+length, and passes them to its ancestors, less the further up. Scores are discounted by link density, and by class
+words; the best container, and siblings that score near it, are kept whole.
 """
 
 from __future__ import annotations
@@ -45,11 +46,11 @@ _ENDS = {
 #: An implied end looks no further up than these.
 _SCOPE = {"table", "ul", "ol", "dl", "td", "th", "article", "section", "div", "body", "html", "select", "main"}
 _CUT_TAGS = set(
-    "head nav footer aside form button select input dialog menu object embed canvas audio video search fieldset".split()
+    "head nav footer aside button select input dialog menu object embed canvas audio video search fieldset".split()
 )
 _CUT_ROLES = {
     "navigation", "banner", "contentinfo", "complementary", "search", "dialog", "alertdialog", "alert", "menu",
-    "menubar", "toolbar", "form", "tablist",
+    "menubar", "toolbar", "tablist",
 }
 _CUT_WORDS = set(
     "nav navbar navigation menu header masthead footer sidebar ad ads advert adverts advertisement advertising "
@@ -58,49 +59,55 @@ _CUT_WORDS = set(
     "related recommended breadcrumb breadcrumbs pagination pager toolbar widget skip copyright".split()
 )
 _WORDS = re.compile(r"[A-Za-z]+")
+#: Factor of the score inside an element with a word of _CUT_WORDS that isn't cut.
+_WORDED = 0.25
 _PARAGRAPH = {"p", "pre", "td", "blockquote", "li", "dd"}
 _HOLDER = {"article", "main"}
 _HEADINGS = {"h1", "h2", "h3", "h4", "h5", "h6"}
 
 
 class _Node:
-    __slots__ = ("tag", "up", "parts", "cut", "main", "score", "size", "linked")
+    __slots__ = ("tag", "up", "parts", "cut", "doubt", "main", "weight", "score", "size", "linked")
 
-    def __init__(self, tag: str, up: _Node | None, cut: bool, main: bool):
-        self.tag, self.up, self.cut, self.main = tag, up, cut, main
+    def __init__(self, tag: str, up: _Node | None, cut: bool, doubt: float | None, main: bool):
+        self.tag, self.up, self.cut, self.doubt, self.main = tag, up, cut, doubt, main
+        self.weight = 1.0
         self.parts: list[_Node | str] = []
         self.score, self.size, self.linked = 0.0, 0, 0
 
 
-def _kind(tag: str, attributes: str, up: _Node) -> tuple[bool, bool]:
-    """Whether an element is cut, and whether it declares itself the main text."""
-    main = tag in _HOLDER
+def _kind(tag: str, attributes: str, up: _Node) -> tuple[bool, float | None, bool]:
+    """Whether an element is cut, its factor of the score if it may be cut (by class words, or a form), and whether it
+    declares itself the main text."""
+    main, doubt = tag in _HOLDER, 1.0 if tag == "form" else None
     if tag in _CUT_TAGS:
-        return True, False
+        return True, None, False
     if tag == "header":
         inside = up
         while inside and not inside.main:
             inside = inside.up
-        return inside is None, False
+        return inside is None, None, False
     if attributes and tag not in ("html", "body"):
         for m in _ATTRIBUTE.finditer(attributes):
             name, value = m[1].lower(), m[2] or m[3] or m[4] or ""
             if name == "role":
                 if value.lower() in _CUT_ROLES:
-                    return True, False
+                    return True, None, False
+                if value.lower() == "form":
+                    doubt = doubt or 1.0
                 main |= value.lower() in ("main", "article")
             elif name == "hidden" or name == "aria-hidden" and value == "true":
-                return True, False
+                return True, None, False
             elif name == "itemprop":
                 main |= value == "articleBody"
             elif name in ("class", "id") and not _CUT_WORDS.isdisjoint(w.lower() for w in _WORDS.findall(value)):
-                return True, False
-    return False, main
+                doubt = _WORDED
+    return False, doubt, main
 
 
 def parse(page: str) -> _Node:
     """The tree of a page, with every text and element in order; unclosed and stray tags are tolerated."""
-    root = here = _Node("#root", None, False, False)
+    root = here = _Node("#root", None, False, None, False)
     at, size, search = 0, len(page), _TOKEN.search
     while at < size:
         m = search(page, at)
@@ -143,8 +150,8 @@ def parse(page: str) -> _Node:
             else:
                 at = size
             continue
-        cut, main = _kind(tag, attributes, here)
-        node = _Node(tag, here, cut, main)
+        cut, doubt, main = _kind(tag, attributes, here)
+        node = _Node(tag, here, cut, doubt, main)
         here.parts.append(node)
         if tag not in _VOID and not attributes.endswith("/"):
             here = node
@@ -153,6 +160,37 @@ def parse(page: str) -> _Node:
     return root
 
 
+def _settle(root: _Node) -> None:
+    """Cuts the elements in doubt, except those that declare or hold the main text: one declared so, or, where none is
+    declared elsewhere, more than half of the page's paragraph text. Inside an article, another is a comment on it."""
+    nodes = _all(root)
+    if all(n.doubt is None for n in nodes):
+        return
+    within = {root: False}  # whether an article is around
+    for node in nodes[1:]:
+        within[node] = within[node.up] or node.up.tag == "article"
+    texts = [
+        (n, len(_own_text(n).strip())) if n.tag in _PARAGRAPH or n.tag in ("div", "form", *_HOLDER) else (n, 0) for n in nodes
+    ]
+    least = 25 if any(size >= 25 for _, size in texts) else 1
+    held = {n: size if size >= least else 0 for n, size in texts}
+    declared = {n: int(n.main) for n in nodes}
+    for node in reversed(nodes[1:]):
+        held[node.up] += held[node]
+        declared[node.up] += declared[node]
+    around = {root: 0}  # declared elements above
+    for node in nodes[1:]:
+        around[node] = around[node.up] + node.up.main
+        node.weight = node.up.weight
+        if node.doubt is not None:
+            spared = node.main or declared[node] and not within[node]
+            alone = declared[node] + around[node] == declared[root]
+            if spared or alone and held[node] * 2 > held[root]:
+                node.weight = min(node.weight, node.doubt)
+            else:
+                node.cut = True
+
+
 def _measure(root: _Node) -> list[_Node]:
     """Sets size and linked (characters, and those in links) of every node that isn't cut; returns them."""
     nodes, stack = [], [root]
@@ -192,6 +230,7 @@ def _own_text(node: _Node) -> str:
 def best_containers(root: _Node) -> list[_Node]:
     """The best container and the siblings kept with it, in page order."""
     scored = []
+    _settle(root)
     for node in _measure(root):
         if node.tag not in _PARAGRAPH and node.tag != "div":
             continue
@@ -209,7 +248,7 @@ def best_containers(root: _Node) -> list[_Node]:
         holders = [n for n in _all(root) if n.main] or [n for n in _all(root) if n.tag == "body"] or [root]
         return holders[:1]
     value = lambda n: n.score * (1 - _density(n))
-    best = max(scored, key=value)
+    best = max(scored, key=lambda n: value(n) * n.weight)
     holder = best
     while holder and not holder.main:
         holder = holder.up
@@ -225,7 +264,9 @@ def best_containers(root: _Node) -> list[_Node]:
         if node.__class__ is str or node.cut:
             continue
         long = node.tag in _HEADINGS or node.tag == "p" and node.size > 80 and _density(node) < 0.25
-        if node is best or node.score and value(node) >= least or long:
+        if node is not best and node.doubt is not None and not node.main:
+            continue
+        if node is best or node.score and value(node) * node.weight >= least * best.weight or long:
             kept.append(node)
     return kept
 

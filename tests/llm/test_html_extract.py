@@ -46,3 +46,20 @@ def test_awkward_rows(spark):
     got = sorted((tuple(r) for r in extract(df).collect()), key=repr)
     assert len(got) == 6 and (None, "v", PARA, len(PARA)) in got and got.count((2, "w", PARA, len(PARA))) == 2
     assert extract(df.limit(0)).count() == 0
+
+
+@pytest.mark.parametrize(
+    "page, text",
+    [
+        (f"<div class=sidebar><p>{PARA}</p></div><article class='post comments-open'><p>{PARA}.</p><p>Short.</p></article>", f"{PARA}.\n\nShort."),
+        (f"<div id=content class='content with-sidebar'><p>{PARA}.</p><p>{PARA}!</p></div><div class=share><p>{PARA}</p></div>", f"{PARA}.\n\n{PARA}!"),
+        (f"<div class='page no-sidebar'><article><p>{PARA}</p></article></div><div class=related><p>{PARA}, {PARA}</p></div>", PARA),
+        (f"<div class='post has-share'><p>{PARA}</p><div class=share>Share this</div></div>", PARA),
+        (f"<body><form action=x><nav>Menu</nav><div><p>{PARA}</p></div><input></form></body>", PARA),
+        (f"<body class=x><div role=main class='no-sidebar'><p>{PARA}</p></div></body>", PARA),
+        (f"<div id=text><p>{PARA}, {PARA}</p></div><div class=comments><p>{PARA}, {PARA}, {PARA}</p></div>", f"{PARA}, {PARA}"),
+        (f"<article><p>{PARA}</p><section class=comments><article class=comment><p>{PARA}</p></article></section></article>", PARA),
+    ],
+)
+def test_class_words_or_a_form_alone_cut_no_article(page, text):
+    assert main_text(page) == text
