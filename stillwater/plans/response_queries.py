@@ -21,7 +21,7 @@ from .session_queries import _NEWEST, _frames
 from .temporal_queries import _SCHEDULE, _comparisons  # registers the SQL that session results build on
 
 _KEYS = ["session_id", "frame_id"]
-_LINES = lambda spark, d: S.embedding_scanlines(spark, d).filter("frame_id <= 3")
+_LINES = S.embedding_scanlines
 _DIGEST = ["format", "bytes", "offset_x", "offset_y", "scale_x", "scale_y"]
 
 
@@ -106,7 +106,7 @@ def to_response(spark, sf_dir):
     """A document a session: images with sizes, and totals."""
     out = prepare_image(_LINES(spark, sf_dir), _KEYS, (8, 8), resize=(4, 4)).drop("data")
     view = F.struct("frame_id", "format", "bytes", F.length("base64").alias("base64_chars"))
-    g = out.groupBy("session_id").agg(F.array_sort(F.collect_list(view)).alias("frames"), F.sum("bytes").alias("bytes"))  # three frames
+    g = out.groupBy("session_id").agg(F.array_sort(F.collect_list(view)).alias("frames"), F.sum("bytes").alias("bytes"))
     return g.select("session_id", F.to_json(F.struct("frames", "bytes")).alias("document"))
 
 
