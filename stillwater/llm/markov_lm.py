@@ -6,8 +6,8 @@ the last one for unknown words. So the states' tables are bounded, and every cou
 
     P(text) = P(class sequence) * product of P(word | its class)
 
-The states start from Baum-Welch on a bounded sample; then every round gathers expected counts from all
-training documents, added up by class across partitions. Counts of words outside a bounded table in the
+The states start at random around the corpus's frequencies; every round gathers expected counts from all training
+documents, added up by class across partitions, until the likelihood gains little. Counts of words outside a bounded table in the
 workers are joined to the documents by a shuffle.
 """
 
@@ -27,8 +27,9 @@ from .common import slices, written
 
 #: Latent states, words with a class of their own, classes by ending (of so many bytes), words in the workers' table.
 STATES, OWN, ENDINGS, ENDING, TABLE = 8, 16_384, 1_024, 3, 131_072
-#: Documents (of up to INIT_TOKENS tokens each) from which states start, and rounds over them and over all.
-INIT_DOCS, INIT_TOKENS, INIT_ROUNDS, ROUNDS = 1_500, 4_000, 15, 2
+#: Rounds over all training documents at least, as the first gain little too, and the gain, as a share of the log
+#: likelihood, below which no more follow.
+ROUNDS, GAIN = 17, 1e-3
 #: Tokens of prior that each state's table has, at the corpus's frequencies; and of each transition.
 PRIOR, STAY = 200.0, 1.0
 #: Distinct words after which a task hands on its counts; tokens worked on side by side.
@@ -203,10 +204,15 @@ class Markov:
 
     def expected(self, ids: list[np.ndarray]):
         """Expected counts (start, step, emit) over sequences."""
+        return self.expected_and_log(ids)[:3]
+
+    def expected_and_log(self, ids: list[np.ndarray]):
+        """Expected counts and the natural log likelihood of all sequences."""
         k, m = len(self.start), len(self.emit)
-        start, step, emit = np.zeros(k), np.zeros((k, k)), np.zeros((m, k))
+        start, step, emit, total = np.zeros(k), np.zeros((k, k)), np.zeros((m, k)), 0.0
         for _, lengths, grid in self.side_by_side(ids):
-            _, alpha, scale, active = self.forward(lengths, grid, keep=True)
+            log, alpha, scale, active = self.forward(lengths, grid, keep=True)
+            total += float(log.sum())
             beta = np.ones((len(lengths), k))
             for t in range(len(grid) - 2, -1, -1):
                 a = active[t + 1]
@@ -220,7 +226,7 @@ class Markov:
             for s in range(k):
                 emit[:, s] += np.bincount(flat, weight[:, s], m)
             start += alpha[0].sum(0)
-        return start, step * self.step, emit
+        return start, step * self.step, emit, total
 
 
 def maximised(start: np.ndarray, step: np.ndarray, emit: np.ndarray, unigram: np.ndarray) -> Markov:
@@ -229,15 +235,12 @@ def maximised(start: np.ndarray, step: np.ndarray, emit: np.ndarray, unigram: np
     return Markov(start / start.sum(), step / step.sum(1, keepdims=True), emit / emit.sum(0))
 
 
-def first_states(ids: list[np.ndarray], unigram: np.ndarray, seed: int = 5) -> Markov:
-    """Baum-Welch on a sample, from seeded random states that tend to stay."""
+def first_states(unigram: np.ndarray, seed: int = 5) -> Markov:
+    """Seeded random states that tend to stay."""
     rng = np.random.default_rng(seed)
     k = STATES
     emit = unigram[:, None] * rng.uniform(0.5, 1.5, (len(unigram), k))
-    model = Markov(np.full(k, 1 / k), np.full((k, k), 0.3 / k) + 0.7 * np.eye(k), emit / emit.sum(0))
-    for _ in range(INIT_ROUNDS if ids else 0):
-        model = maximised(*model.expected(ids), unigram)
-    return model
+    return Markov(np.full(k, 1 / k), np.full((k, k), 0.3 / k) + 0.7 * np.eye(k), emit / emit.sum(0))
 
 
 def _arrays(column) -> list[np.ndarray]:
@@ -247,40 +250,43 @@ def _arrays(column) -> list[np.ndarray]:
 
 
 def _gather(shared):
-    """Expected counts of a partition, a row for each class met; steps and starts as classes -1 - i and -100."""
+    """Expected counts of a partition, a row for each class met; steps, starts and the log likelihood (in the first
+    column) as classes -1 - i, -100 and -200."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model: Markov = shared.value
         k = len(model.start)
-        start, step, emit = np.zeros(k), np.zeros((k, k)), np.zeros_like(model.emit)
+        start, step, emit, log = np.zeros(k), np.zeros((k, k)), np.zeros_like(model.emit), np.zeros(k)
         for batch in batches:
-            got = model.expected(_arrays(batch.column("ids")))
+            got = model.expected_and_log(_arrays(batch.column("ids")))
             start += got[0]
             step += got[1]
             emit += got[2]
+            log[0] += got[3]
         met = np.flatnonzero(emit.sum(1))
-        cls = np.concatenate(([-100], -1 - np.arange(k), met))
-        table = np.concatenate((start[None], step, emit[met]))
+        cls = np.concatenate(([-200, -100], -1 - np.arange(k), met))
+        table = np.concatenate((log[None], start[None], step, emit[met]))
         yield pa.record_batch([pa.array(cls), *[pa.array(table[:, s]) for s in range(k)]], names=["m", *[f"s{s}" for s in range(k)]])
 
     return run
 
 
-def baum_welch(encoded: DataFrame, model: Markov, unigram: np.ndarray) -> Markov:
-    """One round over all rows of ``encoded`` (ids)."""
+def baum_welch(encoded: DataFrame, model: Markov, unigram: np.ndarray) -> tuple[Markov, float]:
+    """One round over all rows of ``encoded`` (ids), and the log likelihood before it."""
     k = len(model.start)
     shared = encoded.sparkSession.sparkContext.broadcast(model)  # classes * STATES numbers
     names = [f"s{s}" for s in range(k)]
     kind = "m long, " + ", ".join(f"{s} double" for s in names)
     rows = encoded.select("ids").mapInArrow(_gather(shared), kind)
     got = rows.groupBy("m").agg(*[F.sum(s).alias(s) for s in names]).toArrow()
+    shared.unpersist()
     m, table = got.column("m").to_numpy(), np.stack([got.column(s).to_numpy() for s in names], 1)
     emit = np.zeros_like(model.emit)
     emit[m[m >= 0]] = table[m >= 0]
     step = np.zeros((k, k))
     low = (m < 0) & (m > -100)
     step[-1 - m[low]] = table[low]
-    return maximised(table[m == -100].sum(0), step, emit, unigram)
+    return maximised(table[m == -100].sum(0), step, emit, unigram), float(table[m == -200].sum())
 
 
 def _score(shared):
@@ -329,12 +335,13 @@ def score_documents(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
     encoded = written(numbered.mapInArrow(_encode(shared), kind), "encoded")
     train = encoded.filter(~F.col("held_out"))
     n = train.count()
-    share = F.pmod(F.xxhash64("rid"), F.lit(1 << 30)) < int(min(1.0, 1.5 * INIT_DOCS / max(1, n)) * (1 << 30))
-    some = train.filter(share & (F.col("n_tokens") <= INIT_TOKENS)).select("ids").limit(INIT_DOCS).toArrow()
-    sample = [a for chunk in some.column("ids").chunks for a in _arrays(chunk)]
-    model = first_states(sample, unigram)
-    for _ in range(ROUNDS if n else 0):
-        model = baum_welch(train, model, unigram)
+    model, last, rounds = first_states(unigram), -np.inf, 0
+    while n:
+        model, log = baum_welch(train, model, unigram)
+        rounds += 1
+        if rounds >= ROUNDS and log - last < GAIN * abs(log):
+            break
+        last = log
 
     denominators = np.log10((lex.class_count + lex.class_words)[lex.own :].astype(float))
     parts = spark.sparkContext.broadcast((model, lex.own, denominators))

@@ -109,3 +109,11 @@ def test_language_model_awkward_rows(spark):
     assert len(rows) == df.count() and all(math.isfinite(r.score) and r.score < 0 for r in rows)
     assert {r.n_tokens for r in rows if r.doc_id in (3, 4, 5)} == {1}
     assert M.score_documents(df.limit(0)).count() == 0
+
+
+def test_language_model_learns_from_all_documents_however_dealt(spark):
+    rng = np.random.default_rng(9)
+    rows = [(i, " ".join(f"w{a}" for a in rng.integers(0, 30, 12) + 30 * (i % 2))) for i in range(2_000)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    one, other = ({r.doc_id: r.score for r in M.score_documents(d).collect()} for d in (df.coalesce(1), df.repartition(4, "text")))
+    assert max(abs(one[i] - other[i]) for i in one) < 1e-6
