@@ -2,9 +2,13 @@
 
 from __future__ import annotations
 
+import atexit
+import contextlib
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+import numpy as np
+import pyarrow.compute as pc
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: The white space of every word and normalisation rule here, as a regular expression class.
@@ -13,20 +17,51 @@ SPACE = r"\x20\x09-\x0D"
 WORD = rf"[^{SPACE}]+"
 
 
+#: Folders that this process has made, with a way to remove each.
+_made: list[tuple[str, object]] = []
+
+
 def shared_dir(spark: SparkSession) -> str:
     """A new folder, as a full URI, in the one all executors see: spark.checkpoint.dir, or ours where it is unset.
 
-    What operators write there belongs to one run and may be removed after it.
+    On a cluster that setting is required. What operators write there belongs to one run: see ``forget``.
     """
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
+        if not spark._jsc.sc().isLocal():
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         base = "/tmp/checkpoints"
         spark.sparkContext.setCheckpointDir(base)
     path = spark._jvm.org.apache.hadoop.fs.Path(base)
     base = path.getFileSystem(spark._jsc.hadoopConfiguration()).makeQualified(path).toString().rstrip("/")
     if base.startswith("file:/") and not base.startswith("file://"):
         base = base.replace("file:/", "file:///", 1)
-    return f"{base}/stillwater-{uuid.uuid4().hex}"
+    made = f"{base}/stillwater-{uuid.uuid4().hex}"
+    jvm, conf = spark._jvm, spark._jsc.hadoopConfiguration()
+
+    def remove() -> None:
+        at = jvm.org.apache.hadoop.fs.Path(made)
+        at.getFileSystem(conf).delete(at, True)
+
+    _made.append((made, remove))
+    return made
+
+
+def marked() -> int:
+    """The folders made so far, to forget later ones."""
+    return len(_made)
+
+
+def forget(since: int = 0) -> None:
+    """Removes the folders made after ``since`` (of ``marked``), once nothing reads them any more; all at exit."""
+    while len(_made) > since:
+        _made.pop()[1]()
+
+
+@atexit.register
+def _at_exit() -> None:
+    with contextlib.suppress(Exception):  # the gateway may be gone
+        forget()
 
 
 def written(df: DataFrame, name: str) -> DataFrame:
@@ -36,6 +71,26 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def columns(df: DataFrame, without: tuple[str, ...] = ()) -> list[Column]:
+    """The columns of ``df``, whatever their names hold, less those of the names ``without`` in any case."""
+    return [F.col("`" + c.replace("`", "``") + "`") for c in df.columns if c.lower() not in without]
+
+
+def free(df: DataFrame, *names: str) -> list[str]:
+    """The names, with as many underscores before them as no column of ``df`` has, in any case."""
+    lead = "__"
+    taken = {c.lower() for c in df.columns}
+    while any(f"{lead}{n}".lower() in taken for n in names):
+        lead += "_"
+    return [f"{lead}{n}" for n in names]
+
+
+def row_key(id_col: str = "doc_id", text_col: str = "text") -> Column:
+    """16 bytes that stand for a row's id and whole text, null apart from anything else."""
+    parts = [F.coalesce(F.concat(F.lit("="), F.col(c).cast("string")), F.lit("")) for c in (id_col, text_col)]
+    return F.unhex(F.md5(F.concat_ws("|", *parts)))
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
@@ -47,6 +102,17 @@ def slices(batches, rows: int = 1_000):
             yield batch.slice(low, rows)
 
 
+def by_bytes(batches, column: str, most: int):
+    """The rows of Arrow batches, as many at a time as hold about ``most`` bytes of a text column, one at least."""
+    for batch in batches:
+        offsets = np.asarray(pc.fill_null(pc.cumulative_sum(pc.fill_null(pc.binary_length(batch.column(column)), 0)), 0))
+        low, held = 0, 0
+        while low < batch.num_rows:
+            high = max(low + 1, int(np.searchsorted(offsets, held + most, "right")))
+            yield batch.slice(low, high - low)
+            low, held = high, int(offsets[high - 1])
+
+
 def shuffle_partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 

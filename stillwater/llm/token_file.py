@@ -2,7 +2,7 @@
 
 Documents in ascending id order are encoded, end id appended, and cut into shards. In each shard frequent
 pairs of ids are replaced by nonterminals, round after round, every pair of a round at all its places that
-don't overlap. A shard stores its rules, the expansion length of each nonterminal and, by document, the
+don't overlap, until none is frequent. A shard stores its rules, the expansion length of each nonterminal and, by document, the
 number of ids and the place in the compressed sequence, so any document, or any stretch of one, is decoded
 without the rest.
 
@@ -12,152 +12,224 @@ sequence places by document, rules (two symbols each), expansion lengths, the se
 
 from __future__ import annotations
 
+import itertools
+import json
 import os
 import re
 import struct
-import sys
 import zlib
-from array import array
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyarrow import fs as pafs
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import shared_dir, shuffle_partitions
+from .common import by_bytes, shared_dir, shuffle_partitions
 
 #: Ids after which a partition starts its next shard; a document is never split.
 SHARD_IDS = 1 << 20
 #: First nonterminal; symbols are 16 bits, so a shard has up to 2**16 less this many rules.
 FIRST_RULE = 50_257
-ROUNDS, RULES_A_ROUND, LEAST_COUNT = 4, 3_500, 8
-#: Pieces of text of which a worker remembers the ids; as many older ones are forgotten together.
-CACHE = 450_000
+#: Occurrences from which a pair is replaced, and pairs that a round replaces at most. A round takes pairs at least a
+#: sixteenth as frequent as its most frequent one, so rarer pairs are counted anew once frequent ones are gone.
+LEAST_COUNT, RULES_A_ROUND, SHARE = 8, 3_500, 16
+#: Pieces of text of which a worker remembers the ids; bytes of text that are encoded side by side.
+CACHE, SIDE = 1_000_000, 8 << 20
 
 _MAGIC = b"RPT1"
 _HEAD = struct.Struct("<4sIIQ")
+_PUNCTUATION = "".join(c for c in map(chr, range(33, 127)) if not c.isalnum())
+
+
+def _stretches(flat: np.ndarray, begin: np.ndarray, length: np.ndarray) -> np.ndarray:
+    """The stretches of ``flat``, one after the other."""
+    ends = np.cumsum(length)
+    return flat[np.repeat(begin - ends + length, length) + np.arange(ends[-1] if len(ends) else 0)]
+
+
+def _flat(ids: list[list[int]]) -> tuple[np.ndarray, np.ndarray]:
+    length = np.fromiter(map(len, ids), np.int64, len(ids))
+    return np.fromiter(itertools.chain.from_iterable(ids), np.uint16, int(length.sum())), length
 
 
 class Encoder:
-    """Exact encodings by the tokenizers library, one piece between white spaces at a time, remembered.
+    """Exact encodings by the tokenizers library; every distinct piece of text is encoded once and remembered.
 
-    The byte-level pattern ends a match before a single space that precedes a non-space, and around a single
-    line break, so pieces encode independently; a run of letters, and a run of punctuation after it, are matches
-    of their own, which the tokenizer's model encodes without its pipeline. Texts with longer white space go
-    by spaces alone, and those with white space around spaces, or special tokens, go whole.
+    The byte-level pattern ends a match before a single space that precedes a non-space, and around a single line
+    break between non-spaces, so texts are cut there. A run of letters, and a run of ASCII punctuation after
+    it, are matches of their own, which the tokenizer's model encodes without its pipeline. Texts with the mark of
+    special tokens, or a tokenizer of another kind, go whole. Pieces are told apart, looked up and put together in
+    arrays; Python meets new runs of letters only.
     """
 
-    _whole = re.compile(r" \s|\s $|<\|")
-    _letters = re.compile(r"([^\W\d_]+)([^\w\s]*)")
+    _cut = re.compile(r" (?=\S)|(?<=\S)\n(?=\S)")
+    #: two white space characters side by side
+    _wide = "[\\x09-\\x0d\\x1c-\\x20\\x{85}\\x{a0}\\x{1680}\\x{2000}-\\x{200a}\\x{2028}\\x{2029}\\x{202f}\\x{205f}\\x{3000}]{2}"
+    #: a run of letters, in the range where all agree on what a letter is, after a space or not
+    _letters = "^ ?[A-Za-z\\x{aa}\\x{b5}\\x{ba}\\x{c0}-\\x{d6}\\x{d8}-\\x{f6}\\x{f8}-\\x{24f}]+$"
 
     def __init__(self, path: str):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        tokenize, encode, letters = self.tokenizer.model.tokenize, self.encode_whole, self._letters.fullmatch
-        known = self.tokenizer.get_vocab()
-        # the letters that stand for bytes: printable ones for themselves, the rest from 256 on
-        pack = array if sys.byteorder == "little" else lambda _, ids: np.array(ids, "<u2")
+        if self.tokenizer.get_vocab_size() > FIRST_RULE:
+            raise ValueError(f"ids from {FIRST_RULE} on are the shards' nonterminals; the vocabulary has more")
+        plan = json.loads(self.tokenizer.to_str())
+        before = plan.get("pre_tokenizer") or {}
+        self.cuts = (
+            before.get("type") == "ByteLevel"
+            and before.get("use_regex", True)
+            and not before.get("add_prefix_space")
+            and not plan.get("normalizer")
+            and not plan.get("truncation")
+        )
+        # the letters that stand for bytes in the vocabulary: printable ones for themselves, the rest from 256 on
         printable = [*range(33, 127), *range(161, 173), *range(174, 256)]
         rest = [b for b in range(256) if b not in printable]
-        stands = {b: chr(b) for b in printable} | {b: chr(256 + i) for i, b in enumerate(rest)}
-        bytewise = all(c in known for c in stands.values())
-
-        class Pieces(dict):
-            """Ids of a piece after ``lead``."""
-
-            def __init__(self, lead: str):
-                self.lead, self.mark, self.older = lead, stands[32] if lead else "", {}
-
-            def __missing__(self, piece: str) -> bytes:
-                if len(self) >= CACHE:
-                    self.older = dict(self)
-                    self.clear()
-                if (out := self.older.get(piece)) is not None:
-                    self[piece] = out
-                    return out
-                m = letters(piece) if bytewise and (piece.isascii() or max(piece) < "\u0250") else None
-                if m and m[2]:
-                    out = self[m[1]] + marks[m[2]]
-                elif m:
-                    text = piece if piece.isascii() else "".join(map(stands.__getitem__, piece.encode()))
-                    out = pack("H", [t.id for t in tokenize(self.mark + text)]).tobytes()
-                else:
-                    out = encode(self.lead + piece)
-                self[piece] = out
-                return out
-
-        class Marks(dict):
-            def __missing__(self, run: str) -> bytes:
-                if len(self) >= CACHE:
-                    self.clear()
-                out = self[run] = encode(run)
-                return out
-
-        marks = Marks()
-        self.spaced, self.bare, self.line = Pieces(" "), Pieces(""), encode("\n")
+        self.stands = {b: chr(b) for b in printable} | {b: chr(256 + i) for i, b in enumerate(rest)}
+        # known pieces; where their ids begin in flat, and how many they are
+        self.known = pa.array([], pa.string())
+        self.begin, self.length, self.flat = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.uint16)
 
     def encode_whole(self, text: str) -> bytes:
         return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u2").tobytes()
 
-    def _by_spaces(self, text: str) -> bytes:
-        if self._whole.search(text):
-            return self.encode_whole(text)
-        first, *rest = text.split(" ")
-        return self.encode_whole(first) + b"".join(map(self.spaced.__getitem__, rest))
+    def _add(self, pieces: pa.Array, flat: np.ndarray, length: np.ndarray) -> np.ndarray:
+        """The places among the known of new pieces, and their ids."""
+        first = len(self.known)
+        self.begin = np.append(self.begin, len(self.flat) + np.cumsum(length) - length)
+        self.length, self.flat = np.append(self.length, length), np.append(self.flat, flat)
+        self.known = pa.concat_arrays([self.known, pieces])
+        return np.arange(first, len(self.known))
+
+    def _places(self, pieces: pa.Array) -> np.ndarray:
+        return pc.fill_null(pc.index_in(pieces, value_set=self.known), -1).to_numpy(zero_copy_only=False).astype(np.int64)
+
+    def _words(self, words: pa.Array) -> np.ndarray:
+        """Places of distinct runs of letters."""
+        at = self._places(words)
+        new = np.flatnonzero(at < 0)
+        tokenize, stands, ids, some = self.tokenizer.model.tokenize, self.stands, [], words.take(pa.array(new))
+        for word in some.to_pylist():
+            if word.isascii():
+                word = stands[32] + word[1:] if word[0] == " " else word
+            else:
+                word = "".join(map(stands.__getitem__, word.encode()))
+            ids.append([t.id for t in tokenize(word)])
+        at[new] = self._add(some, *_flat(ids))
+        return at
+
+    def _learn(self, pieces: pa.Array) -> None:
+        """Adds distinct new pieces: runs of letters with what punctuation follows, and others."""
+        words = pc.utf8_rtrim(pieces, characters=_PUNCTUATION)
+        tail = pc.subtract(pc.binary_length(pieces), pc.binary_length(words)).to_numpy()
+        plain = pc.match_substring_regex(words, self._letters).to_numpy(zero_copy_only=False) & (tail < 8)
+        table = words.filter(pa.array(plain)).dictionary_encode()
+        at = self._words(table.dictionary)[table.indices.to_numpy()]
+        marked = np.flatnonzero(plain & (tail > 0))
+        if len(marked):
+            at, tail = at[tail[plain] > 0], tail[marked]
+            some = pieces.take(pa.array(marked))
+            # the run of punctuation, up to 7 bytes before each piece's end, as a number
+            raw = np.concatenate((np.zeros(8, np.uint8), np.frombuffer(some.buffers()[2], np.uint8)))
+            ends = np.frombuffer(some.buffers()[1], np.int32)[1 : len(some) + 1].astype(np.int64) + 8
+            runs = np.zeros(len(some), np.int64)
+            for k in range(1, 8):
+                runs = np.where(k <= tail, runs * 256 + raw[ends - np.maximum(tail - k + 1, 1)], runs)
+            runs, of = np.unique(runs, return_inverse=True)
+            ids = [self.tokenizer.encode(int(r).to_bytes(8, "big").lstrip(b"\0").decode(), add_special_tokens=False).ids for r in runs]
+            marks, sizes = _flat(ids)
+            places = len(self.flat) + np.cumsum(sizes) - sizes
+            begin, length = (np.stack(c, 1).ravel() for c in ((self.begin[at], places[of]), (self.length[at], sizes[of])))
+            flat = _stretches(np.append(self.flat, marks), begin, length)
+            self._add(some, flat, self.length[at] + sizes[of])
+        others = pieces.filter(pa.array(~plain))
+        if len(others):
+            got = self.tokenizer.encode_batch(others.to_pylist(), add_special_tokens=False)
+            self._add(others, *_flat([g.ids for g in got]))
+
+    def batch(self, texts: pa.Array) -> list[bytes]:
+        """The ids of each text as little-endian 16-bit integers."""
+        texts = pc.fill_null(texts, "")
+        whole = pc.or_(pc.match_substring(texts, "<|"), pc.match_substring(texts, "\0"))
+        if not self.cuts:
+            whole = pa.array(np.ones(len(texts), bool))
+        wide = pc.match_substring_regex(texts, self._wide)
+        plain = pc.replace_substring(pc.replace_substring(texts, " ", "\0 "), "\n", "\0\n\0")
+        odd = np.flatnonzero(np.asarray(pc.or_(whole, wide))).tolist()
+        apart: dict[int, bytes] = {}
+        if odd:
+            cut = plain.to_pylist()
+            for i in odd:
+                text = texts[i].as_py()
+                if whole[i].as_py():
+                    apart[i], cut[i] = self.encode_whole(text), ""
+                else:
+                    cut[i] = self._cut.sub(lambda m: "\0 " if m[0] == " " else "\0\n\0", text)
+            plain = pa.array(cut, pa.string())
+        split = pc.split_pattern(plain, "\0")
+        table = split.flatten().dictionary_encode()
+        pieces, index = table.dictionary, table.indices.to_numpy()
+        at = self._places(pieces)
+        if (at < 0).any():
+            if len(self.known) > CACHE:  # keep those that this batch needs
+                held = at[at >= 0]
+                self.known, flat = self.known.take(pa.array(held)), _stretches(self.flat, self.begin[held], self.length[held])
+                self.flat, self.length = flat, self.length[held]
+                self.begin = np.cumsum(self.length) - self.length
+            self._learn(pieces.filter(pa.array(at < 0)))
+            at = self._places(pieces)
+        at = at[index]
+        sizes = self.length[at]
+        out = _stretches(self.flat, self.begin[at], sizes).astype("<u2").tobytes()
+        ends = np.concatenate(([0], np.cumsum(sizes)))
+        edges = (2 * ends[np.asarray(split.offsets) - split.offsets[0].as_py()]).tolist()
+        return [apart[i] if i in apart else out[a:b] for i, (a, b) in enumerate(zip(edges, edges[1:]))]
 
     def __call__(self, text: str) -> bytes:
-        """The ids of ``text`` as little-endian 16-bit integers."""
-        if "<|" in text:
-            return self.encode_whole(text)
-        spaced, bare, out = self.spaced.__getitem__, self.bare.__getitem__, []
-        for line in text.split("\n"):
-            first, *rest = line.split(" ")
-            # white space, of any kind, beside a space or line break
-            if not first or "" in rest or first[0].isspace() or line[-1].isspace():
-                return self._by_spaces(text)
-            out.append(bare(first) + b"".join(map(spaced, rest)))
-        return self.line.join(out)
+        return self.batch(pa.array([text], pa.string()))[0]
 
 
 def re_pair(ids: np.ndarray, starts: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(rules, sequence, starts in the sequence): pairs never reach over a document's start."""
-    sequence, rules = ids.astype(np.uint32), []
+    """(rules, sequence, starts in the sequence): pairs never reach over a document's start.
+
+    Rounds follow until no pair occurs LEAST_COUNT times or the symbols run out.
+    """
+    sequence, rules, made = ids.astype(np.uint32), [], 0
     barrier = np.zeros(len(sequence) + 1, bool)
     barrier[starts] = True
-    for _ in range(ROUNDS):
-        free = min(RULES_A_ROUND, (1 << 16) - FIRST_RULE - sum(map(len, rules)))
-        if len(sequence) < 2 or free <= 0:
-            break
+    none = np.uint32(0xFFFFFFFF)  # a pair of the last symbol, which comes into being in the last round
+    held, number = np.full(1 << 20, none), np.zeros(1 << 20, np.uint16)
+    while len(sequence) > 1 and made < (1 << 16) - FIRST_RULE:
         pairs = (sequence[:-1] << 16) | sequence[1:]
         inside = ~barrier[1 : len(sequence)]
         ordered = np.sort(pairs[inside])
         cuts = np.flatnonzero(np.concatenate(([True], ordered[1:] != ordered[:-1])))
         counts = np.diff(np.append(cuts, len(ordered)))
-        often = np.flatnonzero(counts >= LEAST_COUNT)
-        if not len(often):
+        if not len(ordered) or counts.max() < LEAST_COUNT:
             break
-        often = often[np.argsort(-counts[often], kind="stable")[:free]]
+        often = np.flatnonzero(counts >= max(LEAST_COUNT, int(counts.max()) // SHARE))
+        often = often[np.argsort(-counts[often], kind="stable")]
         chosen = ordered[cuts[often]]
-        slot = (chosen * np.uint32(2654435761)) >> np.uint32(12)  # one pair a slot: the most frequent
-        _, best = np.unique(slot, return_index=True)
-        chosen = chosen[np.sort(best)]
         slot = (chosen * np.uint32(2654435761)) >> np.uint32(12)
-        held, number = np.zeros(1 << 20, np.uint32), np.zeros(1 << 20, np.uint16)
-        held[slot] = chosen
-        number[slot] = FIRST_RULE + sum(map(len, rules)) + np.arange(len(chosen))
+        _, best = np.unique(slot, return_index=True)  # of pairs in one slot the rarer wait for the next round
+        chosen = chosen[np.sort(best)][: min(RULES_A_ROUND, (1 << 16) - FIRST_RULE - made)]
+        slot = (chosen * np.uint32(2654435761)) >> np.uint32(12)
+        held[slot], number[slot] = chosen, FIRST_RULE + made + np.arange(len(chosen))
         at = (pairs * np.uint32(2654435761)) >> np.uint32(12)
-        found = np.flatnonzero((held[at] == pairs) & (number[at] > 0) & inside)
-        if len(found):  # of touching pairs take every other, from the left
-            run = np.cumsum(np.concatenate(([True], np.diff(found) > 1)))
-            head = found[np.concatenate(([True], np.diff(found) > 1))]
-            found = found[(found - head[run - 1]) % 2 == 0]
+        found = np.flatnonzero((held[at] == pairs) & inside)
+        # of touching pairs take every other, from the left
+        fresh = np.concatenate(([True], np.diff(found) > 1))
+        found = found[(found - found[fresh][np.cumsum(fresh) - 1]) % 2 == 0]
         rules.append(np.stack([chosen >> 16, chosen & 0xFFFF], 1))
+        made += len(chosen)
         sequence[found] = number[at[found]]
+        held[slot] = none
         stay = np.ones(len(sequence), bool)
         stay[found + 1] = False
         barrier = np.append(barrier[:-1][stay], barrier[-1])
@@ -196,25 +268,25 @@ def pack_shard(doc_ids: list[int | None], encoded: list[bytes]) -> bytes:
 
 
 class Shard:
-    """A shard's bytes, from which documents are decoded one by one."""
+    """A shard, from which documents are decoded one by one. Its bytes, or an open file, of which the tables are read
+    once and of the sequence only what is asked for."""
 
-    def __init__(self, raw: bytes):
-        magic, docs, rules, symbols = _HEAD.unpack_from(raw)
+    def __init__(self, raw):
+        if isinstance(raw, bytes):
+            raw = pa.BufferReader(raw)
+        magic, docs, rules, symbols = _HEAD.unpack(raw.read_at(_HEAD.size, 0))
         if magic != _MAGIC:
             raise ValueError("not a token shard")
-        at = _HEAD.size
-
-        def take(kind: str, n: int) -> np.ndarray:
-            nonlocal at
-            out = np.frombuffer(raw, kind, n, at)
-            at += out.nbytes
-            return out
-
-        null, ids = take("u1", docs), take("<i8", docs)
+        sizes = (("u1", docs), ("<i8", docs), ("<u4", docs), ("<u8", docs), ("<u2", 2 * rules), ("<u4", rules))
+        self.source, self.symbols = raw, symbols
+        self.at = _HEAD.size + sum(np.dtype(kind).itemsize * n for kind, n in sizes)
+        tables, at, got = raw.read_at(self.at - _HEAD.size, _HEAD.size), 0, []
+        for kind, n in sizes:
+            got.append(np.frombuffer(tables, kind, n, at))
+            at += got[-1].nbytes
+        null, ids, self.counts, places, self.rules, lengths = got
         self.doc_ids = [None if z else i for z, i in zip(null.tolist(), ids.tolist())]
-        self.counts, self.places = take("<u4", docs), take("<u8", docs).astype(np.int64)
-        self.rules, lengths = take("<u2", 2 * rules).reshape(-1, 2), take("<u4", rules)
-        self.sequence = take("<u2", symbols)
+        self.places, self.rules = np.append(places.astype(np.int64), symbols), self.rules.reshape(-1, 2)
         self.lengths = np.concatenate((np.ones(FIRST_RULE, np.int64), lengths.astype(np.int64)))
         self.begin = np.cumsum(self.lengths) - self.lengths
         self.flat = np.empty(int(self.lengths.sum()), "<u4")
@@ -231,13 +303,23 @@ class Shard:
         return self.flat[np.repeat(self.begin[symbols] - ends + lengths, lengths) + np.arange(ends[-1] if len(ends) else 0)]
 
     def _symbols(self, k: int) -> np.ndarray:
-        end = self.places[k + 1] if k + 1 < len(self.places) else len(self.sequence)
-        return self.sequence[self.places[k] : end]
+        low, high = self.places[k], self.places[k + 1]
+        return np.frombuffer(self.source.read_at(int(2 * (high - low)), int(self.at + 2 * low)), "<u2")
 
     def document(self, k: int) -> np.ndarray:
         """All ids of document k of the shard."""
         return self.expand(self._symbols(k))
 
+    def documents(self, side: int = 1 << 18) -> Iterator[np.ndarray]:
+        """All ids of every document in turn; stretches of about ``side`` symbols are expanded at once."""
+        low, n = 0, len(self.counts)
+        while low < n:
+            high = max(low + 1, int(np.searchsorted(self.places, self.places[low] + side, "right")) - 1)
+            at, end = self.places[low], self.places[high]
+            raw = self.source.read_at(int(2 * (end - at)), int(self.at + 2 * at))
+            yield from np.split(self.expand(np.frombuffer(raw, "<u2")), np.cumsum(self.counts[low : high - 1].astype(np.int64)) if high - low > 1 else [])
+            low = high
+
     def stretch(self, k: int, low: int, high: int) -> np.ndarray:
         """Ids low to high of document k: only the symbols over them are expanded."""
         symbols = self._symbols(k)
@@ -261,21 +343,19 @@ def _encode(path: str, base: str, end_id: int):
         docs, encoded, held, part = [], [], 0, 0
 
         def close() -> pa.RecordBatch:
-            name = f"{task.partitionId():06d}-{part:05d}.ids"
-            made = f"{root}/.{name}.{task.taskAttemptId()}"
+            # each attempt has names of its own; the table of shards lists those of the one that succeeded
+            name = f"{task.partitionId():06d}-{part:05d}-{task.taskAttemptId()}.ids"
             store.create_dir(root, recursive=True)
-            with store.open_output_stream(made, compression=None) as sink:
+            with store.open_output_stream(f"{root}/{name}", compression=None) as sink:
                 sink.write(pack_shard(docs, encoded))
-            store.move(made, f"{root}/{name}")
             values = (f"{base}/{name}", task.partitionId(), part, held)
             return pa.record_batch([pa.array([v], f.type) for v, f in zip(values, kind)], schema=kind)
 
-        for batch in batches:
-            for doc_id, text in zip(batch.column("doc_id").to_pylist(), batch.column("text").to_pylist()):
-                ids = encoder(text or "") + end
+        for batch in by_bytes(batches, "text", SIDE):
+            for doc_id, ids in zip(batch.column("doc_id").to_pylist(), encoder.batch(batch.column("text"))):
                 docs.append(doc_id)
-                encoded.append(ids)
-                held += len(ids) // 2
+                encoded.append(ids + end)
+                held += len(ids) // 2 + 1
                 if held >= SHARD_IDS:
                     yield close()
                     docs, encoded, held, part = [], [], 0, part + 1
@@ -308,12 +388,11 @@ def _decode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for path, start in zip(batch.column("shard").to_pylist(), batch.column("start").to_pylist()):
             store, name = pafs.FileSystem.from_uri(path)
             with store.open_input_file(name) as source:
-                shard = Shard(source.read())
-            n, crc = [], []
-            for k in range(len(shard.doc_ids)):
-                ids = shard.document(k)
-                n.append(len(ids))
-                crc.append(zlib.crc32(ids.tobytes()))
+                shard = Shard(source)
+                n, crc = [], []
+                for ids in shard.documents():
+                    n.append(len(ids))
+                    crc.append(zlib.crc32(ids))
             at = start + np.cumsum(n) - np.array(n)
             yield pa.record_batch(
                 [pa.array(c, f.type) for c, f in zip((shard.doc_ids, at, n, crc), _DOCS)], schema=_DOCS
@@ -322,11 +401,15 @@ def _decode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def read_shards(shards: DataFrame) -> DataFrame:
     """doc_id, start, n_tokens, ids_crc32 of every document in the files of ``shards``."""
-    order = Window.orderBy("pid", "part")  # over one row a shard
-    before = F.coalesce(F.sum("ids").over(order.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    # ids before each partition, over a row a partition, then before each of its shards
+    before = lambda order: F.coalesce(F.sum("ids").over(order.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    parts = shards.groupBy("pid").agg(F.sum("ids").alias("ids"))
+    parts = parts.select(F.col("pid").alias("of"), before(Window.orderBy("pid")).alias("first"))
+    placed = shards.withColumn("start", before(Window.partitionBy("pid").orderBy("part")))
+    placed = placed.join(F.broadcast(parts), F.col("pid") == F.col("of"))  # a row for each writing task
+    placed = placed.select("shard", (F.col("first") + F.col("start")).cast("long").alias("start"))
     n = shuffle_partitions(shards.sparkSession)
-    placed = shards.select("shard", before.cast("long").alias("start")).repartition(n, "shard")
-    return placed.mapInArrow(_decode, "doc_id long, start long, n_tokens long, ids_crc32 long")
+    return placed.repartition(n, "shard").mapInArrow(_decode, "doc_id long, start long, n_tokens long, ids_crc32 long")
 
 
 def token_round_trip(df: DataFrame, tokenizer: str, end_id: int = 0) -> DataFrame:

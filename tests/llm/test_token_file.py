@@ -61,3 +61,62 @@ def test_unicode_space_beside_line_breaks():
         for text in ("a\n{}\nb", "a\n{} b", "a\n{}", "a{}\nb", "a\n{}b", "{}\na", "a {}\n{} b", "a\n{}{}\n{}b c", "a b{}\n\n{}c"):
             text = text.replace("{}", space)
             assert encoder(text) == encoder.encode_whole(text), text
+
+
+def test_random_white_space_and_marks():
+    """As the library encodes whole texts, for texts of pieces that the cuts could get wrong."""
+    import random
+
+    import pyarrow as pa
+
+    rng, encoder = random.Random(11), T.Encoder(PATH)
+    parts = ["a", "b", "Zo", "é", "漢", "1", "42", ".", ",", "'s", "'", "(", "\n", "\n", "\n", " ", " ", "  ", " ", "\t", "\r", "\x85", " ",
+             "　", "\x1c", "_", "²", "ª", "<", "|", "\x0b", "​", " ", "don't", "º", "½", "ß", "..!", "\0", "<|endoftext|>", "--------"]
+    for _ in range(10):
+        texts = ["".join(rng.choice(parts) for _ in range(rng.randrange(1, 14))) for _ in range(20_000)]
+        whole = encoder.tokenizer.encode_batch(texts, add_special_tokens=False)
+        assert [np.frombuffer(g, "<u2").tolist() for g in encoder.batch(pa.array(texts))] == [w.ids for w in whole]
+
+
+def test_pieces_forgotten(monkeypatch):
+    import pyarrow as pa
+
+    monkeypatch.setattr(T, "CACHE", 3)
+    encoder = T.Encoder(PATH)
+    for texts in (["a b c d.", None, "e f"], ["a x y z!", "b"], ["d. c", ""], ["d. c q"]):
+        assert encoder.batch(pa.array(texts, pa.string())) == [encoder.encode_whole(t or "") for t in texts]
+
+
+def test_re_pair_until_no_pair_is_frequent():
+    from collections import Counter
+
+    rng = np.random.default_rng(5)
+    docs = [np.append(rng.choice(60, 700, p=np.arange(60, 0, -1) / 1830), 0) for _ in range(40)]
+    ids = np.concatenate(docs).astype("<u2")
+    starts = np.cumsum([0] + [len(d) for d in docs[:-1]])
+    rules, sequence, places = T.re_pair(ids, starts)
+    inside = np.ones(len(sequence), bool)
+    inside[places] = False
+    left = Counter(zip(sequence[:-1].tolist(), sequence[1:].tolist()))
+    left = Counter(p for p, ok in zip(zip(sequence[:-1].tolist(), sequence[1:].tolist()), inside[1:]) if ok)
+    assert len(rules) and max(left.values()) < T.LEAST_COUNT
+
+
+def test_too_large_a_vocabulary(monkeypatch):
+    import pytest
+
+    monkeypatch.setattr(T, "FIRST_RULE", 50_000)
+    with pytest.raises(ValueError):
+        T.Encoder(PATH)
+
+
+def test_one_document_from_a_file(tmp_path):
+    import pyarrow as pa
+
+    rng = np.random.default_rng(3)
+    docs = [np.append(rng.choice([5, 6, 7], n), 0).astype("<u2") for n in (0, 300, 9, 5_000)]
+    (tmp_path / "s").write_bytes(T.pack_shard([1, 2, 3, 4], [d.tobytes() for d in docs]))
+    with pa.OSFile(str(tmp_path / "s")) as source:
+        shard = T.Shard(source)
+        assert (shard.document(1) == docs[1]).all() and (shard.stretch(3, 70, 90) == docs[3][70:90]).all()
+        assert all((a == b).all() for a, b in zip(shard.documents(7), docs))
