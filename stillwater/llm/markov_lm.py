@@ -6,9 +6,11 @@ the last one for unknown words. So the states' tables are bounded, and every cou
 
     P(text) = P(class sequence) * product of P(word | its class)
 
-The states start at random around the corpus's frequencies; every round gathers expected counts from all training
-documents, added up by class across partitions, until the likelihood gains little. Counts of words outside a bounded table in the
-workers are joined to the documents by a shuffle.
+The states start at random around the corpus's frequencies. Training documents are dealt into blocks by a hash; a
+round gathers the expected counts of one block, added up by class across partitions, puts them in place of that
+block's former counts and maximises over the counts of all (incremental Baum-Welch, whose likelihood rises as that of
+whole rounds does, in fewer passes). Passes over all blocks follow until the likelihood gains little. Counts of words
+outside a bounded table in the workers are joined to the documents by a shuffle.
 """
 
 from __future__ import annotations
@@ -20,29 +22,34 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import slices, written
+from .common import by_bytes, shared_dir, shuffle_partitions, written
 
 #: Latent states, words with a class of their own, classes by ending (of so many bytes), words in the workers' table.
 STATES, OWN, ENDINGS, ENDING, TABLE = 8, 16_384, 1_024, 3, 131_072
-#: Rounds over all training documents at least, as the first gain little too, and the gain, as a share of the log
-#: likelihood, below which no more follow.
-ROUNDS, GAIN = 17, 1e-3
+#: Blocks of training documents, and the gain, as a share of a pass's log likelihood, below which no pass follows.
+BLOCKS, GAIN = 16, 1e-2
 #: Tokens of prior that each state's table has, at the corpus's frequencies; and of each transition.
 PRIOR, STAY = 200.0, 1.0
-#: Distinct words after which a task hands on its counts; tokens worked on side by side.
-FLUSH, SIDE = 200_000, 300_000
+#: Distinct words after which a task hands on its counts; tokens worked on side by side, texts side by side, and
+#: steps after which the forward and backward values are scaled.
+FLUSH, SIDE, WIDE, SCALE = 200_000, 200_000, 512, 8
+#: Bytes of text that are split into tokens at once.
+BYTES = 4 << 20
 #: The end of a text, a token that no word equals.
 END = b""
 
 
-def tokens(text: str | None) -> list[bytes]:
-    """Words, A to Z lower-cased, and the end."""
-    words = (text or "").encode("utf-8", "surrogatepass").lower().split()
-    words.append(END)
-    return words
+def split(texts: pa.Array) -> tuple[pa.Array, np.ndarray]:
+    """The words of texts, A to Z lower-cased, as one array, and how many each text has; without the ends."""
+    lists = pc.ascii_split_whitespace(pc.ascii_lower(pc.fill_null(texts, "")))
+    words, offsets = lists.flatten(), np.asarray(lists.offsets)
+    there = np.asarray(pc.greater(pc.binary_length(words), 0))  # white space at either end leaves empty ones
+    before = np.concatenate(([0], np.cumsum(there)))
+    return words.filter(pa.array(there)), np.diff(before[offsets - offsets[0]])
 
 
 def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -55,11 +62,14 @@ def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held.clear()
         return out
 
-    for batch in slices(batches):
-        for text in batch.column("text").to_pylist():
-            held.update(tokens(text))
-            if len(held) >= FLUSH:
-                yield emit()
+    for batch in by_bytes(batches, "text", BYTES):
+        words, sizes = split(batch.column("text"))
+        got = pc.value_counts(words)
+        for word, n in zip(got.field(0).cast(pa.binary()).to_pylist(), got.field(1).to_pylist()):
+            held[word] += n
+        held[END] += len(sizes)
+        if len(held) >= FLUSH:
+            yield emit()
     if held:
         yield emit()
 
@@ -104,16 +114,30 @@ class Lexicon:
         return p / p.sum()
 
 
+def _table(counts: DataFrame) -> DataFrame:
+    """The TABLE most frequent words; of those as frequent as the last ones, whole buckets of their hashes that fit."""
+    held, least, rest = 0, 0, 0
+    for c, n in counts.groupBy("c").count().orderBy(F.desc("c")).limit(TABLE).collect():
+        if held + n > TABLE:
+            least, rest = c, TABLE - held
+            break
+        held += n
+    if not rest:
+        return counts.filter(F.col("c") > least)
+    bucket = F.pmod(F.xxhash64("word"), F.lit(4096))
+    first = 4096
+    for h, n in counts.filter(F.col("c") == least).groupBy(bucket.alias("h")).count().orderBy("h").collect():
+        if n > rest:
+            first = h
+            break
+        rest -= n
+    return counts.filter((F.col("c") > least) | (F.col("c") == least) & (bucket < first))
+
+
 def lexicon(counts: DataFrame) -> Lexicon:
     """From (word, c) over all training documents; only the table's words and the endings reach the driver."""
     sums = counts.agg(F.sum("c"), F.count("*")).first()
-    by_count = counts.groupBy("c").count().orderBy(F.desc("c")).limit(TABLE).collect()
-    least, held = None, 0
-    for c, n in by_count:
-        if held + n > TABLE:
-            break
-        least, held = c, held + n
-    rows = counts.filter(F.col("c") >= least).toArrow() if least else counts.limit(0).toArrow()
+    rows = _table(counts).toArrow()
     pairs = sorted(zip(rows.column("c").to_pylist(), rows.column("word").to_pylist()), key=lambda p: (-p[0], p[1]))
     words, number = [w for _, w in pairs], np.array([c for c, _ in pairs], np.int64)
     own = min(OWN, len(words))
@@ -128,35 +152,48 @@ def lexicon(counts: DataFrame) -> Lexicon:
 
 
 def _encode(shared):
-    """rid, doc_id, held_out, n_tokens, n_known, known_log and shared_log (sums of log10(c + 1) over words of
-    the table, over those in classes by ending), ids and the words outside the table."""
+    """The kept columns, n_tokens, n_known, known_log and shared_log (sums of log10(c + 1) over words of the table,
+    over those in classes by ending), ids and the words outside the table with their numbers."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         lex: Lexicon = shared.value
-        at = {w: i for i, w in enumerate(lex.words)}
+        table = pa.array(lex.words, pa.binary())
         cls = np.array([i if i < lex.own else lex.own + ending(w) for i, w in enumerate(lex.words)] + [0], np.int32)
         logs = np.append(np.log10(lex.counts + 1.0), 0.0)
-        get = at.get
-        for batch in slices(batches):
-            out: list[list] = [[] for _ in range(7)]
-            for text in batch.column("text").to_pylist():
-                words = tokens(text)
-                index = np.fromiter((get(w, -1) for w in words), np.int64, len(words))
-                ids, rare = cls[index], np.flatnonzero(index < 0).tolist()
-                seen: Counter = Counter()
-                for k in rare:
-                    ids[k] = lex.own + ending(words[k])
-                    seen[words[k]] += 1
-                known = logs[index]
-                shared_log = float(known[index >= lex.own].sum())
-                values = (len(words), len(words) - len(rare), float(known.sum()), shared_log, ids, list(seen), list(seen.values()))
-                for column, value in zip(out, values):
-                    column.append(value)
-            kinds = (pa.int64(), pa.int64(), pa.float64(), pa.float64(), pa.list_(pa.int32()), pa.list_(pa.binary()), pa.list_(pa.int32()))
-            yield pa.RecordBatch.from_arrays(
-                [batch.column(k) for k in ("rid", "doc_id", "held_out")] + [pa.array(c, k) for c, k in zip(out, kinds)],
-                ["rid", "doc_id", "held_out", "n_tokens", "n_known", "known_log", "shared_log", "ids", "rare", "rare_n"],
-            )
+        end = lex.words.index(END) if END in lex.words else -1
+        end_class = cls[end] if end >= 0 else lex.own + ending(END)
+        for batch in by_bytes(batches, "text", BYTES):
+            words, sizes = split(batch.column("text"))
+            n, coded = len(sizes), words.dictionary_encode()
+            distinct, index = coded.dictionary.cast(pa.binary()), coded.indices.to_numpy()
+            at = pc.fill_null(pc.index_in(distinct, value_set=table), -1).to_numpy(zero_copy_only=False)
+            of = cls[at]
+            new = np.flatnonzero(at < 0)
+            of[new] = [lex.own + ending(w) for w in distinct.take(pa.array(new)).to_pylist()]
+            at = at[index]
+            doc = np.repeat(np.arange(n), sizes)
+            known = logs[at]
+            inside = at >= lex.own
+            # the ids of each text, then the end's
+            ends = np.cumsum(sizes + 1)
+            ids, word = np.full(int(ends[-1]) if n else 0, end_class, np.int32), np.ones(int(ends[-1]) if n else 0, bool)
+            word[ends - 1] = False
+            ids[word] = of[index]
+            rare = np.flatnonzero(at < 0)
+            pairs, times = np.unique(doc[rare] * max(1, len(distinct)) + index[rare], return_counts=True)
+            owner, which = pairs // max(1, len(distinct)), pairs % max(1, len(distinct))
+            cuts = pa.array(np.searchsorted(owner, np.arange(n + 1)), pa.int32())
+            made = {
+                "n_tokens": pa.array(sizes + 1),
+                "n_known": pa.array(sizes - np.bincount(doc[rare], minlength=n) + (end >= 0)),
+                "known_log": pa.array(np.bincount(doc, known, n) + logs[end]),
+                "shared_log": pa.array(np.bincount(doc[inside], known[inside], n) + (logs[end] if end >= lex.own else 0.0)),
+                "ids": pa.ListArray.from_arrays(pa.array(np.concatenate(([0], ends)), pa.int32()), pa.array(ids)),
+                "rare": pa.ListArray.from_arrays(cuts, distinct.take(pa.array(which))),
+                "rare_n": pa.ListArray.from_arrays(cuts, pa.array(times, pa.int32())),
+            }
+            kept = [c for c in batch.schema.names if c != "text"]
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in kept), *made.values()], [*kept, *made])
 
     return run
 
@@ -173,59 +210,102 @@ class Markov:
         low = 0
         while low < len(order):
             longest = len(ids[order[low]])
-            some = order[low : low + max(1, min(512, SIDE // longest))]
+            some = order[low : low + max(1, min(WIDE, SIDE // longest))]
             low += len(some)
             grid = np.zeros((longest, len(some)), np.int32)
             for column, i in enumerate(some):
                 grid[: len(ids[i]), column] = ids[i]
             yield some, np.array([len(ids[i]) for i in some]), grid
 
-    def forward(self, lengths: np.ndarray, grid: np.ndarray, keep: bool = False):
-        """Natural log likelihoods; with keep also the scaled forward values and scales by step."""
+    def _forward(self, grid: np.ndarray, active: np.ndarray, low: int, enter: np.ndarray | None, log: np.ndarray):
+        """(emission probabilities, forward values) of a stretch of steps from ``low`` on; adds scales' logs to ``log``."""
+        emitted, values = self.emit[grid], np.zeros((*grid.shape, len(self.start)))
+        for t in range(len(grid)):
+            a, at = active[low + t], values[t]
+            if low + t == 0:
+                np.multiply(self.start, emitted[0], out=at)
+            else:
+                np.matmul((values[t - 1] if t else enter)[:a], self.step, out=at[:a])
+                at[:a] *= emitted[t, :a]
+            if (low + t) % SCALE == 0:
+                s = at[:a].sum(1)
+                at[:a] /= s[:, None]
+                log[:a] += np.log(s)
+        return emitted, values
+
+    def forward(self, lengths: np.ndarray, grid: np.ndarray) -> np.ndarray:
+        """Natural log likelihoods, by the forward recursion; a stretch of steps is held at a time."""
         n = len(lengths)
         active = np.searchsorted(-lengths, -np.arange(len(grid)), "left")  # sequences longer than each step
-        log = np.zeros(n)
-        values = np.zeros((*grid.shape, len(self.start))) if keep else None
-        scales = np.ones(grid.shape) if keep else None
-        alpha = np.tile(self.start, (n, 1))
-        product = np.ones(n)
-        for t in range(len(grid)):
-            a = active[t]
-            alpha = (alpha if t == 0 else alpha[:a] @ self.step) * self.emit[grid[t, :a]]
-            s = alpha.sum(1)
-            alpha /= s[:, None]
-            product[:a] *= s
-            if t % 16 == 15 or t == len(grid) - 1 or active[t + 1] < a:
-                log[:a] += np.log(product[:a])
-                product[:a] = 1
-            if keep:
-                values[t, :a], scales[t, :a] = alpha, s
-        return (log, values, scales, active) if keep else log
+        log, enter, per = np.zeros(n), None, max(1, SIDE // n)
+        for low in range(0, len(grid), per):
+            _, values = self._forward(grid[low : low + per], active, low, enter, log)
+            done = np.flatnonzero((lengths > low) & (lengths <= low + per))
+            log[done] += np.log(values[lengths[done] - 1 - low, done].sum(1))
+            enter = values[-1].copy()
+        return log
 
     def expected(self, ids: list[np.ndarray]):
         """Expected counts (start, step, emit) over sequences."""
         return self.expected_and_log(ids)[:3]
 
     def expected_and_log(self, ids: list[np.ndarray]):
-        """Expected counts and the natural log likelihood of all sequences."""
+        """Expected counts and the natural log likelihood of all sequences.
+
+        Values of SIDE tokens are held at a time: of longer sequences only those between stretches, from which the
+        way back computes a stretch's values again.
+        """
         k, m = len(self.start), len(self.emit)
         start, step, emit, total = np.zeros(k), np.zeros((k, k)), np.zeros((m, k)), 0.0
+        back = np.ascontiguousarray(self.step.T)
         for _, lengths, grid in self.side_by_side(ids):
-            log, alpha, scale, active = self.forward(lengths, grid, keep=True)
+            n = len(lengths)
+            active = np.append(np.searchsorted(-lengths, -np.arange(len(grid)), "left"), 0)
+            per = max(1, SIDE // n)
+            lows, enters, log = list(range(0, len(grid), per)), [None], np.zeros(n)
+            for low in lows:
+                emitted, alpha = self._forward(grid[low : low + per], active, low, enters[-1], log)
+                done = np.flatnonzero((lengths > low) & (lengths <= low + per))
+                log[done] += np.log(alpha[lengths[done] - 1 - low, done].sum(1))
+                enters.append(alpha[-1].copy() if low != lows[-1] else None)
             total += float(log.sum())
-            beta = np.ones((len(lengths), k))
-            for t in range(len(grid) - 2, -1, -1):
-                a = active[t + 1]
-                if a:
-                    back = self.emit[grid[t + 1, :a]] * beta[:a] / scale[t + 1, :a, None]
-                    step += alpha[t, :a].T @ back
-                    beta[:a] = back @ self.step.T
-                    alpha[t, :a] *= beta[:a]  # now the state's probability
-            inside = np.arange(len(grid))[:, None] < lengths[None, :]
-            flat, weight = grid[inside], alpha[inside]
-            for s in range(k):
-                emit[:, s] += np.bincount(flat, weight[:, s], m)
-            start += alpha[0].sum(0)
+            after = None  # what the step after the stretch passes back
+            for i, low in reversed(list(enumerate(lows))):
+                part = grid[low : low + per]
+                if low != lows[-1]:
+                    emitted, alpha = self._forward(part, active, low, enters[i], np.zeros(n))
+                size = len(part)
+                beta, passed, scale = np.ones((size, n, k)), np.empty((size, n, k)), np.ones((size, n))
+                for t in range(size - 1, -1, -1):
+                    a = active[low + t + 1]
+                    if not a:
+                        continue
+                    if t + 1 < size:
+                        np.multiply(emitted[t + 1, :a], beta[t + 1, :a], out=passed[t, :a])
+                    else:
+                        passed[t, :a] = after[:a]
+                    np.matmul(passed[t, :a], back, out=beta[t, :a])
+                    if (low + t) % SCALE == 0:
+                        s = scale[t, :a] = beta[t, :a].sum(1)
+                        beta[t, :a] /= s[:, None]
+                after = emitted[0] * beta[0]
+                # stretches of steps that stay in the processor's memory
+                few = max(1, 16_384 // n)
+                for t in range(0, size, few):
+                    at = low + np.arange(t, min(size, t + few))
+                    inside = (at[:, None] < lengths[None, :]).ravel()
+                    goes_on = (at[:, None] < lengths[None, :] - 1).ravel()
+                    a = alpha[t : t + few].reshape(-1, k)
+                    weight = a * beta[t : t + few].reshape(-1, k)
+                    z = weight.sum(1)
+                    weight = np.ascontiguousarray((weight[inside] / z[inside, None]).T)
+                    flat = part[t : t + few].ravel()[inside]
+                    for s in range(k):
+                        emit[:, s] += np.bincount(flat, weight[s], m)
+                    if low + t == 0:
+                        start += weight[:, :n].sum(1)
+                    z *= scale[t : t + few].ravel()
+                    step += (a[goes_on] / z[goes_on, None]).T @ passed[t : t + few].reshape(-1, k)[goes_on]
         return start, step * self.step, emit, total
 
 
@@ -271,8 +351,8 @@ def _gather(shared):
     return run
 
 
-def baum_welch(encoded: DataFrame, model: Markov, unigram: np.ndarray) -> tuple[Markov, float]:
-    """One round over all rows of ``encoded`` (ids), and the log likelihood before it."""
+def expected_counts(encoded: DataFrame, model: Markov) -> tuple[np.ndarray, np.ndarray, np.ndarray, float]:
+    """Expected counts (start, step, emit) and the log likelihood of all rows of ``encoded`` (ids)."""
     k = len(model.start)
     shared = encoded.sparkSession.sparkContext.broadcast(model)  # classes * STATES numbers
     names = [f"s{s}" for s in range(k)]
@@ -286,7 +366,22 @@ def baum_welch(encoded: DataFrame, model: Markov, unigram: np.ndarray) -> tuple[
     step = np.zeros((k, k))
     low = (m < 0) & (m > -100)
     step[-1 - m[low]] = table[low]
-    return maximised(table[m == -100].sum(0), step, emit, unigram), float(table[m == -200].sum())
+    return table[m == -100].sum(0), step, emit, float(table[m == -200].sum())
+
+
+def train(expected, blocks: int, unigram: np.ndarray, gain: float = GAIN) -> Markov:
+    """Incremental Baum-Welch. expected(block, model): the block's expected counts and log likelihood."""
+    model, last = first_states(unigram), -np.inf
+    held: list[tuple | None] = [None] * blocks
+    while True:
+        log = 0.0
+        for block in range(blocks):
+            *held[block], more = expected(block, model)
+            log += more
+            model = maximised(*(sum(h[i] for h in held if h) for i in range(3)), unigram)
+        if log - last <= gain * abs(log):
+            return model
+        last = log
 
 
 def _score(shared):
@@ -328,24 +423,25 @@ def score_documents(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
     unigram = lex.unigram()
     shared = spark.sparkContext.broadcast(lex)  # TABLE words and their counts
     kind = (
-        "rid long, doc_id long, held_out boolean, n_tokens long, n_known long, known_log double, "
+        "rid long, doc_id long, held_out boolean, block int, n_tokens long, n_known long, known_log double, "
         "shared_log double, ids array<int>, rare array<binary>, rare_n array<int>"
     )
-    numbered = rows.select(F.monotonically_increasing_id().alias("rid"), "doc_id", "held_out", "text")
-    encoded = written(numbered.mapInArrow(_encode(shared), kind), "encoded")
-    train = encoded.filter(~F.col("held_out"))
-    n = train.count()
-    model, last, rounds = first_states(unigram), -np.inf, 0
-    while n:
-        model, log = baum_welch(train, model, unigram)
-        rounds += 1
-        if rounds >= ROUNDS and log - last < GAIN * abs(log):
-            break
-        last = log
+    # held-out rows are a block of their own; each block is spread over as many tasks as its share of the rows
+    block = F.when(F.col("held_out"), -1).otherwise(F.pmod(F.xxhash64("doc_id", "text"), F.lit(BLOCKS))).cast("int")
+    numbered = rows.select(F.monotonically_increasing_id().alias("rid"), "doc_id", "held_out", block.alias("block"), "text")
+    n = shuffle_partitions(spark)
+    spread = F.pmod(F.xxhash64("rid"), F.lit(max(1, n // BLOCKS)))
+    dealt = numbered.mapInArrow(_encode(shared), kind).repartition(n, "block", spread)
+    base = f"{shared_dir(spark)}/encoded"
+    dealt.write.partitionBy("block").parquet(base)
+    encoded = spark.read.schema(kind.replace("block int, ", "") + ", block int").parquet(base)
+    there = {r[0] for r in encoded.select("block").distinct().collect()} - {-1}
+    parts = [encoded.filter(F.col("block") == b) for b in sorted(there)]
+    model = train(lambda b, now: expected_counts(parts[b], now), len(parts), unigram) if parts else first_states(unigram)
 
     denominators = np.log10((lex.class_count + lex.class_words)[lex.own :].astype(float))
     parts = spark.sparkContext.broadcast((model, lex.own, denominators))
-    scored = encoded.drop("rare", "rare_n").mapInArrow(
+    scored = encoded.drop("rare", "rare_n", "block").mapInArrow(
         _score(parts),
         "rid long, doc_id long, held_out boolean, n_tokens long, n_known long, known_log double, shared_log double, class_log double",
     )
