@@ -3,7 +3,7 @@
     y = w0 + sum_i w_i x_i + 1/2 sum_f ((sum_i v_if x_i)^2 - sum_i v_if^2 x_i^2)
 
 so all pairwise interactions cost time linear in the features (the sum-of-squares identity). Features of a
-document come from its whole text; the model is fitted on a bounded sample of labelled rows and shipped to
+document come from its whole text and its numeric metadata; the model is fitted on a bounded sample of labelled rows and shipped to
 the scoring tasks; its size is fixed by DIM and RANK.
 """
 
@@ -17,10 +17,11 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructField, StructType
 
-from .common import WORD
+from .common import WORD, columns, written
 
 #: Buckets of hashed words, and rank of the interactions.
 WORDS, RANK = 1 << 14, 8
@@ -34,7 +35,9 @@ STATS = (
     "upper", "lower", "digit", "space", "newline", "ascii_punct", "high", "log_words", "mean_word", "unique",
     "top_word", "dup_lines", "symbol_words", "short_words", "word_length_spread", "exclaim", "run", "bias",
 )
-DIM = WORDS + len(STATS)
+#: Numeric columns that are features, too, where a table has them: their logarithm.
+META = ("n_chars",)
+DIM = WORDS + len(STATS) + len(META)
 
 _word = re.compile(WORD)
 _CLASS = np.zeros(256, np.intp)
@@ -55,8 +58,9 @@ class _Buckets(dict):
 _buckets = _Buckets()
 
 
-def features(text: str | None) -> tuple[np.ndarray, np.ndarray]:
-    """(indices, values) of a text; null counts as empty, and empty texts have statistics of zero words."""
+def features(text: str | None, meta: tuple[float | None, ...] = ()) -> tuple[np.ndarray, np.ndarray]:
+    """(indices, values) of a text and its metadata; null counts as empty, empty texts have statistics of zero words, and
+    metadata that is null, negative or not a number counts as 0."""
     text = text or ""
     words = _word.findall(text)
     n = len(words)
@@ -85,6 +89,7 @@ def features(text: str | None) -> tuple[np.ndarray, np.ndarray]:
     else:
         index, values = np.zeros(0, np.int64), np.zeros(0)
     known = [(WORDS + i, stats.get(name, 0.0)) for i, name in enumerate(STATS)]
+    known += [(WORDS + len(STATS) + i, math.log1p(min(v, 1e18)) / 12 if v is not None and v > 0 else 0.0) for i, v in enumerate(meta)]
     extra = np.array(known)
     return np.concatenate((index, extra[:, 0].astype(np.int64))), np.concatenate((values, extra[:, 1]))
 
@@ -108,6 +113,11 @@ class FactorisationMachine:
     def scores(self, rows: list[tuple[np.ndarray, np.ndarray]]) -> np.ndarray:
         return 1 / (1 + np.exp(-np.clip(self.margins(rows), -30, 30)))
 
+    def scores_of(self, batch: pa.RecordBatch) -> np.ndarray:
+        """The scores of a batch of inputs, a few texts' features at a time."""
+        parts = (batch.slice(k, 64) for k in range(0, batch.num_rows, 64))
+        return np.concatenate([np.zeros(0), *(self.scores(_features_of(p)) for p in parts)])
+
 
 def fit(rows: list[tuple[np.ndarray, np.ndarray]], labels: np.ndarray, seed: int = 7) -> FactorisationMachine:
     """AdaGrad on the logistic loss, in mini-batches of a seeded order, both labels weighing alike.
@@ -154,11 +164,25 @@ def fit(rows: list[tuple[np.ndarray, np.ndarray]], labels: np.ndarray, seed: int
     return fm
 
 
+def _inputs(docs: DataFrame) -> list[Column]:
+    """text and the metadata as columns m0, m1 and so on; null where the table has no numeric column of the name."""
+    numbers = re.compile(r"(tinyint|smallint|int|bigint|float|double|decimal.*)")
+    at = {c.lower(): col for (c, kind), col in zip(docs.dtypes, columns(docs)) if numbers.fullmatch(kind)}
+    meta = [at.get(c, F.lit(None)).cast("double") for c in META]
+    return [F.col("text"), *(m.alias(f"m{i}") for i, m in enumerate(meta))]
+
+
+def _features_of(batch: pa.RecordBatch) -> list[tuple[np.ndarray, np.ndarray]]:
+    meta = zip(*(batch.column(f"m{i}").to_pylist() for i in range(len(META))))
+    return [features(t, m) for t, m in zip(batch.column("text").to_pylist(), meta)]
+
+
 def training_rows(docs: DataFrame, labels: DataFrame, folds: int = 4, held: int = 2, limit: int = SAMPLE):
     """(features, labels) of the sample: labelled rows whose crc32(doc_id as text) mod folds isn't ``held``.
 
-    Rows with a null id or label teach nothing; the smallest hashes of the id make up the sample. Only
-    features come to the driver, at most DIM a row.
+    Rows with a null id or label teach nothing; the smallest hashes of the id make up the sample. Of documents with
+    the same id the text of the smallest digest teaches. Only features come to the driver: those of ``limit`` rows
+    at most.
     """
     fold = F.crc32(F.col("doc_id").cast("string").cast("binary")) % folds
     picked = (
@@ -169,12 +193,12 @@ def training_rows(docs: DataFrame, labels: DataFrame, folds: int = 4, held: int
         .orderBy("h", "doc_id", "quality")
         .limit(limit)
         .drop("h")
-        .checkpoint()
     )
+    picked = written(picked, "picked")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            rows = [features(t) for t in batch.column("text").to_pylist()]
+            rows = _features_of(batch)
             yield pa.RecordBatch.from_arrays(
                 [
                     batch.column("doc_id"),
@@ -185,12 +209,16 @@ def training_rows(docs: DataFrame, labels: DataFrame, folds: int = 4, held: int
                 ["doc_id", "quality", "i", "x"],
             )
 
-    joined = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(F.broadcast(picked), "doc_id")
+    # limit rows of two numbers are broadcast; copies of an id meet as their smallest within each task first
+    joined = docs.select(F.col("doc_id").cast("long").alias("doc_id"), *_inputs(docs)).join(F.broadcast(picked), "doc_id")
+    names = ["text", *(f"m{i}" for i in range(len(META)))]
+    one = joined.groupBy("doc_id", "quality").agg(F.min(F.struct(F.md5(F.coalesce("text", F.lit(""))), *names)).alias("r"))
     kind = "doc_id long, quality int, i array<int>, x array<float>"
-    got = joined.mapInArrow(run, kind).toArrow().sort_by([("doc_id", "ascending"), ("quality", "ascending")])
+    got = one.select("doc_id", "quality", "r.*").mapInArrow(run, kind).toArrow()
+    got = got.sort_by([("doc_id", "ascending"), ("quality", "ascending")])
     i, x = got.column("i").combine_chunks(), got.column("x").combine_chunks()
-    rows = [(np.asarray(a.values), np.asarray(b.values).astype(float)) for a, b in zip(i, x)][: 2 * limit]
-    return rows, got.column("quality").to_numpy().astype(float)[: 2 * limit]
+    rows = [(np.asarray(a.values), np.asarray(b.values).astype(float)) for a, b in zip(i, x)]
+    return rows, got.column("quality").to_numpy().astype(float)
 
 
 def score(docs: DataFrame, model: FactorisationMachine, threshold: float = 0.7) -> DataFrame:
@@ -204,9 +232,7 @@ def score(docs: DataFrame, model: FactorisationMachine, threshold: float = 0.7)
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         fm = FactorisationMachine(*shared.value)
         for batch in batches:
-            texts = batch.column("text").to_pylist()
-            scores = [fm.scores([features(t) for t in texts[k : k + 64]]) for k in range(0, len(texts), 64)]
-            values = np.concatenate(scores) if scores else np.zeros(0)
+            values = fm.scores_of(batch)
             yield pa.RecordBatch.from_arrays(
                 [batch.column("doc_id"), batch.column("held_out"), pa.array(values), pa.array((values >= threshold).astype(np.int32))],
                 ["doc_id", "held_out", "score", "predicted"],
@@ -214,7 +240,7 @@ def score(docs: DataFrame, model: FactorisationMachine, threshold: float = 0.7)
 
     fold = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 4
     rows = docs.select(
-        F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(fold == 2, F.lit(False)).alias("held_out"), "text"
+        F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(fold == 2, F.lit(False)).alias("held_out"), *_inputs(docs)
     )
     return rows.mapInArrow(run, "doc_id long, held_out boolean, score double, predicted int")
 
@@ -234,15 +260,18 @@ def accepted(docs: DataFrame, labels: DataFrame, threshold: float = 0.7) -> Data
         return docs
     model = fit(rows, marks)
     shared = docs.sparkSession.sparkContext.broadcast((model.w0, model.w, model.v))
-    names = docs.columns
+    at, given = [c.lower() for c in docs.columns].index("text"), len(docs.columns)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         fm = FactorisationMachine(*shared.value)
-        at = names.index("text")
         for batch in batches:
-            texts = batch.column(at).to_pylist()
-            scores = [fm.scores([features(t) for t in texts[k : k + 64]]) for k in range(0, len(texts), 64)]
-            if scores:
-                yield batch.filter(pa.array(np.concatenate(scores) >= threshold))
-
-    return docs.mapInArrow(run, docs.schema)
+            inputs = [batch.column(at), *batch.columns[given:]]
+            inputs = pa.RecordBatch.from_arrays(inputs, ["text", *(f"m{i}" for i in range(len(META)))])
+            kept = pa.RecordBatch.from_arrays(batch.columns[:given], schema=pa.schema(list(batch.schema)[:given]))
+            yield kept.filter(pa.array(fm.scores_of(inputs) >= threshold))
+
+    # by number, as Python workers take no dots or backticks in names
+    names = [f"c{i}" for i in range(given)]
+    rows = docs.select(*(c.alias(n) for c, n in zip(columns(docs), names)), *_inputs(docs)[1:])
+    kind = StructType([StructField(n, f.dataType, f.nullable) for n, f in zip(names, docs.schema)])
+    return rows.mapInArrow(run, kind).toDF(*docs.columns)
