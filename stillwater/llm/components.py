@@ -1,7 +1,8 @@
 """Connected components of an edge table, by alternating large stars and small stars.
 
-Each step points nodes at the smallest name they see; edges never outnumber the first step's. Minima are
-aggregated before they are shuffled, so a node of any degree is fine; every step is checkpointed.
+Each step points nodes at the smallest name they see; edges never outnumber the first step's. Minima are aggregated
+before they are shuffled, and stand in tables before they are joined to the edges, so that Spark can split the join
+where one node has a large part of the edges.
 """
 
 from __future__ import annotations
@@ -9,18 +10,20 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import written
+
 
 def _large(edges: DataFrame) -> DataFrame:
     """Larger neighbours of each node, pointed at the smallest name among it and its neighbours."""
     both = edges.select("a", "b").unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
     least = both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m"))
-    pointed = both.filter("b > a").join(least, "a").select(F.col("b").alias("a"), F.col("m").alias("b"))
+    pointed = both.filter("b > a").join(written(least, "large"), "a").select(F.col("b").alias("a"), F.col("m").alias("b"))
     return pointed.distinct()
 
 
 def _small(edges: DataFrame) -> DataFrame:
     """Smaller neighbours of each node, and the node, pointed at the smallest of them. Edges have a > b."""
-    least = edges.groupBy("a").agg(F.min("b").alias("m"))
+    least = written(edges.groupBy("a").agg(F.min("b").alias("m")), "small")
     pointed = edges.join(least, "a").select(F.col("b").alias("a"), F.col("m").alias("b"))
     return pointed.unionByName(least.select("a", F.col("m").alias("b"))).filter("a <> b").distinct()
 
@@ -33,10 +36,10 @@ def _digest(edges: DataFrame) -> tuple:
 def components(edges: DataFrame) -> DataFrame:
     """(node, root) of every node of ``edges`` (a, b): root is the smallest name of its component."""
     edges = edges.filter("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()
-    edges = edges.checkpoint()
+    edges = written(edges, "edges")
     seen = _digest(edges)
     while True:
-        edges = _small(_large(edges)).checkpoint()
+        edges = written(_small(written(_large(edges), "stars")), "edges")
         now = _digest(edges)
         if now == seen:
             break

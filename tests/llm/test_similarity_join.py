@@ -1,6 +1,7 @@
 import random
 from collections import Counter, defaultdict
 
+import pytest
 from llm.cases import awkward, table
 
 from stillwater.llm import similarity_join as J
@@ -44,27 +45,30 @@ def test_documents(spark, sf_dir):
     assert got == brute([(r.doc_id, r.text) for r in docs.collect()])
 
 
-def near_copies(n, seed=1, words=120):
+def near_copies(n, seed=1, words=240, edits=4):
     rng = random.Random(seed)
     base = [f"w{rng.randrange(500)}" for _ in range(words)]
     out = []
     for i in range(n):
         w = list(base)
-        for _ in range(rng.randrange(4)):
+        for _ in range(rng.randrange(edits)):
             w[rng.randrange(words)] = f"x{rng.randrange(10_000)}"
         out.append((i, " ".join(w)))
     return out
 
 
-def test_large_group_in_blocks(spark, monkeypatch):
-    """A group of near copies over several buckets and blocks, and documents that share one passage only."""
-    for name, value in (("LEAF", 32), ("BLOCK", 16), ("DEPTH", 3)):
+@pytest.mark.parametrize("edits, few", [(4, 10**6), (30, 10**6), (12, 0)])
+def test_large_group_in_blocks(spark, monkeypatch, edits, few):
+    """Near copies, close ones and loose ones, over several buckets and blocks, and documents that share one passage."""
+    for name, value in (("LEAF", 32), ("BLOCK", 16), ("DEPTH", 3), ("DRAWN", 5), ("BROADCAST_MEMBERS", few)):
         monkeypatch.setattr(J, name, value)
     rng = random.Random(5)
     passage = " ".join(f"p{i}" for i in range(12))
-    rows = near_copies(150) + [(1000 + i, " ".join(f"z{rng.randrange(10**6)}" for _ in range(60)) + " " + passage) for i in range(150)]
+    rows = near_copies(150, edits=edits) + [(1000 + i, " ".join(f"z{rng.randrange(10**6)}" for _ in range(60)) + " " + passage) for i in range(150)]
+    rows += [(2000 + i, rows[i % 7][1]) for i in range(30)]
     df = spark.createDataFrame(rows, "doc_id long, text string")
-    assert sorted(map(tuple, J.similarity_classes(df).collect())) == brute(rows)
+    got = sorted(map(tuple, J.similarity_classes(df).collect()))
+    assert got == brute(rows) and max(r[2] for r in got) > 20
 
 
 def test_awkward_rows(spark):
