@@ -2,14 +2,17 @@
 
 A tolerant pass builds the tree; boilerplate elements (by tag, role or class words) are cut, but not for class words
 or a form alone if they declare or hold the main text. Each paragraph scores points for itself, its commas and its
-length, and passes them to its ancestors, less the further up. Scores are discounted by link density, and by class
-words; the best container, and siblings that score near it, are kept whole.
+length, and passes them to its parent, half of them to the parent's parent, and so on; elements that declare themselves
+the main text get those of all paragraphs inside whole. Scores are discounted by link density, and by class words;
+the best container, and siblings that score near it, are kept, less lists of links inside. Every step takes time in
+proportion to the page.
 """
 
 from __future__ import annotations
 
 import html
 import re
+from collections import Counter
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -32,19 +35,23 @@ _BLOCK = set(
     "form h1 h2 h3 h4 h5 h6 header hgroup hr html li main menu nav ol p pre search section summary table tbody td "
     "tfoot th thead tr ul caption option select".split()
 )
-#: An open element of the first kind ends where one of the second kind starts.
-_ENDS = {
-    "li": {"li"},
-    "dt": {"dt", "dd"},
-    "dd": {"dt", "dd"},
-    "tr": {"tr", "tbody", "tfoot"},
-    "td": {"td", "th", "tr", "tbody", "tfoot"},
-    "th": {"td", "th", "tr", "tbody", "tfoot"},
-    "option": {"option"},
-    "head": {"body"},
+#: The open elements that one of the first kind ends where it starts.
+_ENDED = {
+    "li": ("li",),
+    "dt": ("dt", "dd"),
+    "dd": ("dt", "dd"),
+    "tr": ("tr", "td", "th"),
+    "tbody": ("tr", "td", "th"),
+    "tfoot": ("tr", "td", "th"),
+    "td": ("td", "th"),
+    "th": ("td", "th"),
+    "option": ("option",),
+    "body": ("head",),
 }
 #: An implied end looks no further up than these.
 _SCOPE = {"table", "ul", "ol", "dl", "td", "th", "article", "section", "div", "body", "html", "select", "main"}
+#: Ends of elements don't reach over these, but for those of the second kind.
+_REGION, _THROUGH = {"td", "th", "table"}, {"table", "tr", "tbody", "body", "html", "article", "main"}
 _CUT_TAGS = set(
     "head nav footer aside button select input dialog menu object embed canvas audio video search fieldset".split()
 )
@@ -66,98 +73,140 @@ _HOLDER = {"article", "main"}
 _HEADINGS = {"h1", "h2", "h3", "h4", "h5", "h6"}
 
 
+#: Factor of a score that declares itself an article, or whose class speaks of content.
+_DECLARED = 1.25
+_GOOD_WORDS = {"article", "content", "post", "entry", "story", "body", "main", "text", "prose"}
+#: Lists and tables whose characters are links to this share, two links at least, are menus wherever they stand.
+_MENU, _MENU_TAGS = 0.6, {"ul", "ol", "dl", "table", "center"}
+#: Share of a score that goes on to the parent's parent.
+_FADE = 0.5
+
+
 class _Node:
-    __slots__ = ("tag", "up", "parts", "cut", "doubt", "main", "weight", "score", "size", "linked")
+    __slots__ = (
+        "tag", "up", "parts", "cut", "doubt", "main", "good", "inside", "weight", "points", "score", "total", "size", "linked", "links"
+    )
 
-    def __init__(self, tag: str, up: _Node | None, cut: bool, doubt: float | None, main: bool):
-        self.tag, self.up, self.cut, self.doubt, self.main = tag, up, cut, doubt, main
+    def __init__(self, tag: str, up: _Node | None, cut: bool, doubt: float | None, main: bool, good: bool):
+        self.tag, self.up, self.cut, self.doubt, self.main, self.good = tag, up, cut, doubt, main, good
+        self.inside = main or up is not None and up.inside  # of something that declares itself the main text
         self.weight = 1.0
         self.parts: list[_Node | str] = []
-        self.score, self.size, self.linked = 0.0, 0, 0
+        # own points as a paragraph; points from inside, fading and whole; characters, those in links, and links
+        self.points, self.score, self.total, self.size, self.linked, self.links = 0.0, 0.0, 0.0, 0, 0, 0
 
 
-def _kind(tag: str, attributes: str, up: _Node) -> tuple[bool, float | None, bool]:
-    """Whether an element is cut, its factor of the score if it may be cut (by class words, or a form), and whether it
-    declares itself the main text."""
-    main, doubt = tag in _HOLDER, 1.0 if tag == "form" else None
+def _kind(tag: str, attributes: str, up: _Node) -> tuple[bool, float | None, bool, bool]:
+    """Whether an element is cut, its factor of the score if it may be cut (by class words, or a form), whether it
+    declares itself the main text, and whether its class speaks of content."""
+    main, doubt, good = tag in _HOLDER, 1.0 if tag == "form" else None, False
     if tag in _CUT_TAGS:
-        return True, None, False
+        return True, None, False, False
     if tag == "header":
-        inside = up
-        while inside and not inside.main:
-            inside = inside.up
-        return inside is None, None, False
+        return not up.inside, None, False, False
     if attributes and tag not in ("html", "body"):
         for m in _ATTRIBUTE.finditer(attributes):
             name, value = m[1].lower(), m[2] or m[3] or m[4] or ""
             if name == "role":
                 if value.lower() in _CUT_ROLES:
-                    return True, None, False
+                    return True, None, False, False
                 if value.lower() == "form":
                     doubt = doubt or 1.0
                 main |= value.lower() in ("main", "article")
             elif name == "hidden" or name == "aria-hidden" and value == "true":
-                return True, None, False
+                return True, None, False, False
             elif name == "itemprop":
                 main |= value == "articleBody"
-            elif name in ("class", "id") and not _CUT_WORDS.isdisjoint(w.lower() for w in _WORDS.findall(value)):
-                doubt = _WORDED
-    return False, doubt, main
+            elif name in ("class", "id"):
+                words = {w.lower() for w in _WORDS.findall(value)}
+                good |= not _GOOD_WORDS.isdisjoint(words)
+                if not _CUT_WORDS.isdisjoint(words):
+                    doubt = _WORDED
+    return False, doubt, main, good
+
+
+class _Open:
+    """The open elements, with counts of their tags since the last one that implied ends don't pass (scope), since the
+    last cell or table (region) and in all, so that a tag that ends nothing costs no walk."""
+
+    def __init__(self):
+        self.here = self.root = _Node("#root", None, False, None, False, False)
+        self.all: Counter[str] = Counter()
+        self.scopes: list[tuple[_Node, Counter[str]]] = [(self.root, Counter())]
+        self.regions: list[tuple[_Node, Counter[str]]] = [(self.root, Counter())]
+
+    def push(self, node: _Node) -> None:
+        self.all[node.tag] += 1
+        self.scopes[-1][1][node.tag] += 1
+        self.regions[-1][1][node.tag] += 1
+        if node.tag in _SCOPE:
+            self.scopes.append((node, Counter()))
+        if node.tag in _REGION:
+            self.regions.append((node, Counter()))
+        self.here = node
+
+    def pop(self) -> str:
+        node = self.here
+        if self.scopes[-1][0] is node:
+            self.scopes.pop()
+        if self.regions[-1][0] is node:
+            self.regions.pop()
+        for counts in (self.all, self.scopes[-1][1], self.regions[-1][1]):
+            counts[node.tag] -= 1
+        self.here = node.up
+        return node.tag
+
+    def end(self, tag: str) -> None:
+        owner, counts = self.regions[-1]
+        if self.all[tag] if tag in _THROUGH else counts[tag] or owner.tag == tag:
+            while self.pop() != tag:
+                pass
+
+    def implied(self, tag: str) -> None:
+        """Ends what an element of this tag ends by starting."""
+        if tag in _BLOCK:
+            while self.scopes[-1][1]["p"]:
+                self.pop()
+        ended = _ENDED.get(tag, ())
+        while ended:
+            owner, counts = self.scopes[-1]
+            while any(counts[t] for t in ended):
+                self.pop()
+            if owner.tag not in ended:
+                break
+            while self.here is not owner:
+                self.pop()
+            self.pop()
 
 
 def parse(page: str) -> _Node:
     """The tree of a page, with every text and element in order; unclosed and stray tags are tolerated."""
-    root = here = _Node("#root", None, False, None, False)
-    at, size, search = 0, len(page), _TOKEN.search
+    at, size, search, opened = 0, len(page), _TOKEN.search, _Open()
     while at < size:
         m = search(page, at)
         if not m:
-            here.parts.append(page[at:])
+            opened.here.parts.append(page[at:])
             break
         if m.start() > at:
-            here.parts.append(page[at : m.start()])
+            opened.here.parts.append(page[at : m.start()])
         at = m.end()
         tag = (m[2] or m[5] or "").lower()
         if not tag:
             continue
-        if m[1] or m[4]:  # an end tag
-            node = here
-            while node is not root and node.tag != tag:
-                if node.tag in ("td", "th", "table") and tag not in ("table", "tr", "tbody", "body", "html", "article", "main"):
-                    node = root
-                    break
-                node = node.up
-            if node is not root:
-                here = node.up
+        if m[1] or m[4]:
+            opened.end(tag)
             continue
         attributes = m[3] if m[2] else m[6]
-        if tag in _BLOCK:
-            node = here
-            while node is not root and node.tag != "p" and node.tag not in _SCOPE:
-                node = node.up
-            if node.tag == "p":
-                here = node.up
-        node = here
-        while node is not root:
-            if tag in _ENDS.get(node.tag, ()):
-                here = node.up
-            elif node.tag in _SCOPE:
-                break
-            node = node.up
+        opened.implied(tag)
         if tag in _RAW:
-            if end := _RAW_END[tag].search(page, at):
-                at = end.end()
-            else:
-                at = size
+            end = _RAW_END[tag].search(page, at)
+            at = end.end() if end else size
             continue
-        cut, doubt, main = _kind(tag, attributes, here)
-        node = _Node(tag, here, cut, doubt, main)
-        here.parts.append(node)
-        if tag not in _VOID and not attributes.endswith("/"):
-            here = node
-        elif tag not in _VOID and tag in _BLOCK:  # <div/> opens a div
-            here = node
-    return root
+        node = _Node(tag, opened.here, *_kind(tag, attributes, opened.here))
+        opened.here.parts.append(node)
+        if tag not in _VOID and (not attributes.endswith("/") or tag in _BLOCK):  # <div/> opens a div
+            opened.push(node)
+    return opened.root
 
 
 def _settle(root: _Node) -> None:
@@ -191,30 +240,6 @@ def _settle(root: _Node) -> None:
                 node.cut = True
 
 
-def _measure(root: _Node) -> list[_Node]:
-    """Sets size and linked (characters, and those in links) of every node that isn't cut; returns them."""
-    nodes, stack = [], [root]
-    while stack:
-        node = stack.pop()
-        nodes.append(node)
-        for part in node.parts:
-            if part.__class__ is str:
-                node.size += len(part.strip())
-            elif not part.cut:
-                stack.append(part)
-    for node in reversed(nodes):
-        if node.tag == "a":
-            node.linked = node.size
-        if node.up:
-            node.up.size += node.size
-            node.up.linked += node.linked
-    return nodes
-
-
-def _density(node: _Node) -> float:
-    return node.linked / node.size if node.size else 0.0
-
-
 def _own_text(node: _Node) -> str:
     """Text of a node without its block children."""
     out, stack = [], list(reversed(node.parts))
@@ -227,50 +252,71 @@ def _own_text(node: _Node) -> str:
     return "".join(out)
 
 
+def _measure(root: _Node) -> list[_Node]:
+    """Sets the numbers of every node that isn't cut, from the inside out; returns them."""
+    nodes = _all(root)
+    for node in nodes:
+        node.size += sum(len(p.strip()) for p in node.parts if p.__class__ is str)
+        if node.tag in _PARAGRAPH or node.tag == "div":
+            text = _own_text(node).strip()
+            if len(text) >= 25:
+                node.points = 1 + text.count(",") + min(len(text) / 100, 3)
+    for node in reversed(nodes):
+        if node.tag == "a":
+            node.linked, node.links = node.size, 1
+        if node.tag == "div":  # text right in a div is the div's own
+            node.score += node.points
+        up = node.up
+        if up:
+            up.size += node.size
+            up.linked += node.linked
+            up.links += node.links
+            up.score += (0.0 if node.tag == "div" else node.points) + _FADE * node.score
+            up.total += node.total + node.points
+    return nodes
+
+
+def _density(node: _Node) -> float:
+    return node.linked / node.size if node.size else 0.0
+
+
+def _value(node: _Node) -> float:
+    """The score, less by link density and class words; whole and more for what declares itself the main text."""
+    if node.main:
+        score = (node.total + node.points) * (_DECLARED if node.tag == "article" else 1.0)
+    else:
+        score = node.score * (_DECLARED if node.good else 1.0)
+    return score * (1 - _density(node)) * node.weight
+
+
 def best_containers(root: _Node) -> list[_Node]:
     """The best container and the siblings kept with it, in page order."""
-    scored = []
     _settle(root)
-    for node in _measure(root):
-        if node.tag not in _PARAGRAPH and node.tag != "div":
-            continue
-        text = _own_text(node).strip()
-        if len(text) < 25:
-            continue
-        points = 1 + text.count(",") + min(len(text) / 100, 3)
-        up, level = node.up if node.tag != "div" else node, 0
-        while up and up.tag not in ("html", "#root"):
-            if not up.score:
-                scored.append(up)
-            up.score += points / (1 if level == 0 else 2 if level == 1 else 3 * level)
-            up, level = up.up, level + 1
-    if not scored:
-        holders = [n for n in _all(root) if n.main] or [n for n in _all(root) if n.tag == "body"] or [root]
+    nodes = _measure(root)
+    held = [n for n in nodes if n.tag not in ("html", "#root") and (n.score or n.main and n.total)]
+    if not held:
+        holders = [n for n in nodes if n.main] or [n for n in nodes if n.tag == "body"] or [root]
         return holders[:1]
-    value = lambda n: n.score * (1 - _density(n))
-    best = max(scored, key=lambda n: value(n) * n.weight)
-    holder = best
-    while holder and not holder.main:
-        holder = holder.up
-    if holder:
-        while holder.up and holder.up.main:
-            holder = holder.up
-        best = holder
-    if best.tag in ("body", "html", "#root") or not best.up:
+    best = max(held, key=_value)  # of equal ones the first, which holds the others
+    if best.tag == "body" or not best.up:
         return [best]
-    least = max(10.0, 0.2 * value(best))
+    least = max(10.0, 0.2 * _value(best))
     kept = []
     for node in best.up.parts:
         if node.__class__ is str or node.cut:
             continue
-        long = node.tag in _HEADINGS or node.tag == "p" and node.size > 80 and _density(node) < 0.25
         if node is not best and node.doubt is not None and not node.main:
             continue
-        if node is best or node.score and value(node) * node.weight >= least * best.weight or long:
+        long = node.tag in _HEADINGS or node.tag == "p" and node.size > 80 and _density(node) < 0.25
+        if node is best or node.score and _value(node) >= least or long:
             kept.append(node)
     return kept
 
 
+def _menu(node: _Node) -> bool:
+    return node.tag in _MENU_TAGS and node.links > 1 and node.linked >= _MENU * node.size
+
+
 def _all(root: _Node) -> list[_Node]:
     out, stack = [], [root]
     while stack:
@@ -297,7 +343,7 @@ def blocks(node: _Node) -> Iterator[str]:
                 yield text
         elif part.__class__ is str:
             run.append(part)
-        elif part.cut:
+        elif part.cut or _menu(part):
             if part.tag in _BLOCK:
                 stack.append(None)
         elif part.tag == "br":

@@ -4,6 +4,7 @@ import re
 import pytest
 from llm.cases import table
 
+from stillwater.llm import html_extract as H
 from stillwater.llm.html_extract import extract, main_text
 
 PARA = "A long enough paragraph, with commas, to be taken for content by its length"
@@ -63,3 +64,84 @@ def test_awkward_rows(spark):
 )
 def test_class_words_or_a_form_alone_cut_no_article(page, text):
     assert main_text(page) == text
+
+
+@pytest.mark.parametrize(
+    "page, text",
+    [
+        # no declared element
+        (f"<div><div><p>{PARA}</p></div><div><p>{PARA}, too</p></div><div><p>{PARA}!</p></div></div><div>Short, unrelated</div>", f"{PARA}\n\n{PARA}, too\n\n{PARA}!"),
+        # a declared element that isn't the main text
+        (f"<div><p>{PARA}</p><p>{PARA}, {PARA}</p><p>{PARA}</p></div><div><article><p>Teaser of a little text</p></article></div>", f"{PARA}\n\n{PARA}, {PARA}\n\n{PARA}"),
+        (f"<main><div><p><a href=x>{PARA}</a></p></div></main><section><p>{PARA}</p><p>{PARA}</p></section>", f"{PARA}\n\n{PARA}"),
+        # a list of links inside
+        (f"<main><p>{PARA}</p><ul><li><a href=x>One link here</a></li><li><a href=y>Another link</a></li></ul><ul><li>Point</ul></main>", f"{PARA}\n\nPoint"),
+        # sections of unlike length in an article
+        (f"<article><section><p>{PARA}, {PARA}, {PARA}</p></section><section><p>{PARA}</p></section></article>", f"{PARA}, {PARA}, {PARA}\n\n{PARA}"),
+    ],
+)
+def test_scores_choose(page, text):
+    assert main_text(page) == text
+
+
+def plain_value(node):
+    """The score of an element by its definition, a paragraph and an ancestor at a time."""
+    inside = [x for x in H._all(node)]
+    score = total = 0.0
+    for x in inside:
+        text = H._own_text(x).strip()
+        if x.tag not in H._PARAGRAPH and x.tag != "div" or len(text) < 25:
+            continue
+        points = 1 + text.count(",") + min(len(text) / 100, 3)
+        total += points
+        up, level = (x, 0) if x.tag == "div" else (x.up, 0)
+        if x is node and x.tag != "div":
+            continue
+        while up is not node:
+            up, level = up.up, level + 1
+        score += points / 2**level
+    size = sum(len(p.strip()) for x in inside for p in x.parts if isinstance(p, str))
+
+    def linked(x):
+        if x.tag == "a":
+            return sum(len(p.strip()) for y in H._all(x) for p in y.parts if isinstance(p, str))
+        return sum(linked(p) for p in x.parts if not isinstance(p, str) and not p.cut)
+
+    score = total * (1.25 if node.tag == "article" else 1) if node.main else score * (1.25 if node.good else 1)
+    return score * (1 - (linked(node) / size if size else 0)) * node.weight
+
+
+def test_against_a_plain_scorer():
+    import random
+
+    rng = random.Random(8)
+
+    def grow(depth):
+        if depth == 0 or rng.random() < 0.25:
+            text = rng.choice([PARA, "Short", f"{PARA}, {PARA}", f"<a href=x>{PARA}</a>", f"{PARA} <a>link</a>"])
+            return f"<p>{text}</p>" if rng.random() < 0.7 else text
+        tag = rng.choice(["div", "div", "section", "ul", "article", "main", "blockquote", "div class=content", "div class=widget", "td", "a"])
+        return f"<{tag}>" + "".join(grow(depth - 1) for _ in range(rng.randrange(1, 5))) + f"</{tag.split()[0]}>"
+
+    for _ in range(300):
+        root = H.parse("<body>" + "".join(grow(4) for _ in range(3)) + "</body>")
+        kept = H.best_containers(root)
+        nodes = [n for n in H._all(root) if n.tag not in ("html", "#root") and (n.score or n.main and n.total)]
+        values = [plain_value(n) for n in nodes]
+        assert all(abs(H._value(n) - v) < 1e-9 * max(1, v) for n, v in zip(nodes, values))
+        if nodes:
+            assert any(n in kept and H._value(n) == max(map(H._value, nodes)) for n in nodes)
+
+
+@pytest.mark.parametrize(
+    "page",
+    ["".join(f"<div>text {i} {PARA}" for i in range(20_000)), "<p>x" + "<b>a</i>" * 20_000, "<body>" + "<b>" * 20_000 + "<h2>x</h2>" * 20_000,
+     "<section><table><td>" + "<div>" * 20_000 + "</section>" * 20_000, "<div>" * 20_000 + "<header>x</header>" * 20_000, "<ul>" + "<li><b>" * 20_000],
+    ids=["nested", "stray ends", "unclosed", "cells", "headers", "lists"],
+)
+def test_time_in_proportion(page):
+    import time
+
+    began = time.process_time()
+    main_text(page)
+    assert time.process_time() - began < 1
