@@ -1,9 +1,9 @@
 """WARC archives: write with an index, then read selected records by coalesced byte ranges.
 
-Writing: a partition's records go to archives of their own (one gzip member a record), each first to a
-temporary name and then renamed, so a task that runs again replaces its archives by the same bytes. The index
-(archive, offset, length, URL, digest) is a table in the shared folder, and what readers start from: they
-take the index rows they want, sorted by place, and merge neighbouring ranges into one read.
+Writing: a partition's records go to archives of their own (one gzip member a record), named by the task's attempt, so
+attempts never write to each other's files. The index (archive, offset, length, URL, digest) is a table in the shared
+folder that lists the archives of the attempts that succeeded, and what readers start from: they take the index rows they
+want, sorted by place, and merge neighbouring ranges into one read.
 """
 
 from __future__ import annotations
@@ -20,7 +20,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import shared_dir, shuffle_partitions, utf8
+from .common import shared_dir, shuffle_partitions, utf8, written
 
 #: Compressed bytes after which a partition starts its next archive.
 ROLL = 256 << 20
@@ -108,13 +108,12 @@ def _writer(base: str, level: int, roll: int):
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         task = TaskContext.get()
         store, root = pafs.FileSystem.from_uri(base)
-        sink, at, files, made, rows = None, 0, 0, None, []
+        sink, at, files, rows = None, 0, 0, []
 
         def close():
             nonlocal sink
             if sink:
                 sink.close()
-                store.move(*made)
                 sink = None
 
         def emit():
@@ -128,10 +127,9 @@ def _writer(base: str, level: int, roll: int):
                 if sink and at >= roll:
                     close()
                 if not sink:
-                    name = f"{task.partitionId():06d}-{files:04d}.warc.gz"
-                    made = (f"{root}/.{name}.{task.taskAttemptId()}", f"{root}/{name}")
+                    name = f"{task.partitionId():06d}-{files:04d}-{task.taskAttemptId()}.warc.gz"
                     store.create_dir(root, recursive=True)
-                    sink, at, files = store.open_output_stream(made[0], compression=None), 0, files + 1
+                    sink, at, files = store.open_output_stream(f"{root}/{name}", compression=None), 0, files + 1
                 digest = base32(bytes.fromhex(sha1))
                 packer = zlib.compressobj(level, zlib.DEFLATED, 31)
                 record = packer.compress(build_record(page_id, url, payload, digest, refers_to, again)) + packer.flush()
@@ -166,11 +164,14 @@ def write_archives(
     rows = df.select(
         F.col(id_col).cast("long").alias("page_id"), F.col(url_col).alias("url"), utf8(F.col(html_col)).alias("payload")
     ).withColumn("sha1", F.sha1("payload"))
-    first = rows.groupBy("sha1").agg(F.min("page_id").alias("first_id"))
+    # only digests that occur twice matter; they stand in a table, so that Spark broadcasts them if they are few, and
+    # else can split the join where one payload has a large part of the rows
+    first = rows.groupBy("sha1").agg(F.min("page_id").alias("first_id"), F.count("*").alias("n"))
+    first = written(first.filter("n > 1").drop("n"), "repeated")
     again = (F.octet_length("payload") >= revisit_bytes) & F.coalesce(
         F.col("first_id") != F.coalesce("page_id", F.col("first_id") - 1), F.lit(False)
     )
-    rows = rows.join(first, "sha1").withColumn("again", again)
+    rows = rows.join(first, "sha1", "left").withColumn("again", again)
     rows = rows.withColumn("refers_to", F.when(F.col("again"), F.col("first_id"))).drop("first_id")
     rows.mapInArrow(_writer(base, level, roll), _INDEX_DDL).write.parquet(f"{base}/index")
     return spark.read.schema(_INDEX_DDL).parquet(f"{base}/index")

@@ -1,6 +1,7 @@
 import base64
 import gzip
 import hashlib
+import random
 
 from llm.cases import table
 
@@ -53,3 +54,26 @@ def test_files_and_selected_reads(spark, sf_dir, tmp_path):
     got = warc.read_records(some).collect()
     assert {r.page_id for r in got} == {i for i in html if i % 7 == 3}
     assert all(bytes(r.payload).decode() == html[r.page_id] for r in got if r.record_type == "response")
+
+
+def test_a_hot_payload_is_spread(spark, tmp_path, monkeypatch):
+    """Half of the pages are equal: their records lie in as many archives as others, also where the join shuffles."""
+    letters = random.Random(2)
+    page = lambda: "".join(letters.choices("abcdefghijklmnopqrstuvwxyz", k=40_000))
+    same = page()
+    rows = [(i, "u", same if i % 2 else page()) for i in range(400)]
+    df = spark.createDataFrame(rows, "page_id long, url string, html string").repartition(8)
+    settings = {"spark.sql.autoBroadcastJoinThreshold": "-1", "spark.sql.adaptive.autoBroadcastJoinThreshold": "-1",
+                "spark.sql.adaptive.skewJoin.skewedPartitionThresholdInBytes": "200k", "spark.sql.adaptive.advisoryPartitionSizeInBytes": "200k",
+                "spark.sql.adaptive.skewJoin.skewedPartitionFactor": "2", "spark.sql.adaptive.coalescePartitions.enabled": "false"}
+    held = {k: spark.conf.get(k, None) for k in settings}
+    try:
+        for k, v in settings.items():
+            spark.conf.set(k, v)
+        index = warc.write_archives(df, f"file://{tmp_path}/w")
+        sizes = sorted(r["count"] for r in index.groupBy("archive").count().collect())
+    finally:
+        for k, v in held.items():
+            spark.conf.unset(k) if v is None else spark.conf.set(k, v)
+    assert sum(sizes) == 400 and sizes[-1] < 100
+    assert digest_rows(warc.read_records(index)) == expected([(r[0], r[2]) for r in rows])
