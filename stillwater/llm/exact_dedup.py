@@ -38,7 +38,7 @@ _ARROW = pa.schema(
 )
 _FLUSH = 8192
 #: Characters of the normalised text that splitters hold.
-HEAD = 64
+HEAD = 128
 
 
 def _runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -110,18 +110,28 @@ def exact_dedup(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -
     ordered = ranged.sortWithinPartitions("head", "digest", "norm", F.desc("cp"), F.asc_nulls_last("doc_id"))
     runs = written(ordered.mapInArrow(_runs, _RUNS), "runs")
 
-    order = Window.orderBy("pid", "edge")  # over two rows a partition at most
-    ends = runs.filter(F.col("edge_norm").isNotNull()).select(
+    order = Window.orderBy("pid", "edge")  # over two rows a partition at most, without their texts
+    slim = runs.filter(F.col("edge_norm").isNotNull()).select(
         "pid",
         "edge",
         "keep_id",
         "keep_cp",
         "group_size",
-        F.when(F.lag("edge_norm").over(order) == F.col("edge_norm"), 0).otherwise(1).alias("fresh"),
+        F.lag("pid").over(order).alias("b_pid"),
+        F.lag("edge").over(order).alias("b_edge"),
+        (F.lag("text_sha256").over(order) == F.col("text_sha256")).alias("alike"),
     )
+    # the texts are compared in full where their digests agree
+    texts = runs.filter(F.col("edge_norm").isNotNull()).select("pid", "edge", "edge_norm")
+    before = texts.select(F.col("pid").alias("b_pid"), F.col("edge").alias("b_edge"), F.col("edge_norm").alias("b_norm"))
+    same = slim.filter("alike").select("pid", "edge", "b_pid", "b_edge").join(texts, ["pid", "edge"])
+    same = same.join(before, ["b_pid", "b_edge"]).filter(F.col("edge_norm") == F.col("b_norm"))
+    same = written(same.select("pid", "edge", F.lit(0).alias("same")), "same")
+    ends = slim.join(same, ["pid", "edge"], "left").withColumn("fresh", F.coalesce("same", F.lit(1)))
     ends = ends.withColumn("group", F.sum("fresh").over(order))
     group = Window.partitionBy("group")
     best = F.min(F.struct(-F.col("keep_cp"), F.col("keep_id").isNull(), "keep_id", "pid", "edge")).over(group)
+    # two rows a partition at most, so they can be broadcast
     ends = ends.select(
         F.col("pid").alias("e_pid"),
         F.col("edge").alias("e_edge"),

@@ -29,3 +29,10 @@ def test_a_group_over_all_partitions(spark):
     rows = [(i, "same text" if i % 3 else f"other {i}") for i in range(3000)]
     df = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
     assert sorted((tuple(r) for r in exact_dedup(df).collect()), key=repr) == brute(rows)
+
+
+def test_long_equal_starts(spark):
+    """Texts that part after the splitters' characters, over many partitions."""
+    rows = [(i, "s" * 300 + f" {i % 40}" * (i % 3)) for i in range(1500)]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(7)
+    assert sorted((tuple(r) for r in exact_dedup(df).collect()), key=repr) == brute(rows)
