@@ -3,18 +3,21 @@
 DataFrame operations only. A window that verifies shares at least one word shingle with its item, so only
 places of documents that hold a benchmark shingle are cut into windows: of each length that an item with that
 shingle has, aligned by the shingle. That loses no match. Every window gets a 128-bit SimHash of its shingles;
-the fingerprints are looked up in an index of all items' fingerprints by 16-bit blocks, to which the index
-adds every block value within RADIUS // BLOCKS flips: by the pigeonhole principle no fingerprint within RADIUS
-is missed. Windows and items that meet there are compared exactly: weighted Jaccard similarity, the weight of
+the fingerprints are looked up in an index of all items' fingerprints by 16-bit blocks. Both sides add block values
+near theirs, together every value within RADIUS // BLOCKS flips: by the pigeonhole principle no fingerprint within
+RADIUS is missed. Windows and items that meet there are compared exactly: weighted Jaccard similarity, the weight of
 a shingle being its number of occurrences.
 """
 
 from __future__ import annotations
 
+from functools import reduce
+from operator import or_
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import SPACE, written
+from .common import SPACE, columns, free, row_key, written
 
 #: Words of a shingle, and the least similarity of a match.
 SHINGLE, SIMILARITY = 5, 0.8
@@ -23,6 +26,8 @@ SHINGLE, SIMILARITY = 5, 0.8
 RADIUS, BLOCKS = 31, 8
 #: Distinct benchmark shingles up to which they are tested in the scan; beyond, documents are joined to them.
 IN_SCAN = 50_000
+#: Items up to which their index (1,096 rows, about 60 kB, an item) is broadcast; beyond, it is joined by a shuffle.
+BROADCAST_ITEMS = 1_000
 
 
 def words_of(text: Column) -> Column:
@@ -61,52 +66,61 @@ def fingerprint_blocks(a: str, b: str) -> Column:
     return F.expr(f"array({', '.join(blocks)})")
 
 
+def _one_of(values: list[int]):
+    return lambda h: h.isin(values)
+
+
 def _counts(rows: DataFrame, key: str, shingles: str) -> DataFrame:
     return rows.select(key, F.explode(shingles).alias("h")).groupBy(key, "h").agg(F.count("*").alias("n"))
 
 
-def _matches(docs: DataFrame, items: DataFrame, k: int) -> DataFrame:
-    """Matches of the items whose shingles have k words: key, doc_id, item_id, start, similarity, hamming."""
-    items = items.withColumn("shingles", shingles_of("words", k))
+def _flipped(at: str, most: int) -> Column:
+    """All values of a 16-bit block that differ from ``at`` in ``most`` bits at most."""
+    masks = [m for m in range(1 << 16) if m.bit_count() <= most]
+    return F.explode(F.expr(f"transform(array({', '.join(map(str, masks))}), m -> {at} ^ m)"))
+
+
+def _matches(docs: DataFrame, items: DataFrame, sizes: list[int]) -> DataFrame:
+    """Matches of the items: key, doc_id, item_id, start, similarity, hamming. sizes: the words of a shingle that occur."""
+    of_size = " ".join(f"when least(n_words, {SHINGLE}) = {k} then s{k}" for k in sizes)
+    for k in sizes:
+        items = items.withColumn(f"s{k}", shingles_of("words", k))
+    items = items.withColumn("shingles", F.expr(f"case {of_size} end"))
     items = items.withColumns({"i0": simhash("shingles", 0), "i1": simhash("shingles", 1)})
-    items = items.select("item", "item_id", "n_words", "shingles", "i0", "i1").checkpoint()
-    places = items.select("n_words", F.posexplode("shingles").alias("q", "h")).distinct().checkpoint()
-    known = places.select("h").distinct()
+    items = written(items.select("item", "item_id", "n_words", "shingles", "i0", "i1"), "items")
+    k = F.least(F.col("n_words"), F.lit(SHINGLE)).alias("k")
+    places = written(items.select(k, "n_words", F.posexplode("shingles").alias("q", "h")).distinct(), "places")
+    known = places.select("k", "h").distinct()
     # through a generator, below which no filter on the shingles is pushed to compute them again
-    docs = docs.select("key", "doc_id", F.explode(F.array(shingles_of("words", k))).alias("shingles"))
+    sets = F.array(*[F.struct(F.lit(k).alias("k"), shingles_of("words", k).alias("s")) for k in sizes])
+    docs = docs.select("key", "doc_id", F.explode(sets).alias("of")).select("key", "doc_id", "of.k", F.col("of.s").alias("shingles"))
     if known.count() <= IN_SCAN:
-        here = [r[0] for r in known.collect()]
-        near = docs.filter(F.exists("shingles", lambda h: h.isin(here)))
+        here: dict[int, list[int]] = {}
+        for k, h in known.collect():
+            here.setdefault(k, []).append(h)
+        hit = [(F.col("k") == k) & F.exists("shingles", _one_of(here[k])) for k in sorted(here)]
+        near = docs.filter(reduce(or_, hit, F.lit(False)))
     else:
-        hits = docs.select("key", F.explode("shingles").alias("h")).join(known, "h")
-        near = docs.join(hits.select("key").distinct(), "key", "left_semi")
-    near = written(near.select("key", "doc_id", "shingles", F.monotonically_increasing_id().alias("rid")), "near")
+        hits = docs.select("key", "k", F.explode("shingles").alias("h")).join(written(known, "known"), ["k", "h"])
+        near = docs.join(written(hits.select("key", "k").distinct(), "hits"), ["key", "k"], "left_semi")
+    near = written(near.select("key", "doc_id", "k", "shingles", F.monotonically_increasing_id().alias("rid")), "near")
 
-    windows = near.select("rid", F.posexplode("shingles").alias("p", "h")).join(places, "h")
+    windows = near.select("rid", "k", F.posexplode("shingles").alias("p", "h")).join(places, ["k", "h"])
     windows = windows.select("rid", F.greatest(F.col("p") - F.col("q"), F.lit(0)).alias("start"), "n_words").distinct()
-    windows = windows.join(near, "rid").withColumn(
-        "shingles", F.expr(f"slice(shingles, start + 1, n_words - {k - 1})")
-    )
+    windows = windows.join(near, "rid").withColumn("shingles", F.expr("slice(shingles, start + 1, n_words - k + 1)"))
     # windows of equal content are looked up and verified once
-    windows = windows.withColumn("window", F.sha1(F.expr("cast(array_join(shingles, ',') as binary)")))
+    windows = windows.withColumn("window", F.unhex(F.sha1(F.expr("cast(array_join(shingles, ',') as binary)"))))
     windows = written(windows.select("key", "rid", "doc_id", "start", "window", "shingles"), "windows")
     contents = windows.groupBy("window").agg(F.first("shingles").alias("shingles"))
     contents = contents.withColumns({"w0": simhash("shingles", 0), "w1": simhash("shingles", 1)})
     contents = written(contents, "contents")
 
-    flips = [m for m in range(1 << 16) if m.bit_count() <= RADIUS // BLOCKS]
+    # of the flips that a block of a pair may differ in, the items' side of the index has all but one
     index = items.select("item", "i0", "i1", F.explode(fingerprint_blocks("i0", "i1")).alias("at"))
-    index = index.select(
-        "item",
-        "i0",
-        "i1",
-        F.col("at.block").alias("block"),
-        F.col("at.value").alias("value"),
-        F.explode(F.expr(f"array({', '.join(map(str, flips))})")).alias("flip"),
-    )
-    index = index.withColumn("value", F.col("value").bitwiseXOR(F.col("flip")))
+    index = index.select("item", "i0", "i1", F.col("at.block").alias("block"), _flipped("at.value", RADIUS // BLOCKS - 1).alias("value"))
     probes = contents.select("window", "w0", "w1", F.explode(fingerprint_blocks("w0", "w1")).alias("at"))
-    probes = probes.select("window", "w0", "w1", F.col("at.block").alias("block"), F.col("at.value").alias("value"))
+    probes = probes.select("window", "w0", "w1", F.col("at.block").alias("block"), _flipped("at.value", 1).alias("value"))
+    index = F.broadcast(index) if items.count() <= BROADCAST_ITEMS else index.hint("merge")
     hamming = F.expr("bit_count(w0 ^ i0) + bit_count(w1 ^ i1)")
     candidates = (
         probes.join(index, ["block", "value"])
@@ -151,29 +165,24 @@ def matches(
 ) -> DataFrame:
     """Best match of each document row with each benchmark item that a window of it is similar to.
 
-    key (a hash of id and text), doc_id, item_id, start (the window's first word), similarity, hamming.
+    key (of id and text), doc_id, item_id, start (the window's first word), similarity, hamming.
     Null, empty or blank texts, of documents or items, match nothing. Items of fewer than five words have one
     shingle of all their words. Null ids are passed on; repeated document rows each give their rows, equal items
     give a row for each item; empty tables give no rows. Other columns are ignored.
     """
     rows = docs.select(
-        F.xxhash64(id_col, text_col).alias("key"), F.col(id_col).alias("doc_id"), words_of(F.col(text_col)).alias("words")
+        row_key(id_col, text_col).alias("key"), F.col(id_col).alias("doc_id"), words_of(F.col(text_col)).alias("words")
     )
     items = benchmark.select(F.col(item_col).alias("item_id"), words_of(F.col(item_text_col)).alias("words"))
     items = items.withColumn("n_words", F.size("words")).filter("n_words > 0")
-    items = items.withColumn("item", F.monotonically_increasing_id()).checkpoint()
+    items = written(items.withColumn("item", F.monotonically_increasing_id()), "benchmark")
     size = F.least(F.col("n_words"), F.lit(SHINGLE))
     sizes = sorted(r[0] for r in items.select(size.alias("k")).distinct().collect())
-    out = None
-    for k in sizes or [SHINGLE]:
-        part = _matches(rows, items.filter(size == k), k)
-        out = part if out is None else out.unionByName(part)
-    return out
+    return _matches(rows, items, sizes or [SHINGLE])
 
 
 def decontaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """``docs`` (doc_id, text and any other columns) without the rows that match an item; cases as for matches."""
-    bad = matches(docs, benchmark).select(F.col("key").alias("__key")).distinct()
-    names = [F.col(f"`{c}`") for c in docs.columns]
-    keyed = docs.withColumn("__key", F.xxhash64("doc_id", "text"))
-    return keyed.join(bad, "__key", "left_anti").select(*names)
+    [key] = free(docs, "key")
+    bad = written(matches(docs, benchmark).select(F.col("key").alias(key)).distinct(), "bad")
+    return docs.withColumn(key, row_key()).join(bad, key, "left_anti").select(*columns(docs))

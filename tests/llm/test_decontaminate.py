@@ -48,8 +48,9 @@ def test_edited_passages_and_the_join_path(spark, monkeypatch):
     expected = {(d, i) for d, t in rows for i in (1, 2) if best(t, item) >= 0.8}
     found = lambda: {(r.doc_id, r.item_id) for r in D.matches(docs, bench).collect()}
     assert found() == expected and {d for d, _ in expected} == {1, 2, 3, 5, 7}
-    monkeypatch.setattr(D, "IN_SCAN", 0)
-    assert found() == expected
+    for name in ("IN_SCAN", "BROADCAST_ITEMS"):
+        monkeypatch.setattr(D, name, 0)
+        assert found() == expected
 
 
 def test_short_items_and_awkward_rows(spark):
@@ -63,7 +64,8 @@ def test_short_items_and_awkward_rows(spark):
 
 
 def test_pigeonhole(spark):
-    """The index meets every fingerprint within the radius: any 31 flips leave a block of at most 3."""
+    """The index meets every fingerprint within the radius: any 31 flips leave a block of at most 3, two for the items'
+    side and one for the windows'."""
     import random
 
     rng = random.Random(4)
@@ -71,3 +73,8 @@ def test_pigeonhole(spark):
         bits = rng.sample(range(128), D.RADIUS)
         per = Counter(b // 16 for b in bits)
         assert min(per.get(i, 0) for i in range(D.BLOCKS)) <= D.RADIUS // D.BLOCKS
+
+    rows = spark.createDataFrame([(0x1234,)], "v int").select(D._flipped("v", 1).alias("a")).crossJoin(
+        spark.createDataFrame([(0,)], "w int").select(D._flipped("w", D.RADIUS // D.BLOCKS - 1).alias("b")))
+    met = {r.a ^ r.b ^ 0x1234 for r in rows.collect()}
+    assert met == {m for m in range(1 << 16) if m.bit_count() <= D.RADIUS // D.BLOCKS}
