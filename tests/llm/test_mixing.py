@@ -1,7 +1,9 @@
 from collections import defaultdict
 
+import pytest
 from llm.cases import awkward, table
 
+from stillwater.llm import mixing as X
 from stillwater.llm.mixing import mix, source_targets
 
 
@@ -51,3 +53,19 @@ def test_awkward_rows(spark):
     kept = mix(df, keep=True)
     assert set(df.columns) < set(kept.columns) and kept.count() == df.count()
     assert mix(df.limit(0)).count() == 0
+
+
+def test_wordless_documents_of_a_capped_source(spark):
+    rows = [(i, "one two" if i % 2 else " ", "small") for i in range(40)] + [(100 + i, "a b c d e f g h " * 20, "large") for i in range(20)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    times = {r.doc_id: r.mix_times for r in mix(df, keep=True).collect()}
+    assert {times[i] for i in range(40)} == {3} and max(times.values()) <= 3
+
+
+@pytest.mark.parametrize("keep", [False, True])
+def test_many_sources_by_a_join(spark, monkeypatch, keep):
+    rows = [(i, "w " * (1 + i % 50), f"s{i % 3 and i % 97}") for i in range(2_000)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    few = sorted(map(tuple, mix(df, keep=keep).collect()))
+    monkeypatch.setattr(X, "BROADCAST_SOURCES", 5)
+    assert sorted(map(tuple, mix(df, keep=keep).collect())) == few
