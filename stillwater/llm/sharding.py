@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import utf8, written
+from .common import columns, free, utf8, written
 
 #: Ring slots: a key's place is the top 16 bits of its hash.
 SLOTS = 1 << 16
@@ -24,6 +24,8 @@ SLOTS = 1 << 16
 POINTS = 64
 #: Cells into which an arc is dealt, so that an arc's ranks aren't counted in one task.
 CELLS = 64
+#: Rows of a cell, at least, from which it is looked at for rows that are all equal.
+EQUAL = 8_192
 
 
 def ring(shards: int, points: int = POINTS) -> list[tuple[int, int]]:
@@ -91,42 +93,59 @@ def shard_rows(
     With epsilon 0 counts of rows are at most one apart. Null keys hash alike and spread clockwise once
     their shard is full, as do repeated rows; which of fully equal rows gets which place is left open.
     Rows are ordered by key and content, whatever partitions they come in. Empty table: no rows. Columns named
-    shard or slot are replaced.
+    shard or slot, in any case, are replaced; all others keep their names and values.
     """
     spark = df.sparkSession
-    names = [c for c in (carry or df.columns) if c not in ("shard", "slot")]
+    given = [c for c in carry or df.columns if c.lower() not in ("shard", "slot")]
+    kept = columns(df, tuple(c.lower() for c in df.columns if c not in given))
+    at, arc, key, tie, cell, rid, rank, low, high, first = free(
+        df, "at", "arc", "key", "tie", "cell", "rid", "rank", "low", "high", "first"
+    )
     points_at = ring(shards, points)
     slots = [s for s, _ in points_at]
     arcs = [bisect.bisect_left(slots, s) % len(slots) for s in range(SLOTS)]
     arc_of = spark.createDataFrame(
-        pa.table({"__at": pa.array(range(SLOTS), pa.int32()), "__arc": pa.array(arcs, pa.int32())})
+        pa.table({at: pa.array(range(SLOTS), pa.int32()), arc: pa.array(arcs, pa.int32())})
     )  # a row for each slot of the ring
-    key = F.xxhash64(F.col(f"`{id_col}`"))
+    hashed = F.xxhash64(F.col("`" + id_col.replace("`", "``") + "`"))
+    # maps have no hash of their own
+    contents = [F.to_json(F.struct(c)) if "map<" in kind or "variant" in kind else c
+                for c, (name, kind) in zip(columns(df), df.dtypes) if name in given]
     rows = df.select(
-        *[F.col(f"`{c}`") for c in names],
-        F.shiftrightunsigned(key, 48).cast("int").alias("__at"),
-        key.alias("__key"),
-        F.xxhash64(*[F.col(f"`{c}`") for c in names]).alias("__tie"),
-    )
-    rows = rows.join(F.broadcast(arc_of), "__at").withColumn(
-        "__cell", F.pmod(F.xxhash64("__key", "__tie"), F.lit(CELLS)).cast("int")
+        *kept,
+        F.shiftrightunsigned(hashed, 48).cast("int").alias(at),
+        hashed.alias(key),
+        F.xxhash64(*contents).alias(tie),
+        F.monotonically_increasing_id().alias(rid),
     )
+    rows = rows.join(F.broadcast(arc_of), at).withColumn(cell, F.pmod(F.xxhash64(key, tie), F.lit(CELLS)).cast("int"))
     rows = written(rows, "ring")  # read once, for the counts and the ranks alike
-    counts = {(r[0], r[1]): r[2] for r in rows.groupBy("__arc", "__cell").count().collect()}
+    counted = lambda rows: {(r[0], r[1]): r[2] for r in rows.groupBy(arc, cell).count().collect()}
+    counts = counted(rows)
+    # equal rows that fill a cell are dealt to cells of their own: any of them can have any of their places
+    usual = max(EQUAL, 2 * sum(counts.values()) // (len(points_at) * CELLS))
+    if full := [c for c, n in counts.items() if n > usual]:
+        crowded = pa.table({arc: pa.array([a for a, _ in full], pa.int32()), cell: pa.array([c for _, c in full], pa.int32())})
+        inside = rows.select(arc, cell, key, tie).join(F.broadcast(spark.createDataFrame(crowded)), [arc, cell])
+        equal = written(inside.groupBy(key, tie).count().filter(F.col("count") > usual // 2).drop("count"), "equal")
+        [dealt] = free(rows, "dealt")
+        # groups of at least a cell's usual rows, so as many as there are cells at most
+        rows = rows.join(F.broadcast(equal.withColumn(dealt, F.lit(True))), [key, tie], "left")
+        own = (CELLS * (1 + F.pmod(F.xxhash64(tie), F.lit(8))) + F.pmod(F.xxhash64(rid), F.lit(CELLS))).cast("int")
+        rows = rows.withColumn(cell, F.when(F.col(dealt), own).otherwise(F.col(cell)))
+        counts = counted(rows)
     places = plan(counts, points_at, capacities(sum(counts.values()), shards, epsilon))
-    kinds = {"__arc": pa.int32(), "__cell": pa.int32(), "__low": pa.int64(), "__high": pa.int64()}
-    kinds |= {"shard": pa.int32(), "__slot": pa.int64()}
-    columns = zip(*places) if places else [[]] * len(kinds)
+    kinds = {arc: pa.int32(), cell: pa.int32(), low: pa.int64(), high: pa.int64(), "shard": pa.int32(), first: pa.int64()}
+    filled = zip(*places) if places else [[]] * len(kinds)
     intervals = spark.createDataFrame(
-        pa.table({name: pa.array(c, kind) for (name, kind), c in zip(kinds.items(), columns)})
+        pa.table({name: pa.array(c, kind) for (name, kind), c in zip(kinds.items(), filled)})
     )  # a row for each cell and, where it is split, each shard it goes to
-    order = Window.partitionBy("__arc", "__cell").orderBy("__key", "__tie")
-    ranked = rows.withColumn("__rank", F.row_number().over(order).cast("long") - 1)
-    placed = ranked.join(F.broadcast(intervals), ["__arc", "__cell"]).filter(
-        (F.col("__rank") >= F.col("__low")) & (F.col("__rank") < F.col("__high"))
+    order = Window.partitionBy(arc, cell).orderBy(key, tie)
+    ranked = rows.withColumn(rank, F.row_number().over(order).cast("long") - 1)
+    placed = ranked.join(F.broadcast(intervals), [arc, cell]).filter(
+        (F.col(rank) >= F.col(low)) & (F.col(rank) < F.col(high))
     )
-    slot = (F.col("__slot") + F.col("__rank") - F.col("__low")).alias("slot")
-    return placed.select(*[F.col(f"`{c}`") for c in names], "shard", slot)
+    return placed.select(*kept, "shard", (F.col(first) + F.col(rank) - F.col(low)).alias("slot"))
 
 
 def shard_digest(df: DataFrame, shards: int = 24, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

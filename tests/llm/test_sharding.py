@@ -78,3 +78,12 @@ def test_limited_movement(spark):
     b = {r.doc_id: r.shard for r in H.shard_rows(df, 11, epsilon=0.25).collect()}
     assert sum(a[k] != b[k] for k in a) < 0.4 * len(a)
     assert max(list(b.values()).count(s) for s in range(11)) <= 1.25 * 5000 / 11 + 1
+
+
+def test_equal_rows_are_dealt_to_cells_of_their_own(spark, monkeypatch):
+    """The same places of every content, however the rows are dealt out."""
+    monkeypatch.setattr(H, "EQUAL", 64)
+    df = spark.createDataFrame([(7 if i % 3 else i, "x" if i % 3 else f"y{i}") for i in range(3_000)], "doc_id long, text string")
+    outs = [H.shard_rows(d, 24).collect() for d in (df.repartition(3), df.coalesce(1))]
+    check(outs[0], 24)
+    assert sorted(map(tuple, outs[0])) == sorted(map(tuple, outs[1]))
