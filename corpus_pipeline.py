@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from stillwater.llm import decontaminate, mixing, quality, sharding, similarity_join
-from stillwater.llm.common import shared_dir, table
+from stillwater.llm.common import columns, forget, free, marked, shared_dir, table
 
 
 def classify(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -26,9 +26,9 @@ def decontaminate_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Each document as often as the mix takes it: none to three times."""
-    names = [F.col(f"`{c}`") for c in docs.columns]
-    mixed = mixing.mix(docs, keep=True).filter("mix_times > 0")
-    return mixed.select(*names, F.explode(F.sequence(F.lit(1), "mix_times")).alias("__time")).drop("__time")
+    [times, time] = free(docs, "times", "time")
+    mixed = mixing.mix(docs, keep=True, times=times).filter(F.col(times) > 0)
+    return mixed.select(*columns(docs), F.explode(F.sequence(F.lit(1), F.col(times))).alias(time)).drop(time)
 
 
 def shard(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -51,11 +51,11 @@ ORACLE_SQL = None
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages over the documents of ``sf_dir``."""
     docs = table(spark, sf_dir, "documents")
-    base = shared_dir(spark)
     for k, (_, stage) in enumerate(STAGES):
-        docs = stage(spark, docs, sf_dir)
-        if k < len(STAGES) - 1:
-            path = f"{base}/stage{k}"
-            docs.write.parquet(path)
-            docs = spark.read.parquet(path)
-    return docs
+        if k == len(STAGES) - 1:
+            return stage(spark, docs, sf_dir)
+        path = f"{shared_dir(spark)}/stage{k}"
+        made = marked()
+        stage(spark, docs, sf_dir).write.parquet(path)
+        forget(made)  # what the stage left behind
+        docs = spark.read.parquet(path)

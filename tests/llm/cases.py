@@ -28,3 +28,19 @@ def awkward(spark):
 
 def table(spark, sf_dir, name="documents"):
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+CLASHES = ("__k", "__key", "__times", "__at", "Shard", "__h", "__cut", "__time", "__cell", "__rank", "a.b", "c`d", "Slot", "__m0", "MIX_times")
+
+
+def clashing(spark, rows):
+    """(doc_id, text, source) rows with columns of names that operators use inside, and a map: each row has values of its own."""
+    names = "doc_id long, text string, lang string, source string, n_chars long, m map<string,int>, "
+    names += ", ".join("`" + c.replace("`", "``") + "` string" for c in CLASHES)
+    made = [(i, t, "en", s, len(t or ""), {"k": k}, *(f"{c}{k}" for c in CLASHES)) for k, (i, t, s) in enumerate(rows)]
+    return spark.createDataFrame(made, names)
+
+
+def whole(rows, without=()):
+    """Rows as comparable values, by column name."""
+    return sorted((tuple((c, str(v)) for c, v in sorted(r.asDict().items()) if c not in without) for r in rows), key=repr)

@@ -1,10 +1,12 @@
 import zlib
 
 import corpus_pipeline as P
+from llm.cases import clashing, whole
 from llm.test_decontaminate import best
 from llm.test_similarity_join import brute
 
 from stillwater.llm import quality
+from stillwater.llm.mixing import mix
 
 
 def test_stages(spark, tmp_path):
@@ -35,3 +37,40 @@ def test_stages(spark, tmp_path):
 def test_run_over_the_smallest(spark, sf_dir):
     out = P.run(spark, sf_dir)
     assert out.count() > 0 and {"shard", "slot", "text"} <= set(out.columns)
+
+
+def test_awkward_rows_keep_all_their_values(spark, tmp_path, monkeypatch):
+    """Every stage on rows with nulls, repeats and clashing names: what stays is unchanged in every column."""
+    item = " ".join(f"q{i}" for i in range(30))
+    text = lambda k: " ".join(f"w{k}x{j}" for j in range(20))
+    rows = [(None, text(1), "s"), (None, text(2), "s"), (None, text(2), "t"), (4, text(3), None), (5, text(3) + " more", "s"), (6, item, "s"),
+            (7, None, "t"), (7, "", None), (None, None, None), (8, text(4), "u"), (8, text(4), "u"), (9, "one", "u"), (10, text(5), "u")]
+    df = clashing(spark, rows)
+    base = f"{tmp_path}/sf"
+    spark.createDataFrame([(4, 1, 0), (5, 1, 0)], "doc_id long, quality int, toxic int").write.parquet(f"{base}/labels.parquet")
+    spark.createDataFrame([(1, item), (2, None)], "item_id long, text string").write.parquet(f"{base}/benchmark.parquet")
+    monkeypatch.setattr(quality, "fit", lambda rows, marks: quality.FactorisationMachine(5.0, quality.np.zeros(quality.DIM), quality.np.zeros((quality.DIM, 8))))
+    given, by_name = whole(df.collect()), dict(P.STAGES)
+    for name, stage in list(by_name.items())[:4]:
+        out = stage(spark, df, base)
+        assert out.schema.simpleString() == df.schema.simpleString(), name
+        got = whole(out.collect())
+        assert set(got) <= set(given), name
+        texts = sorted(((r.doc_id, r.text) for r in out.collect()), key=repr)
+        if name == "quality classifier":
+            assert got == given
+        elif name == "n-gram Jaccard join":
+            assert texts == sorted([(None, text(1)), (None, text(2)), (4, text(3)), (6, item), (7, None), (7, ""), (None, None), (8, text(4)), (9, "one"), (10, text(5))], key=repr)
+        elif name == "benchmark decontamination":
+            assert got == [g for g in given if ("doc_id", "6") not in g]
+        else:
+            times = whole(mix(df, keep=True, times="MIX_times").collect(), ("MIX_times",))
+            n = {r.asDict()["__k"]: r.asDict()["taken_times"] for r in mix(df, keep=True, times="taken_times").collect()}
+            assert len(times) == len(given) and max(n.values()) <= 3
+            assert sorted(r.asDict()["__k"] for r in out.collect()) == sorted(k for k, t in n.items() for _ in range(t))
+    out = by_name["sharding"](spark, df, base)
+    dropped = [c for c in df.columns if c.lower() in ("shard", "slot")]
+    assert whole(out.collect(), ("shard", "slot")) == whole(df.drop(*dropped).collect())
+    empty = df.limit(0)
+    for name, stage in P.STAGES:
+        assert stage(spark, empty, base).count() == 0, name
