@@ -38,7 +38,7 @@ FIRST_RULE = 50_257
 #: sixteenth as frequent as its most frequent one, so rarer pairs are counted anew once frequent ones are gone.
 LEAST_COUNT, RULES_A_ROUND, SHARE = 8, 3_500, 16
 #: Pieces of text of which a worker remembers the ids; bytes of text that are encoded side by side.
-CACHE, SIDE = 1_000_000, 8 << 20
+CACHE, SIDE = 800_000, 16 << 20
 
 _MAGIC = b"RPT1"
 _HEAD = struct.Struct("<4sIIQ")
@@ -79,14 +79,14 @@ class Encoder:
         self.tokenizer = Tokenizer.from_file(path)
         if self.tokenizer.get_vocab_size() > FIRST_RULE:
             raise ValueError(f"ids from {FIRST_RULE} on are the shards' nonterminals; the vocabulary has more")
-        plan = json.loads(self.tokenizer.to_str())
-        before = plan.get("pre_tokenizer") or {}
+        before = self.tokenizer.pre_tokenizer
+        before = json.loads(before.__getstate__()) if before else {}
         self.cuts = (
             before.get("type") == "ByteLevel"
             and before.get("use_regex", True)
             and not before.get("add_prefix_space")
-            and not plan.get("normalizer")
-            and not plan.get("truncation")
+            and not self.tokenizer.normalizer
+            and not self.tokenizer.truncation
         )
         # the letters that stand for bytes in the vocabulary: printable ones for themselves, the rest from 256 on
         printable = [*range(33, 127), *range(161, 173), *range(174, 256)]
@@ -204,24 +204,30 @@ def re_pair(ids: np.ndarray, starts: np.ndarray) -> tuple[np.ndarray, np.ndarray
     barrier = np.zeros(len(sequence) + 1, bool)
     barrier[starts] = True
     none = np.uint32(0xFFFFFFFF)  # a pair of the last symbol, which comes into being in the last round
-    held, number = np.full(1 << 20, none), np.zeros(1 << 20, np.uint16)
+    held, number = np.full(1 << 18, none), np.zeros(1 << 18, np.uint16)
+    recent = 0  # once all frequent pairs of a round are replaced, only pairs with a newer symbol can be frequent
     while len(sequence) > 1 and made < (1 << 16) - FIRST_RULE:
         pairs = (sequence[:-1] << 16) | sequence[1:]
         inside = ~barrier[1 : len(sequence)]
+        if recent:
+            new = sequence >= recent
+            inside &= new[:-1] | new[1:]
         ordered = np.sort(pairs[inside])
         cuts = np.flatnonzero(np.concatenate(([True], ordered[1:] != ordered[:-1])))
         counts = np.diff(np.append(cuts, len(ordered)))
-        if not len(ordered) or counts.max() < LEAST_COUNT:
+        if not len(ordered) or (most := int(counts.max())) < LEAST_COUNT:
             break
-        often = np.flatnonzero(counts >= max(LEAST_COUNT, int(counts.max()) // SHARE))
+        least = max(LEAST_COUNT, most // SHARE)
+        often = np.flatnonzero(counts >= least)
         often = often[np.argsort(-counts[often], kind="stable")]
         chosen = ordered[cuts[often]]
-        slot = (chosen * np.uint32(2654435761)) >> np.uint32(12)
+        slot = (chosen * np.uint32(2654435761)) >> np.uint32(14)
         _, best = np.unique(slot, return_index=True)  # of pairs in one slot the rarer wait for the next round
         chosen = chosen[np.sort(best)][: min(RULES_A_ROUND, (1 << 16) - FIRST_RULE - made)]
-        slot = (chosen * np.uint32(2654435761)) >> np.uint32(12)
+        recent = FIRST_RULE + made if least == LEAST_COUNT and len(chosen) == len(often) else 0
+        slot = (chosen * np.uint32(2654435761)) >> np.uint32(14)
         held[slot], number[slot] = chosen, FIRST_RULE + made + np.arange(len(chosen))
-        at = (pairs * np.uint32(2654435761)) >> np.uint32(12)
+        at = (pairs * np.uint32(2654435761)) >> np.uint32(14)
         found = np.flatnonzero((held[at] == pairs) & inside)
         # of touching pairs take every other, from the left
         fresh = np.concatenate(([True], np.diff(found) > 1))
