@@ -8,7 +8,6 @@ which rank interval of each cell goes to which shard, and every row finds its in
 
 from __future__ import annotations
 
-import bisect
 import hashlib
 from collections import defaultdict
 
@@ -102,11 +101,11 @@ def shard_rows(
         df, "at", "arc", "key", "tie", "cell", "rid", "rank", "low", "high", "first"
     )
     points_at = ring(shards, points)
-    slots = [s for s, _ in points_at]
-    arcs = [bisect.bisect_left(slots, s) % len(slots) for s in range(SLOTS)]
-    arc_of = spark.createDataFrame(
-        pa.table({at: pa.array(range(SLOTS), pa.int32()), arc: pa.array(arcs, pa.int32())})
-    )  # a row for each slot of the ring
+    ends = [slot for slot, _ in points_at]
+    starts, arcs = [0, *(e + 1 for e in ends)], [*range(len(ends)), 0]  # past the last point comes the first
+    stretches = pa.table({arc: pa.array(arcs, pa.int32()), low: pa.array(starts, pa.int32()), high: pa.array([*ends, SLOTS - 1], pa.int32())})
+    arc_of = spark.createDataFrame(stretches).filter(F.col(low) <= F.col(high))
+    arc_of = arc_of.select(arc, F.explode(F.sequence(low, high)).alias(at))  # a row for each slot of the ring
     hashed = F.xxhash64(F.col("`" + id_col.replace("`", "``") + "`"))
     # maps have no hash of their own
     contents = [F.to_json(F.struct(c)) if "map<" in kind or "variant" in kind else c
@@ -120,7 +119,8 @@ def shard_rows(
     )
     rows = rows.join(F.broadcast(arc_of), at).withColumn(cell, F.pmod(F.xxhash64(key, tie), F.lit(CELLS)).cast("int"))
     rows = written(rows, "ring")  # read once, for the counts and the ranks alike
-    counted = lambda rows: {(r[0], r[1]): r[2] for r in rows.groupBy(arc, cell).count().collect()}
+    # a row for each cell
+    counted = lambda rows: {(a, c): n for a, c, n in zip(*(x.to_pylist() for x in rows.groupBy(arc, cell).count().toArrow().columns))}
     counts = counted(rows)
     # equal rows that fill a cell are dealt to cells of their own: any of them can have any of their places
     usual = max(EQUAL, 2 * sum(counts.values()) // (len(points_at) * CELLS))
