@@ -53,6 +53,16 @@ class EngineError(Exception):
         super().__init__(f"{_PREFIX[code]}{detail}")
 
 
+def message(code: Column, prefix: Column, detail: Column, display: Column, window: Column) -> Column:
+    """The message of a status: its prefix and what is known; a display's name stands before the detail, a missing window's
+    id in its place."""
+    return (
+        F.when(code == "display_unavailable", F.concat(prefix, display, F.lit(": "), detail))
+        .when(code == "window_not_found", F.concat(prefix, window))
+        .otherwise(F.concat(prefix, detail))
+    )
+
+
 def status_table(spark: SparkSession) -> DataFrame:
     """code, exit_status, prefix, session_fatal."""
     rows = spark.createDataFrame(STATUS, "code string, exit_status int, prefix string")

@@ -171,6 +171,48 @@ def frame_message(body: Column) -> Column:
     return F.when((n > 0) & (n <= MAX_MESSAGE), F.concat(head, F.encode(body, "UTF-8")))
 
 
+#: The version that services speak.
+PROTOCOL_VERSION = 1
+
+
+def incoming(wire: Column) -> Column:
+    """struct(status, request_id, detail, body) of the bytes read from a connection.
+
+    Nothing read: closed. A length that is cut short, zero or above MAX_MESSAGE (told before any of the body is read), a
+    body shorter than its length, and a body without a method are protocol errors; of the last the request id is salvaged.
+    """
+    n = F.octet_length(wire)
+    length = F.conv(F.hex(F.substring(wire, 1, 4)), 16, 10).cast("long")
+    whole = (n >= 4) & (length.between(1, MAX_MESSAGE)) & (n >= length + 4)
+    body = F.when(whole, F.decode(F.substr(wire, F.lit(5), length.cast("int")), "UTF-8"))
+    method = F.get_json_object(body, "$.method")
+    detail = (
+        F.when(n == 0, F.lit(None))
+        .when(n < 4, "could not read a message length")
+        .when(length == 0, "a message length of zero")
+        .when(length > MAX_MESSAGE, F.concat(F.lit("message of "), length, F.lit(f" bytes exceeds the {MAX_MESSAGE} byte limit")))
+        .when(n < length + 4, "could not read a message body")
+        .when(method.isNull(), "could not decode a message")
+    )
+    status = F.when(n == 0, "closed").when(detail.isNotNull(), "service_protocol_error").otherwise("ok")
+    return F.struct(
+        status.alias("status"), F.when(whole, salvage_request_id(body)).otherwise("").alias("request_id"), detail.alias("detail"), body.alias("body")
+    )
+
+
+def handled(body: Column) -> Column:
+    """struct(request_id, ok, code, message): a request's answer, whose version, if any, is checked before it is dispatched."""
+    version = F.get_json_object(body, "$.protocol_version").cast("long")
+    ok = F.coalesce(version == PROTOCOL_VERSION, F.lit(True))
+    told = F.concat(
+        F.lit("service protocol error: protocol version "), version,
+        F.lit(f" is not supported; this service speaks version {PROTOCOL_VERSION}. The client and the service are probably different builds."),
+    )
+    return F.struct(
+        salvage_request_id(body).alias("request_id"), ok.alias("ok"), F.when(~ok, "service_protocol_error").alias("code"), F.when(~ok, told).alias("message")
+    )
+
+
 def route_output(json: Column, base64: Column, stdout: Column) -> Column:
     """struct(status, write_image_bytes, metadata): where bytes and metadata of a capture go."""
     bytes_too = ~(json & base64 & stdout)

@@ -37,6 +37,11 @@ class CompareOptions:
 TEMPORAL = CompareOptions("rgb", 12, 0.005)
 
 
+def effective_threshold(mode: Column, threshold: Column) -> Column:
+    """The pixel threshold that a comparison reports: 0 in exact mode."""
+    return F.when(mode == "exact", 0).otherwise(threshold)
+
+
 def pixel_changed(options: CompareOptions, before: str = "before", after: str = "after") -> Column:
     """Whether a pixel changed between the structs (r, g, b) ``before`` and ``after``."""
     pairs = [(F.col(f"{before}.{c}"), F.col(f"{after}.{c}")) for c in "rgb"]

@@ -16,6 +16,11 @@ def check_capacity(capacity: int) -> int:
     return capacity
 
 
+def validate_create(capacity: Column, width: Column) -> Column:
+    """The status of a session's arguments: the capacity is checked before the region."""
+    return F.when(~capacity.between(1, MAX_CAPACITY), "invalid_arguments").when(width == 0, "invalid_region").otherwise("ok")
+
+
 def retained_window(frames: DataFrame, capacity: int) -> DataFrame:
     """The newest ``capacity`` frames of each session: newest id less capacity, without sorting a session."""
     check_capacity(capacity)

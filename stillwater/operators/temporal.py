@@ -31,6 +31,43 @@ class Schedule:
         return -(-self.timeout_ms // self.interval_ms)
 
 
+def validate_temporal(interval: Column, timeout: Column, stable: Column, area: Column) -> Column:
+    """The status of an observation's arguments: durations are above zero, the area threshold is 0 to 1."""
+    return (
+        F.when((interval <= 0) | (timeout <= 0) | (stable <= 0), "invalid_duration")
+        .when(~area.between(0.0, 1.0), "invalid_arguments")
+        .otherwise("ok")
+    )
+
+
+#: Most frames of a stack.
+MAX_STACK = 8
+
+
+def validate_realtime(frames: Column, timeout: Column, interval: Column) -> Column:
+    """The status of a stack's arguments: 1 to MAX_STACK frames, a timeout, and an interval where there are several frames."""
+    return (
+        F.when(~frames.between(1, MAX_STACK), "invalid_arguments")
+        .when((timeout <= 0) | ((frames > 1) & (interval <= 0)), "invalid_duration")
+        .otherwise("ok")
+    )
+
+
+def ideal_offset(index: Column, interval: Column) -> Column:
+    """When a stack's frame is due, after the first one."""
+    return index * interval
+
+
+def same_geometry(geometry: Column) -> Column:
+    """An aggregate: whether all frames of a stack have one geometry, of any fields."""
+    return F.when(F.min(geometry) == F.max(geometry), "ok").otherwise("geometry_changed")
+
+
+def stack_status(frames: Column) -> Column:
+    """A stack without frames is a failed observation."""
+    return F.when(frames == 0, "observation_failed").otherwise("ok")
+
+
 def sampled(samples: DataFrame, comparisons: DataFrame) -> DataFrame:
     """session_id, i, frame_id with the comparison of the sample's frame; a frame played again compares as unchanged.
 

@@ -74,13 +74,15 @@ _column("frame_changed", ["changed"])
 
 
 def _pixels(name: str, options: C.CompareOptions, test: str):
+    before = ", ".join(f"{c} AS {c}2, lag({c}) OVER earlier AS {c}1" for c in "rgb")
+
     @query(
         name,
         f"""{_WITH} SELECT session_id, frame_id, x, y, {test} AS pixel_changed
-FROM ({Q.consecutive_pairs('emb')}) WHERE frame_id <= 4""",
+FROM (SELECT session_id, frame_id, x, y, {before} FROM emb WINDOW earlier AS (PARTITION BY session_id, x, y ORDER BY frame_id)) WHERE frame_id > 1""",
     )
     def run(spark, sf_dir):
-        frames = S.embedding_pixels(spark, sf_dir).filter("frame_id <= 4")
+        frames = S.embedding_pixels(spark, sf_dir)
         before, after = C.with_previous(frames)
         pack, keys = F.struct("r", "g", "b"), ["session_id", "frame_id", "x", "y"]
         j = before.select(*keys, pack.alias("before")).join(after.select(*keys, pack.alias("after")), keys)
@@ -99,7 +101,7 @@ def effective_threshold(spark, sf_dir):
     o = S.table(spark, sf_dir, "orders")
     mode = F.when(F.col("o_orderkey") % 2 == 0, "exact").otherwise("rgb")
     return o.select(
-        F.col("o_orderkey").alias("id"), F.when(mode == "exact", 0).otherwise(F.col("o_custkey") % 256).alias("threshold")
+        F.col("o_orderkey").alias("id"), C.effective_threshold(mode, F.col("o_custkey") % 256).alias("threshold")
     )
 
 

@@ -175,24 +175,49 @@ _add(
     lambda: {"wire": F.hex(P.frame_message(F.when(_c("flag3"), F.lit("")).otherwise(_body())))},
     {"wire": f"CASE WHEN NOT flag3 THEN upper(printf('%08x', strlen({_BODY})) || hex({_BODY})) END"},
 )
+def _wire():
+    """What a connection may hold: nothing, half a length, a length of zero, too long a one, half a body, or a message."""
+    head, kind = P.frame_message(_body()), F.pmod(_c("k"), F.lit(8))
+    return (
+        F.when(kind == 0, F.unhex(F.lit("")))
+        .when(kind == 1, F.unhex(F.lit("0000")))
+        .when(kind == 2, F.unhex(F.lit("00000000")))
+        .when(kind == 3, F.unhex(F.lit("04000001")))
+        .when(kind == 4, F.substring(head, 1, 7))
+        .otherwise(F.concat(head, F.unhex(F.lit("FF"))))  # and the start of the next
+    )
+
+
 _add(
     "read_incoming",
-    lambda: {"status": F.when(F.get_json_object(_body(), "$.method").isNull(), "service_protocol_error").otherwise("ok")},
-    {"status": "CASE WHEN flag1 OR flag2 THEN 'ok' ELSE 'service_protocol_error' END"},
-)
+    lambda: {c: P.incoming(_wire())[c] for c in ("status", "request_id", "detail")},
+    {
+        "status": "CASE WHEN k % 8 = 0 THEN 'closed' WHEN k % 8 > 4 AND (flag1 OR flag2) THEN 'ok' ELSE 'service_protocol_error' END",
+        "request_id": "CASE WHEN k % 8 > 4 AND flag1 THEN 'r' || k ELSE '' END",
+        "detail": "CASE k % 8 WHEN 0 THEN NULL WHEN 1 THEN 'could not read a message length' WHEN 2 THEN 'a message length of zero' "
+            "WHEN 3 THEN 'message of 67108865 bytes exceeds the 67108864 byte limit' WHEN 4 THEN 'could not read a message body' "
+            "ELSE CASE WHEN NOT flag1 AND NOT flag2 THEN 'could not decode a message' END END",
+    },
+)
+
+
+def _envelope():
+    """A request without a version, or with one of 0 to 2."""
+    version = F.when(_c("flag3"), F.concat(F.lit(',"protocol_version":'), (_c("k2") % 3).cast("string"))).otherwise("")
+    return F.concat(F.lit('{"request_id":"r'), _c("k").cast("string"), F.lit('","method":"ping"'), version, F.lit("}"))
+
+
 _add(
     "handle_envelope",
-    lambda: {
-        "request_id": P.salvage_request_id(_body()),
-        "ok": F.coalesce(F.when(_c("flag3"), _c("k2") % 3), F.lit(1)) == 1,
-        "code": F.when(F.coalesce(F.when(_c("flag3"), _c("k2") % 3), F.lit(1)) != 1, "service_protocol_error"),
-    },
+    lambda: {c: P.handled(_envelope())[c] for c in ("request_id", "ok", "code", "message")},
     {
-        "request_id": "CASE WHEN flag1 THEN 'r' || k ELSE '' END",
+        "request_id": "'r' || k",
         "ok": "NOT flag3 OR k2 % 3 = 1",
         "code": "CASE WHEN flag3 AND k2 % 3 <> 1 THEN 'service_protocol_error' END",
+        "message": "CASE WHEN flag3 AND k2 % 3 <> 1 THEN 'service protocol error: protocol version ' || k2 % 3 || ' is not supported; "
+            "this service speaks version 1. The client and the service are probably different builds.' END",
     },
-)
+)
 _add(
     "route_output",
     lambda: (lambda r: {c: r[c] for c in ("status", "write_image_bytes", "metadata")})(P.route_output(_c("flag1"), _c("flag2"), _c("flag3"))),
@@ -280,7 +305,7 @@ def zigzag(spark, sf_dir):
 
 
 _BLOCKS = """WITH f AS (SELECT vec_id, pos, (floor(embedding[pos + 1]::DOUBLE * 128) + 128)::INT - 128 AS v
-  FROM embeddings, (SELECT unnest(range(64)) AS pos) WHERE vec_id % 5 = 0)
+  FROM embeddings, (SELECT unnest(range(64)) AS pos))
 SELECT vec_id, u, w, {} FROM (
   SELECT vec_id, u, w, 0.25::DOUBLE * CASE WHEN u = 0 THEN sqrt(0.5::DOUBLE) ELSE 1 END * CASE WHEN w = 0 THEN sqrt(0.5::DOUBLE) ELSE 1 END
     * sum(v * cos((2 * (pos % 8) + 1) * u * pi() / 16) * cos((2 * (pos // 8) + 1) * w * pi() / 16)) AS c
@@ -288,7 +313,7 @@ SELECT vec_id, u, w, {} FROM (
 
 
 def _blocks(spark, sf_dir):
-    e = table(spark, sf_dir, "embeddings").filter("vec_id % 5 = 0")
+    e = table(spark, sf_dir, "embeddings")
     v = F.transform("embedding", lambda x: F.floor(x.cast("double") * 128))
     return M.dct(e.select("vec_id", v.alias("v")), ["vec_id"])
 

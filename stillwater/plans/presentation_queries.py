@@ -56,9 +56,9 @@ def crop_lines(spark, sf_dir):
     return R.to_pixels(crop_scanlines(S.embedding_scanlines(spark, sf_dir), 3, 2, 3, 6), _KEYS)
 
 
-# Stacks: the first 8 events of a user, three frames a stack, on a 1280 x 720 source at (10, 20).
-_STACKS = """SELECT user_id * 10 + (n - 1) // 3 AS stack_id, (n - 1) % 3 AS frame_index, event_id AS frame_id, 1280 AS width, 720 AS height, 10 AS src_x, 20 AS src_y
-FROM (SELECT user_id, event_id, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS n FROM events) WHERE n <= 8"""
+# Stacks: the events of a user, three frames a stack, on a 1280 x 720 source at (10, 20).
+_STACKS = """SELECT user_id * 1000000000 + (n - 1) // 3 AS stack_id, (n - 1) % 3 AS frame_index, event_id AS frame_id, 1280 AS width, 720 AS height, 10 AS src_x, 20 AS src_y
+FROM (SELECT user_id, event_id, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS n FROM events)"""
 _REGIONS = [
     ("hud", 10, 20, 400, 100, "all", True, 50, "png", None, None),
     ("map", 900, 500, 300, 200, "newest", False, 120, "jpeg", 80, 200),
@@ -87,9 +87,9 @@ plan AS (
 
 def _stacks(spark, sf_dir):
     e = S.table(spark, sf_dir, "events").select("user_id", "event_id", "ts")
-    e = S.assign_frame_ids(e, "user_id", "ts", "event_id").withColumnRenamed("frame_id", "n").filter("n <= 8")
+    e = S.assign_frame_ids(e, "user_id", "ts", "event_id").withColumnRenamed("frame_id", "n")
     return e.selectExpr(
-        "user_id * 10 + (n - 1) div 3 AS stack_id", "cast((n - 1) % 3 as int) AS frame_index", "event_id AS frame_id", "1280 AS width",
+        "user_id * 1000000000 + (n - 1) div 3 AS stack_id", "cast((n - 1) % 3 as int) AS frame_index", "event_id AS frame_id", "1280 AS width",
         "720 AS height", "10 AS src_x", "20 AS src_y",
     )
 
@@ -228,10 +228,10 @@ def minimum_payload(spark, sf_dir):
     "older_views_exhausted",
     f"""{_STATES} SELECT stack_id, state, coalesce(bool_and((format <> 'jpeg' OR len(list_filter(qs, lambda s: s < actual_quality)) = 0) AND len(list_filter(ws, lambda s: s < actual_width)) = 0)
   FILTER (WHERE NOT is_newest AND shown), true) AS exhausted, bool_or(is_newest AND (actual_quality <> quality OR actual_width <> cw OR NOT shown AND format <> 'metadata')) AS newest_degraded
-FROM states WHERE state IN (3, 12, 20) GROUP BY stack_id, state""",
+FROM states GROUP BY stack_id, state""",
 )
 def older_views_exhausted(spark, sf_dir):
-    s = P.ladder_states(_fitted(spark, sf_dir)).filter(F.col("state").isin(3, 12, 20))
+    s = P.ladder_states(_fitted(spark, sf_dir))
     q = F.size(P.steps_below(P.QUALITY_LADDER, F.col("actual_quality"), F.col("min_quality"))) == 0
     w = F.size(P.steps_below(P.WIDTH_LADDER, F.col("actual_width"), F.col("min_width"))) == 0
     spent = ((F.col("format") != "jpeg") | q) & w
@@ -365,10 +365,10 @@ def requests_any_image(spark, sf_dir):
     )
 
 
-@query("within_budget", f"{_STATES} SELECT stack_id, state, bytes <= budget AS within FROM totals JOIN budget USING (stack_id) WHERE state % 5 = 0")
+@query("within_budget", f"{_STATES} SELECT stack_id, state, bytes <= budget AS within FROM totals JOIN budget USING (stack_id)")
 def within_budget(spark, sf_dir):
     p = _fitted(spark, sf_dir)
-    t = P.ladder_states(p).filter("state % 5 = 0").groupBy("stack_id", "state").agg(
+    t = P.ladder_states(p).groupBy("stack_id", "state").agg(
         F.sum(F.when(F.col("shown"), _size()).otherwise(0)).cast("long").alias("bytes")
     )
     return t.select("stack_id", "state", (F.col("bytes") <= F.lit(60000) + F.col("stack_id") * 7919 % 500000).alias("within"))

@@ -15,6 +15,7 @@ from ..operators import temporal as T
 from ..operators.prepare import prepare_image
 from ..sources import frames as S
 from ..sources.images import image_pixels, scan_images
+from ..sources.tables import shared_folder
 from . import frame_sql as Q
 from .registry import ORACLE_SQL, query, scalar
 from .session_queries import _NEWEST, _frames
@@ -27,8 +28,7 @@ _DIGEST = ["format", "bytes", "offset_x", "offset_y", "scale_x", "scale_y"]
 
 def _image_folder(spark) -> str:
     """A few files of either format in the shared folder, written through Hadoop's file systems."""
-    base = spark.conf.get("spark.checkpoint.dir", None) or "/tmp/checkpoints"
-    path = f"{base.rstrip('/')}/images-{uuid.uuid4().hex}"
+    path = f"{shared_folder(spark)}/images-{uuid.uuid4().hex}"
     fs = spark._jvm.org.apache.hadoop.fs
     for i in range(4):
         y, x = np.mgrid[0:12, 0:16]
@@ -65,12 +65,11 @@ def baseline_frame(spark, sf_dir):
     return S.embedding_pixels(spark, sf_dir).filter("frame_id = 1").select("session_id", "x", "y", "r")
 
 
-@query("write_file_atomic", f"WITH {Q.EMB} SELECT session_id, frame_id, x, y, r FROM emb WHERE frame_id <= 2")
+@query("write_file_atomic", f"WITH {Q.EMB} SELECT session_id, frame_id, x, y, r FROM emb")
 def write_file_atomic(spark, sf_dir):
     """Written by the commit protocol, where readers see all of a job or nothing, and read back."""
-    base = spark.conf.get("spark.checkpoint.dir", None) or "/tmp/checkpoints"
-    path = f"{base.rstrip('/')}/frames-{uuid.uuid4().hex}"
-    S.embedding_pixels(spark, sf_dir).filter("frame_id <= 2").select("session_id", "frame_id", "x", "y", "r").write.parquet(path)
+    path = f"{shared_folder(spark)}/frames-{uuid.uuid4().hex}"
+    S.embedding_pixels(spark, sf_dir).select("session_id", "frame_id", "x", "y", "r").write.parquet(path)
     return spark.read.parquet(path)
 
 
@@ -169,11 +168,11 @@ def session_latest(spark, sf_dir):
     return O.latest_frame(_frames(spark, sf_dir)).select("session_id", "frame_id", "event_id")
 
 
-@query("session_frame", f"SELECT session_id, frame_id, event_id, newest - frame_id AS back FROM ({_NEWEST}) WHERE frame_id > newest - 8 AND frame_id % 3 = 0")
+@query("session_frame", f"SELECT session_id, frame_id, event_id, newest - frame_id AS back FROM ({_NEWEST}) WHERE frame_id > newest - 8")
 def session_frame(spark, sf_dir):
     kept = O.retained_window(_frames(spark, sf_dir), 8)
     newest = kept.groupBy("session_id").agg(F.max("frame_id").alias("newest"))
-    j = kept.filter("frame_id % 3 = 0").join(newest, "session_id")
+    j = kept.join(newest, "session_id")
     return j.select("session_id", "frame_id", "event_id", (F.col("newest") - F.col("frame_id")).alias("back"))
 
 
@@ -201,7 +200,7 @@ scalar(
     _asked,
     _ASKED,
     ["id"],
-    lambda: {"status": F.when(~F.col("capacity").between(1, O.MAX_CAPACITY), "invalid_arguments").when(F.col("w") == 0, "invalid_region").otherwise("ok")},
+    lambda: {"status": O.validate_create(F.col("capacity"), F.col("w"))},
     {"status": "CASE WHEN capacity < 1 OR capacity > 256 THEN 'invalid_arguments' WHEN w = 0 THEN 'invalid_region' ELSE 'ok' END"},
 )
 scalar(

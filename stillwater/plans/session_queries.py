@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..errors import STATUS, from_service_code, status_table
+from ..errors import STATUS, from_service_code, status_table, message
 from ..operators import sessions as O
 from ..sources import frames as S
 from .registry import query, scalar
@@ -214,9 +214,12 @@ def is_session_fatal(spark, sf_dir):
     return status_table(spark).select("code", "session_fatal")
 
 
-@query("error_message", f"SELECT code, prefix || 'detail' AS message FROM {_TABLE_SQL}")
+@query("error_message", f"""SELECT code, CASE code WHEN 'display_unavailable' THEN 'unable to connect to X11 display :' || exit_status || ': cause ' || exit_status
+  WHEN 'window_not_found' THEN 'X11 window not found: 0x5' ELSE prefix || 'cause ' || exit_status END AS message FROM {_TABLE_SQL}""")
 def error_message(spark, sf_dir):
-    return status_table(spark).select("code", F.concat("prefix", F.lit("detail")).alias("message"))
+    n = F.col("exit_status").cast("string")
+    text = message(F.col("code"), F.col("prefix"), F.concat(F.lit("cause "), n), F.concat(F.lit(":"), n), F.concat(F.lit("0x"), n))
+    return status_table(spark).select("code", text.alias("message"))
 
 
 @query(

@@ -126,7 +126,7 @@ scalar(
     lambda spark, d: S.table(spark, d, "events").selectExpr("event_id AS id"),
     "SELECT event_id AS id FROM events",
     ["id"],
-    lambda: {"offset_ms": F.col("id") % 8 * 50},
+    lambda: {"offset_ms": T.ideal_offset(F.col("id") % 8, F.lit(50))},
     {"offset_ms": "id % 8 * 50"},
 )
 
@@ -187,9 +187,7 @@ scalar(
     _OPT,
     ["id"],
     lambda: {
-        "status": F.when((F.col("interval_ms") <= 0) | (F.col("timeout_ms") <= 0) | (F.col("stable_ms") <= 0), "invalid_duration")
-            .when(~F.col("area").between(0.0, 1.0), "invalid_arguments")
-            .otherwise("ok")
+        "status": T.validate_temporal(F.col("interval_ms"), F.col("timeout_ms"), F.col("stable_ms"), F.col("area"))
     },
     {
         "status": "CASE WHEN interval_ms <= 0 OR timeout_ms <= 0 OR stable_ms <= 0 THEN 'invalid_duration' "
@@ -202,9 +200,7 @@ scalar(
     _OPT,
     ["id"],
     lambda: {
-        "status": F.when(~F.col("frames").between(1, 8), "invalid_arguments")
-            .when((F.col("timeout_ms") <= 0) | ((F.col("frames") > 1) & (F.col("interval_ms") <= 0)), "invalid_duration")
-            .otherwise("ok")
+        "status": T.validate_realtime(F.col("frames"), F.col("timeout_ms"), F.col("interval_ms"))
     },
     {
         "status": "CASE WHEN frames < 1 OR frames > 8 THEN 'invalid_arguments' WHEN timeout_ms <= 0 OR frames > 1 AND interval_ms <= 0 "
@@ -228,13 +224,16 @@ def frame_ages(spark, sf_dir):
 
 @query(
     "stack_geometry_check",
-    """SELECT user_id AS session_id, CASE WHEN count(DISTINCT 640 + CAST(event_id % 97 = 0 AS INT)) = 1 THEN 'ok' ELSE 'geometry_changed' END AS status
-FROM events GROUP BY user_id""",
+    """WITH g AS (SELECT user_id, event_id, first_value(event_id) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS first FROM events)
+SELECT user_id AS session_id, CASE WHEN bool_and((event_id % 97 = 0) = (first % 97 = 0) AND (event_id % 89 = 0) = (first % 89 = 0) AND (event_id % 83 = 0) = (first % 83 = 0))
+  THEN 'ok' ELSE 'geometry_changed' END AS status FROM g GROUP BY user_id""",
 )
 def stack_geometry_check(spark, sf_dir):
-    width = F.when(F.col("event_id") % 97 == 0, 641).otherwise(640)
-    g = S.table(spark, sf_dir, "events").groupBy(F.col("user_id").alias("session_id")).agg(F.min(width).alias("a"), F.max(width).alias("b"))
-    return g.select("session_id", F.when(F.col("a") == F.col("b"), "ok").otherwise("geometry_changed").alias("status"))
+    """Origin, size and format of all frames are those of the first."""
+    odd = lambda n: (F.col("event_id") % n == 0).cast("int")
+    geometry = F.struct(odd(97).alias("x"), (640 + odd(89)).alias("width"), (480 + odd(83)).alias("height"))
+    g = S.table(spark, sf_dir, "events").select(F.col("user_id").alias("session_id"), geometry.alias("geometry"))
+    return g.groupBy("session_id").agg(T.same_geometry(F.col("geometry")).alias("status"))
 
 
 scalar(
@@ -243,7 +242,7 @@ scalar(
     _OPT,
     ["id"],
     lambda: {
-        "status": F.when(F.col("frames") == 0, "observation_failed").otherwise("ok")
+        "status": T.stack_status(F.col("frames"))
     },
     {
         "status": "CASE WHEN frames = 0 THEN 'observation_failed' ELSE 'ok' END"
