@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..errors import EngineError
@@ -75,6 +75,11 @@ def compare_pixels(before: DataFrame, after: DataFrame, keys: list[str], options
     pairs = before.select(*keys, "x", "y", pack.alias("before")).join(
         after.select(*keys, "x", "y", pack.alias("after")), [*keys, "x", "y"]
     )
+    return _pixel_pairs(pairs, keys, options)
+
+
+def _pixel_pairs(pairs: DataFrame, keys: list[str], options: CompareOptions) -> DataFrame:
+    """Comparisons from the structs before and after of each place."""
     hit = F.when(pixel_changed(options), True)
     agg = pairs.groupBy(*keys).agg(
         F.count(hit).alias("changed_pixels"),
@@ -92,6 +97,11 @@ def compare_scanlines(before: DataFrame, after: DataFrame, keys: list[str], opti
     pairs = before.select(*keys, "y", *[F.col(c).alias(f"{c}1") for c in "rgb"]).join(
         after.select(*keys, "y", *[F.col(c).alias(f"{c}2") for c in "rgb"]), [*keys, "y"]
     )
+    return _line_pairs(pairs, keys, options)
+
+
+def _line_pairs(pairs: DataFrame, keys: list[str], options: CompareOptions) -> DataFrame:
+    """Comparisons from the channels r1 to b1 and r2 to b2 of each line."""
     t = options.effective_threshold
     lines = F.expr(
         f"""transform(sequence(0, size(r1) - 1), i -> if(greatest(abs(r1[i] - r2[i]), abs(g1[i] - g2[i]),
@@ -116,21 +126,30 @@ def with_previous(frames: DataFrame, session: str = "session_id") -> tuple[DataF
     return before, frames
 
 
+def _in_order(frames: DataFrame, layout: str, earlier) -> DataFrame:
+    """Places of frames with what ``earlier`` (a column, a window: a column) tells of the same place, as pairs: one shuffle
+    by session and place, in which a frame of any size is spread over its lines or pixels."""
+    position = ["x", "y"] if layout == "pixels" else ["y"]
+    w = Window.partitionBy("session_id", *position).orderBy("frame_id")
+    keys = ["session_id", "frame_id", *position]
+    if layout == "pixels":
+        both = [earlier(F.struct("r", "g", "b"), w).alias("before"), F.struct("r", "g", "b").alias("after")]
+    else:
+        both = [f(c) for c in "rgb" for f in (lambda c: earlier(F.col(c), w).alias(f"{c}1"), lambda c: F.col(c).alias(f"{c}2"))]
+    return frames.select(*keys, *both, earlier(F.col("frame_id"), w).alias("earlier_id"))
+
+
 def compare_consecutive(frames: DataFrame, options: CompareOptions, layout: str = "pixels") -> DataFrame:
-    """Each frame of a session against the one before it."""
-    before, after = with_previous(frames)
-    run = compare_pixels if layout == "pixels" else compare_scanlines
-    return run(before, after, ["session_id", "frame_id"], options)
+    """Each frame of a session against the one before it; places that either lacks don't count."""
+    pairs = _in_order(frames, layout, lambda c, w: F.lag(c).over(w)).filter("earlier_id = frame_id - 1")
+    return (_pixel_pairs if layout == "pixels" else _line_pairs)(pairs, ["session_id", "frame_id"], options)
 
 
 def compare_to_baseline(frames: DataFrame, options: CompareOptions, layout: str = "pixels") -> DataFrame:
-    """Each later frame of a session against its first: the baselines are joined by session and place."""
-    position = ["x", "y"] if layout == "pixels" else ["y"]
-    first = frames.filter("frame_id = 1").drop("frame_id")
-    ids = frames.filter("frame_id > 1").select("session_id", "frame_id", *position)
-    before = ids.join(first, ["session_id", *position])
-    run = compare_pixels if layout == "pixels" else compare_scanlines
-    return run(before, frames.filter("frame_id > 1"), ["session_id", "frame_id"], options)
+    """Each later frame of a session against its first; places that either lacks don't count."""
+    pairs = _in_order(frames, layout, lambda c, w: F.first(c).over(w.rowsBetween(Window.unboundedPreceding, 0)))
+    pairs = pairs.filter("earlier_id = 1 AND frame_id > 1")
+    return (_pixel_pairs if layout == "pixels" else _line_pairs)(pairs, ["session_id", "frame_id"], options)
 
 
 def session_diff(frames: DataFrame, pairs: DataFrame, options: CompareOptions) -> DataFrame:
