@@ -426,11 +426,11 @@ def score_documents(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
         "rid long, doc_id long, held_out boolean, block int, n_tokens long, n_known long, known_log double, "
         "shared_log double, ids array<int>, rare array<binary>, rare_n array<int>"
     )
-    # held-out rows are a block of their own; each block is spread over as many tasks as its share of the rows
+    # held-out rows are a block of their own; each block is spread evenly over the tasks
     block = F.when(F.col("held_out"), -1).otherwise(F.pmod(F.xxhash64("doc_id", "text"), F.lit(BLOCKS))).cast("int")
     numbered = rows.select(F.monotonically_increasing_id().alias("rid"), "doc_id", "held_out", block.alias("block"), "text")
     n = shuffle_partitions(spark)
-    spread = F.pmod(F.xxhash64("rid"), F.lit(max(1, n // BLOCKS)))
+    spread = F.pmod(F.xxhash64("rid"), F.lit(max(1, 4 * n // BLOCKS)))
     dealt = numbered.mapInArrow(_encode(shared), kind).repartition(n, "block", spread)
     base = f"{shared_dir(spark)}/encoded"
     dealt.write.partitionBy("block").parquet(base)

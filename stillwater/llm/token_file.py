@@ -48,7 +48,11 @@ _PUNCTUATION = "".join(c for c in map(chr, range(33, 127)) if not c.isalnum())
 def _stretches(flat: np.ndarray, begin: np.ndarray, length: np.ndarray) -> np.ndarray:
     """The stretches of ``flat``, one after the other."""
     ends = np.cumsum(length)
-    return flat[np.repeat(begin - ends + length, length) + np.arange(ends[-1] if len(ends) else 0)]
+    n = int(ends[-1]) if len(ends) else 0
+    kind = np.int32 if max(n, len(flat)) < 1 << 31 else np.int64
+    at = np.repeat((begin - ends + length).astype(kind), length)
+    at += np.arange(n, dtype=kind)
+    return flat[at]
 
 
 def _flat(ids: list[list[int]]) -> tuple[np.ndarray, np.ndarray]:
@@ -124,13 +128,14 @@ class Encoder:
         at[new] = self._add(some, *_flat(ids))
         return at
 
-    def _learn(self, pieces: pa.Array) -> None:
-        """Adds distinct new pieces: runs of letters with what punctuation follows, and others."""
+    def _learn(self, pieces: pa.Array) -> np.ndarray:
+        """Places of distinct new pieces: runs of letters with what punctuation follows, and others."""
+        out = np.zeros(len(pieces), np.int64)
         words = pc.utf8_rtrim(pieces, characters=_PUNCTUATION)
         tail = pc.subtract(pc.binary_length(pieces), pc.binary_length(words)).to_numpy()
         plain = pc.match_substring_regex(words, self._letters).to_numpy(zero_copy_only=False) & (tail < 8)
         table = words.filter(pa.array(plain)).dictionary_encode()
-        at = self._words(table.dictionary)[table.indices.to_numpy()]
+        at = out[plain] = self._words(table.dictionary)[table.indices.to_numpy()]
         marked = np.flatnonzero(plain & (tail > 0))
         if len(marked):
             at, tail = at[tail[plain] > 0], tail[marked]
@@ -147,11 +152,12 @@ class Encoder:
             places = len(self.flat) + np.cumsum(sizes) - sizes
             begin, length = (np.stack(c, 1).ravel() for c in ((self.begin[at], places[of]), (self.length[at], sizes[of])))
             flat = _stretches(np.append(self.flat, marks), begin, length)
-            self._add(some, flat, self.length[at] + sizes[of])
+            out[marked] = self._add(some, flat, self.length[at] + sizes[of])
         others = pieces.filter(pa.array(~plain))
         if len(others):
             got = self.tokenizer.encode_batch(others.to_pylist(), add_special_tokens=False)
-            self._add(others, *_flat([g.ids for g in got]))
+            out[~plain] = self._add(others, *_flat([g.ids for g in got]))
+        return out
 
     def batch(self, texts: pa.Array) -> list[bytes]:
         """The ids of each text as little-endian 16-bit integers."""
@@ -176,14 +182,15 @@ class Encoder:
         table = split.flatten().dictionary_encode()
         pieces, index = table.dictionary, table.indices.to_numpy()
         at = self._places(pieces)
-        if (at < 0).any():
+        new = at < 0
+        if new.any():
             if len(self.known) > CACHE:  # keep those that this batch needs
-                held = at[at >= 0]
+                held = at[~new]
                 self.known, flat = self.known.take(pa.array(held)), _stretches(self.flat, self.begin[held], self.length[held])
                 self.flat, self.length = flat, self.length[held]
                 self.begin = np.cumsum(self.length) - self.length
-            self._learn(pieces.filter(pa.array(at < 0)))
-            at = self._places(pieces)
+                at[~new] = np.arange(len(held))
+            at[new] = self._learn(pieces.filter(pa.array(new)))
         at = at[index]
         sizes = self.length[at]
         out = _stretches(self.flat, self.begin[at], sizes).astype("<u2").tobytes()
