@@ -428,9 +428,19 @@ def payload_totals(spark, sf_dir):
     return e.groupBy("session_id").agg(F.sum("bytes").alias("bytes"), F.sum("base64_chars").alias("base64_chars"), F.count("*").alias("frames"))
 
 
-@query("huffman_table")
+_HUFFMAN = {"dc_luma": codec.DC_LUMA, "ac_luma": codec.AC_LUMA, "dc_chroma": codec.DC_CHROMA, "ac_chroma": codec.AC_CHROMA}
+#: (table, place, value, length) of the standard's lists; a code is the sum of the shares of those before it.
+_LENGTHS = ", ".join(
+    f"('{name}', {place}, {value}, {length})"
+    for name, (bits, values) in _HUFFMAN.items()
+    for place, (value, length) in enumerate(zip(values, [k for k, n in enumerate(bits, 1) for _ in range(n)]))
+)
+
+
+@query("huffman_table", f"""SELECT name, value, lpad(bin((coalesce(sum(1::BIGINT << (16 - length)) OVER before, 0) // (1::BIGINT << (16 - length)))::BIGINT), length, '0') AS code
+FROM (VALUES {_LENGTHS}) AS t(name, place, value, length) WINDOW before AS (PARTITION BY name ORDER BY place ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)""")
 def huffman_table(spark, sf_dir):
-    rows = [(k, v, c) for k, t in (("dc_luma", codec.DC_LUMA), ("ac_luma", codec.AC_LUMA), ("dc_chroma", codec.DC_CHROMA), ("ac_chroma", codec.AC_CHROMA)) for v, c in codec.huffman_codes(t).items()]
+    rows = [(k, v, c) for k, t in _HUFFMAN.items() for v, c in codec.huffman_codes(t).items()]
     return spark.createDataFrame(rows, "name string, value int, code string")
 
 

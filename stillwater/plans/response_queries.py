@@ -10,8 +10,10 @@ from pyspark.sql import functions as F
 from ..functions import codec, parsing
 from ..operators import compare as C
 from ..operators import presentation as P
+from ..operators import resample as R
 from ..operators import sessions as O
 from ..operators import temporal as T
+from ..operators.crop import crop_scanlines
 from ..operators.prepare import prepare_image
 from ..sources import frames as S
 from ..sources.images import image_pixels, scan_images
@@ -42,7 +44,8 @@ def _image_folder(spark) -> str:
     return path
 
 
-@query("scan_image_file")
+@query("scan_image_file", """SELECT 'frame' || i || '.img' AS file, CASE WHEN i % 2 = 0 THEN 'png' ELSE 'jpeg' END AS format, 16 AS width, 12 AS height, 3 AS channels, 'ok' AS status
+FROM (SELECT unnest(range(4)) AS i)""")
 def scan_image_file(spark, sf_dir):
     """Width, height, format by content and status of written images."""
     i = scan_images(spark, _image_folder(spark))
@@ -112,11 +115,14 @@ def to_response(spark, sf_dir):
 @query("stage_totals")
 def stage_totals(spark, sf_dir):
     """Bytes that pass each stage: pixels cropped, resized, encoded, as text."""
-    out = prepare_image(_LINES(spark, sf_dir), _KEYS, (8, 8), (0, 0, 6, 6), (3, 3))
-    return out.agg(
-        (F.count("*") * 108).alias("cropped"), (F.count("*") * 27).alias("resized"), F.sum("bytes").alias("encoded"),
-        F.sum(F.length("base64")).alias("text"),
-    )
+    lines = _LINES(spark, sf_dir)
+    cropped = crop_scanlines(lines, 0, 0, 6, 6)
+    resized = R.resize_box(cropped, _KEYS, 6, 6, 3, 3)
+    pixels = lambda d, name: d.agg((F.sum(F.size("r")) * 3).alias(name))  # noqa: E731  three bytes a pixel
+    out = prepare_image(lines, _KEYS, (8, 8), (0, 0, 6, 6), (3, 3)).agg(F.sum("bytes").alias("encoded"), F.sum(F.length("base64")).alias("text"))
+    parts = [pixels(cropped, "cropped"), pixels(resized, "resized"), out]
+    one = [p.withColumn("one", F.lit(1)) for p in parts]  # a row each
+    return one[0].join(one[1], "one").join(one[2], "one").drop("one")
 
 
 _BOX = f"WITH {Q.EMB}, c AS ({Q.emb_consecutive('rgb', 40, 0.1)})"
