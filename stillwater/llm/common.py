@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import atexit
 import contextlib
+import threading
 import uuid
 
 import numpy as np
@@ -17,8 +18,9 @@ SPACE = r"\x20\x09-\x0D"
 WORD = rf"[^{SPACE}]+"
 
 
-#: Folders that this process has made, with a way to remove each.
-_made: list[tuple[str, object]] = []
+#: A way to remove each folder that this process has made, and, by thread, their order.
+_removers: dict[str, object] = {}
+_own = threading.local()
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -43,25 +45,29 @@ def shared_dir(spark: SparkSession) -> str:
         at = jvm.org.apache.hadoop.fs.Path(made)
         at.getFileSystem(conf).delete(at, True)
 
-    _made.append((made, remove))
+    _removers[made] = remove
+    _own.__dict__.setdefault("made", []).append(made)
     return made
 
 
 def marked() -> int:
-    """The folders made so far, to forget later ones."""
-    return len(_made)
+    """The folders that this thread has made so far, to forget later ones."""
+    return len(_own.__dict__.get("made", []))
 
 
 def forget(since: int = 0) -> None:
-    """Removes the folders made after ``since`` (of ``marked``), once nothing reads them any more; all at exit."""
-    while len(_made) > since:
-        _made.pop()[1]()
+    """Removes the folders that this thread made after ``since`` (of ``marked``), once nothing reads them any more."""
+    made = _own.__dict__.get("made", [])
+    while len(made) > since:
+        _removers.pop(made.pop())()
 
 
 @atexit.register
 def _at_exit() -> None:
+    """Removes the folders of all threads."""
     with contextlib.suppress(Exception):  # the gateway may be gone
-        forget()
+        for remove in _removers.values():
+            remove()
 
 
 def written(df: DataFrame, name: str) -> DataFrame:

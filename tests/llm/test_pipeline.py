@@ -74,3 +74,19 @@ def test_awkward_rows_keep_all_their_values(spark, tmp_path, monkeypatch):
     empty = df.limit(0)
     for name, stage in P.STAGES:
         assert stage(spark, empty, base).count() == 0, name
+
+
+def test_a_thread_forgets_its_own_folders(spark):
+    import threading
+    from pathlib import Path
+
+    from stillwater.llm import common
+
+    kept, other = common.marked(), []
+    mine = common.written(spark.range(3), "mine")
+    thread = threading.Thread(target=lambda: other.append(common.written(spark.range(4), "other")))
+    thread.start()
+    thread.join()
+    common.forget(kept)
+    assert other[0].count() == 4
+    assert not any(Path(f.removeprefix("file://")).exists() for f in mine.inputFiles())
