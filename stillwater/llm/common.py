@@ -101,6 +101,11 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def local_rows(spark: SparkSession, rows: list[tuple], schema: str) -> DataFrame:
+    """A table of rows that the driver has, whose number a parameter bounds."""
+    return spark.createDataFrame(rows, schema)
+
+
 def slices(batches, rows: int = 1_000):
     """The rows of Arrow batches, so many at a time: bounds what a task holds as Python objects."""
     for batch in batches:

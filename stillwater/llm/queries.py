@@ -6,7 +6,19 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontaminate, exact_dedup, html_extract, markov_lm, mixing, quality, sharding, similarity_join, token_file, warc
+from . import (
+    decontaminate,
+    exact_dedup,
+    html_extract,
+    markov_lm,
+    mixing,
+    quality,
+    resampling,
+    sharding,
+    similarity_join,
+    token_file,
+    warc,
+)
 from .common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -57,6 +69,10 @@ def op10_simhash_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.drop("key")
 
 
+def op11_byte_automaton(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return resampling.resample(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 QUERIES: dict[str, Query] = {
     f.__name__: f
     for f in (
@@ -70,6 +86,7 @@ QUERIES: dict[str, Query] = {
         op8_factorisation_machine,
         op9_hidden_markov,
         op10_simhash_windows,
+        op11_byte_automaton,
     )
 }
 
@@ -123,7 +140,51 @@ r AS (
 SELECT doc_id, keep_id, group_size, place = 1 AS kept, sha256(norm) AS text_sha256 FROM r
 """
 
+_OP11 = r"""
+WITH bytes AS (SELECT unnest(range(256))::UBIGINT AS b),
+steps AS (
+  SELECT b, list_reduce(list_prepend(b, range(8)::UBIGINT[]),
+           lambda c, i: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384::UBIGINT) ELSE c >> 1 END) AS v FROM bytes),
+crc_table AS (SELECT list(v ORDER BY b) AS t FROM steps),
+texts AS (
+  SELECT 'd' AS side, row_number() OVER () AS rid, doc_id, text FROM documents
+  UNION ALL SELECT 'b', NULL, NULL, text FROM benchmark),
+listed AS (
+  SELECT side, rid, doc_id, regexp_extract_all(
+           translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+           '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS words
+  FROM texts),
+spread AS (SELECT side, rid, unnest(words) AS word FROM listed),
+known AS (SELECT DISTINCT word, hex(encode(word)) AS h FROM spread),
+hashed AS (
+  SELECT word, (xor(list_reduce(list_prepend(4294967295::UBIGINT,
+             list_transform(range(length(h) // 2), lambda i: ('0x' || h[2 * i + 1 : 2 * i + 2])::UBIGINT)),
+             lambda c, b: xor(c >> 8, t[(xor(c, b) & 255)::BIGINT + 1])), 4294967295::UBIGINT) % 10000)::BIGINT AS bucket
+  FROM known, crc_table),
+counts AS (
+  SELECT bucket, count(*) FILTER (side = 'd') AS s, count(*) FILTER (side = 'b') AS t
+  FROM spread JOIN hashed USING (word) GROUP BY bucket),
+gains AS (
+  SELECT bucket, floor(1000 * ln((t + 1)::DOUBLE * (sum(s) OVER () + 10000)::DOUBLE
+           / ((s + 1)::DOUBLE * (sum(t) OVER () + 10000)::DOUBLE)))::BIGINT AS gain FROM counts),
+weights AS (
+  SELECT rid, sum(gain)::BIGINT AS weight FROM spread JOIN hashed USING (word) JOIN gains USING (bucket)
+  WHERE side = 'd' GROUP BY rid),
+scored AS (
+  SELECT rid, doc_id, len(words)::BIGINT AS n_features, coalesce(weight, 0)::BIGINT AS weight,
+         (coalesce(weight, 0) + floor(-1000 * ln(-ln(((('0x' || sha256('2024:' || coalesce(doc_id::VARCHAR, ''))[1:8])::UBIGINT)::DOUBLE + 0.5)
+           / 4294967296))))::BIGINT AS score
+  FROM listed LEFT JOIN weights USING (rid) WHERE side = 'd'),
+placed AS (
+  SELECT *, row_number() OVER (PARTITION BY n_features >= 20 ORDER BY score DESC, doc_id NULLS LAST, n_features) AS place,
+         10 * count(*) FILTER (n_features >= 20) OVER () // 100 AS drawn
+  FROM scored)
+SELECT doc_id, n_features, weight, score, CASE WHEN n_features >= 20 AND place <= drawn THEN place::BIGINT END AS rank
+FROM placed
+"""
+
 ORACLE_SQL: dict[str, str] = {
     "op6_hash_thresholds": _OP6,
     "op7_content_sort": _OP7,
+    "op11_byte_automaton": _OP11,
 }
