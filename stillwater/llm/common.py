@@ -23,10 +23,11 @@ _removers: dict[str, object] = {}
 _own = threading.local()
 
 
-def shared_dir(spark: SparkSession) -> str:
+def shared_dir(spark: SparkSession, leave: bool = False) -> str:
     """A new folder, as a full URI, in the one all executors see: spark.checkpoint.dir, or ours where it is unset.
 
-    On a cluster that setting is required. What operators write there belongs to one run: see ``forget``.
+    On a cluster that setting is required. What operators write there belongs to one run: see ``forget``. A folder that
+    a result points to is left there.
     """
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
@@ -39,6 +40,8 @@ def shared_dir(spark: SparkSession) -> str:
     if base.startswith("file:/") and not base.startswith("file://"):
         base = base.replace("file:/", "file:///", 1)
     made = f"{base}/stillwater-{uuid.uuid4().hex}"
+    if leave:
+        return made
     jvm, conf = spark._jvm, spark._jsc.hadoopConfiguration()
 
     def remove() -> None:

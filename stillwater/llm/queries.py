@@ -16,6 +16,7 @@ from . import (
     resampling,
     sharding,
     similarity_join,
+    time_partitions,
     token_file,
     warc,
 )
@@ -73,6 +74,10 @@ def op11_byte_automaton(spark: SparkSession, sf_dir: str) -> DataFrame:
     return resampling.resample(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+def op13_radix_partitions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return time_partitions.partitioned_twice(table(spark, sf_dir, "clicks"))
+
+
 QUERIES: dict[str, Query] = {
     f.__name__: f
     for f in (
@@ -87,6 +92,7 @@ QUERIES: dict[str, Query] = {
         op9_hidden_markov,
         op10_simhash_windows,
         op11_byte_automaton,
+        op13_radix_partitions,
     )
 }
 
