@@ -12,6 +12,7 @@ from . import (
     html_extract,
     markov_lm,
     mixing,
+    personal_data,
     quality,
     resampling,
     sharding,
@@ -74,6 +75,10 @@ def op11_byte_automaton(spark: SparkSession, sf_dir: str) -> DataFrame:
     return resampling.resample(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+def op12_bilstm_crf(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return personal_data.summary(personal_data.personal_data(table(spark, sf_dir, "documents")))
+
+
 def op13_radix_partitions(spark: SparkSession, sf_dir: str) -> DataFrame:
     return time_partitions.partitioned_twice(table(spark, sf_dir, "clicks"))
 
@@ -92,6 +97,7 @@ QUERIES: dict[str, Query] = {
         op9_hidden_markov,
         op10_simhash_windows,
         op11_byte_automaton,
+        op12_bilstm_crf,
         op13_radix_partitions,
     )
 }
