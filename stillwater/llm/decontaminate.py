@@ -1,12 +1,12 @@
 """Benchmark decontamination: SimHash of item-sized windows, multi-index Hamming blocks, exact verification.
 
-DataFrame operations only. A window that verifies shares at least one word shingle with its item, so only
-places of documents that hold a benchmark shingle are cut into windows: of each length that an item with that
-shingle has, aligned by the shingle. That loses no match. Every window gets a 128-bit SimHash of its shingles;
-the fingerprints are looked up in an index of all items' fingerprints by 16-bit blocks. Both sides add block values
-near theirs, together every value within RADIUS // BLOCKS flips: by the pigeonhole principle no fingerprint within
-RADIUS is missed. Windows and items that meet there are compared exactly: weighted Jaccard similarity, the weight of
-a shingle being its number of occurrences.
+DataFrame operations only. A window slides over every start. One of m shingles that is similar to an item of m shingles
+holds at least 8/9 m of the item's (at a text's end, where windows are shorter, 4/9 of both's), so starts with fewer
+shingles of items of that length can't match and get no fingerprint: counts of sorted places tell, without a look at
+single items. Every other window gets a 128-bit SimHash of its shingles, which is looked up in an index of all items'
+fingerprints by 16-bit blocks. Both sides add block values near theirs, together every value within RADIUS // BLOCKS
+flips: by the pigeonhole principle no fingerprint within RADIUS is missed. Windows and items that meet there are compared
+exactly: weighted Jaccard similarity, the weight of a shingle being its number of occurrences.
 """
 
 from __future__ import annotations
@@ -47,14 +47,26 @@ def shingles_of(words: str, k: int) -> Column:
     )
 
 
-def simhash(shingles: str, seed: int) -> Column:
-    """64 bits of the SimHash of an array of shingle hashes; repeated shingles weigh by their number."""
-    hashed = f"transform({shingles}, h -> xxhash64(h, {seed}))"
-    return F.expr(
-        f"""transform(array({hashed}), s -> aggregate(sequence(0, 63), 0L, (f, b) -> f | if(
-            aggregate(s, 0, (a, h) -> a + cast(shiftrightunsigned(h, b) & 1L as int) * 2 - 1) > 0,
-            shiftleft(1L, b), 0L)))[0]"""
-    )
+def _lanes(x: str) -> list[Column]:
+    """The bits of a long, three to a long, 21 bits apart, so that sums of up to 2^21 - 1 such longs count each bit."""
+    mask = 1 | 1 << 21 | 1 << 42
+    return [F.expr(f"((shiftrightunsigned({x}, {3 * j}) & 7L) * {1 | 1 << 20 | 1 << 40}L) & {mask}L") for j in range(22)]
+
+
+def simhash(rows: DataFrame, key: str, shingles: str, names: tuple[str, str]) -> DataFrame:
+    """key and the 128 bits of the SimHash of the row's array of shingle hashes, repeated ones weighing by their number.
+
+    The bits' votes are sums over the exploded hashes; a row's are added up where it stands, before the shuffle.
+    """
+    hashed = rows.select(key, F.explode(shingles).alias("h")).selectExpr(f"`{key}`", "xxhash64(h, 0) AS x0", "xxhash64(h, 1) AS x1")
+    sums = [F.sum(lane).alias(f"{x}_{j}") for x in ("x0", "x1") for j, lane in enumerate(_lanes(x))]
+    votes = hashed.groupBy(key).agg(F.count("*").alias("m"), *sums)
+
+    def bits(x: str) -> Column:
+        ones = (f"shiftleft(cast(2 * (shiftrightunsigned({x}_{b // 3}, {21 * (b % 3)}) & {(1 << 21) - 1}L) > m as long), {b})" for b in range(64))
+        return F.expr(" | ".join(ones))
+
+    return votes.select(key, bits("x0").alias(names[0]), bits("x1").alias(names[1]))
 
 
 def fingerprint_blocks(a: str, b: str) -> Column:
@@ -66,6 +78,17 @@ def fingerprint_blocks(a: str, b: str) -> Column:
     return F.expr(f"array({', '.join(blocks)})")
 
 
+def _starts(need: str, low: str, high: str) -> str:
+    """SQL of the starts from low to high of windows of m shingles that hold ``need`` of the sorted places p at least.
+
+    A start belongs to the first place that its window holds, so none comes twice.
+    """
+    first = f"greatest({low}, p[i + {need} - 1] - m + 1, if(i = 0, 0, p[i - 1] + 1))"
+    last = f"least({high}, p[i])"
+    return f"""if(size(p) < {need}, array(), flatten(transform(
+        filter(sequence(0, size(p) - {need}), i -> {first} <= {last}), i -> sequence({first}, {last}))))"""
+
+
 def _one_of(values: list[int]):
     return lambda h: h.isin(values)
 
@@ -86,7 +109,7 @@ def _matches(docs: DataFrame, items: DataFrame, sizes: list[int]) -> DataFrame:
     for k in sizes:
         items = items.withColumn(f"s{k}", shingles_of("words", k))
     items = items.withColumn("shingles", F.expr(f"case {of_size} end"))
-    items = items.withColumns({"i0": simhash("shingles", 0), "i1": simhash("shingles", 1)})
+    items = items.join(simhash(items, "item", "shingles", ("i0", "i1")), "item")
     items = written(items.select("item", "item_id", "n_words", "shingles", "i0", "i1"), "items")
     k = F.least(F.col("n_words"), F.lit(SHINGLE)).alias("k")
     places = written(items.select(k, "n_words", F.posexplode("shingles").alias("q", "h")).distinct(), "places")
@@ -105,20 +128,24 @@ def _matches(docs: DataFrame, items: DataFrame, sizes: list[int]) -> DataFrame:
         near = docs.join(written(hits.select("key", "k").distinct(), "hits"), ["key", "k"], "left_semi")
     near = written(near.select("key", "doc_id", "k", "shingles", F.monotonically_increasing_id().alias("rid")), "near")
 
-    windows = near.select("rid", "k", F.posexplode("shingles").alias("p", "h")).join(places, ["k", "h"])
-    windows = windows.select("rid", F.greatest(F.col("p") - F.col("q"), F.lit(0)).alias("start"), "n_words").distinct()
-    windows = windows.join(near, "rid").withColumn("shingles", F.expr("slice(shingles, start + 1, n_words - k + 1)"))
+    hits = near.select("rid", "k", F.size("shingles").alias("n"), F.posexplode("shingles").alias("at", "h"))
+    hits = hits.join(places, ["k", "h"]).groupBy("rid", "n", (F.col("n_words") - F.col("k") + 1).alias("m"))
+    hits = hits.agg(F.array_sort(F.collect_set("at")).alias("p"))
+    # similarity 0.8 of m and m' shingles takes 4/9 (m + m') common ones; m' is below m at a text's end alone
+    whole = _starts("cast(ceil(8 * m / 9) as int)", "0", "n - m")
+    cut = _starts("cast(ceil(4 * m / 5) as int)", "greatest(0, n - m + 1)", "n - 1")
+    windows = hits.select("rid", "m", F.explode(F.expr(f"concat({whole}, {cut})")).alias("start"))
+    windows = windows.join(near, "rid").withColumn("shingles", F.expr("slice(shingles, start + 1, m)"))
     # windows of equal content are looked up and verified once
     windows = windows.withColumn("window", F.unhex(F.sha1(F.expr("cast(array_join(shingles, ',') as binary)"))))
     windows = written(windows.select("key", "rid", "doc_id", "start", "window", "shingles"), "windows")
-    contents = windows.groupBy("window").agg(F.first("shingles").alias("shingles"))
-    contents = contents.withColumns({"w0": simhash("shingles", 0), "w1": simhash("shingles", 1)})
-    contents = written(contents, "contents")
+    contents = written(windows.groupBy("window").agg(F.first("shingles").alias("shingles")), "contents")
+    prints = simhash(contents, "window", "shingles", ("w0", "w1"))
 
     # of the flips that a block of a pair may differ in, the items' side of the index has all but one
     index = items.select("item", "i0", "i1", F.explode(fingerprint_blocks("i0", "i1")).alias("at"))
     index = index.select("item", "i0", "i1", F.col("at.block").alias("block"), _flipped("at.value", RADIUS // BLOCKS - 1).alias("value"))
-    probes = contents.select("window", "w0", "w1", F.explode(fingerprint_blocks("w0", "w1")).alias("at"))
+    probes = prints.select("window", "w0", "w1", F.explode(fingerprint_blocks("w0", "w1")).alias("at"))
     probes = probes.select("window", "w0", "w1", F.col("at.block").alias("block"), _flipped("at.value", 1).alias("value"))
     index = F.broadcast(index) if items.count() <= BROADCAST_ITEMS else index.hint("merge")
     hamming = F.expr("bit_count(w0 ^ i0) + bit_count(w1 ^ i1)")

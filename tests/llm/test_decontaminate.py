@@ -53,6 +53,68 @@ def test_edited_passages_and_the_join_path(spark, monkeypatch):
         assert found() == expected
 
 
+def edited(rng, words):
+    """The words with random insertions, deletions and changes, few enough that many stay similar."""
+    words = list(words)
+    for _ in range(rng.randrange(4)):
+        at, kind = rng.randrange(len(words)), rng.random()
+        new = [f"n{rng.randrange(999)}" for _ in range(rng.choice([1, 1, 2, 4, 8]))]
+        if kind < 0.5:
+            words[at:at] = new
+        elif kind < 0.75:
+            del words[at : at + len(new)]
+        else:
+            words[at : at + len(new)] = new
+        if len(words) < 10:
+            break
+    for end in (0, 1):
+        if rng.random() < 0.3:
+            n = rng.randrange(1, 4)
+            words = words[n:] if end else words[:-n]
+    return words
+
+
+def test_insertions_deletions_and_changes(spark):
+    """Every item-sized window counts, not those alone that a shared shingle aligns."""
+    import random
+
+    rng = random.Random(11)
+    items = [[f"i{k}w{rng.randrange(40)}" for _ in range(rng.choice([6, 20, 40, 40, 61, 80, 120]))] for k in range(12)]
+    items.append(items[3][:30] + [f"z{j}" for j in range(10)])  # shares shingles with another
+    rows = []
+    for d in range(400):
+        filler = lambda most: [f"f{rng.randrange(500)}" for _ in range(rng.randrange(most))]
+        words = filler(30) + edited(rng, rng.choice(items)) + filler(30)
+        if d % 9 == 0:
+            words += edited(rng, rng.choice(items))
+        rows.append((d, " ".join(words)))
+    # an insertion in the middle and changed ends: similar from a start that no shared shingle aligns
+    w = items[-1][:0] + [f"q{j}" for j in range(80)]
+    items.append(w)
+    rows.append((5_000, " ".join(["a", "b", *w[2:40], "k", "l", "m", "n", *w[40:78], "c", "d"])))
+    bench = spark.createDataFrame([(k, " ".join(t)) for k, t in enumerate(items)], "item_id long, text string")
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {(r.doc_id, r.item_id): r for r in D.matches(docs, bench).collect()}
+    by_word = {}
+    for k, t in enumerate(items):
+        for x in t:
+            by_word.setdefault(x, set()).add(k)
+    expected = {}
+    for d, text in rows:
+        for k in set().union(*(by_word.get(x, set()) for x in text.split())):
+            if (s := best(text, " ".join(items[k]))) >= 0.8:
+                expected[d, k] = s
+    assert len(expected) > 150 and (5_000, 13) in expected
+    assert got.keys() <= expected.keys()
+    lost = expected.keys() - got.keys()
+    # a fingerprint may be outside the radius where the similarity is close to the least
+    assert len(lost) <= 0.01 * len(expected) and all(expected[k] < 0.83 for k in lost)
+    less = [k for k in got if got[k].similarity < expected[k] - 1e-9]
+    assert len(less) <= 0.01 * len(expected) and all(got[k].similarity <= expected[k] + 1e-9 for k in got)
+    kept = {r.doc_id for r in D.decontaminated(docs, bench).collect()}
+    assert kept == {d for d, _ in rows} - {d for d, _ in got}
+
+
 def test_short_items_and_awkward_rows(spark):
     df = awkward(spark)
     bench = spark.createDataFrame([(1, "one", "x"), (None, "epsilon zeta", "y"), (3, None, "z")], "item_id long, text string, key string")
