@@ -50,7 +50,7 @@ def pixel_changed(options: CompareOptions, before: str = "before", after: str =
     return F.greatest(*[F.abs(a - b) for a, b in pairs]) > options.pixel_threshold
 
 
-def _finish(agg: DataFrame, keys: list[str], options: CompareOptions) -> DataFrame:
+def finish(agg: DataFrame, keys: list[str], options: CompareOptions) -> DataFrame:
     """The output row from changed_pixels, total_pixels and the edges of the box."""
     fraction = F.col("changed_pixels") / F.col("total_pixels")
     return agg.select(
@@ -89,7 +89,7 @@ def _pixel_pairs(pairs: DataFrame, keys: list[str], options: CompareOptions) ->
         F.min(F.when(hit, F.col("y"))).alias("y0"),
         F.max(F.when(hit, F.col("y"))).alias("y1"),
     )
-    return _finish(agg, keys, options)
+    return finish(agg, keys, options)
 
 
 def compare_scanlines(before: DataFrame, after: DataFrame, keys: list[str], options: CompareOptions) -> DataFrame:
@@ -117,7 +117,7 @@ def _line_pairs(pairs: DataFrame, keys: list[str], options: CompareOptions) -> D
         F.min(F.when(hit, F.col("y"))).alias("y0"),
         F.max(F.when(hit, F.col("y"))).alias("y1"),
     )
-    return _finish(agg, keys, options)
+    return finish(agg, keys, options)
 
 
 def with_previous(frames: DataFrame, session: str = "session_id") -> tuple[DataFrame, DataFrame]:
@@ -139,6 +139,11 @@ def _in_order(frames: DataFrame, layout: str, earlier) -> DataFrame:
     return frames.select(*keys, *both, earlier(F.col("frame_id"), w).alias("earlier_id"))
 
 
+def consecutive_pixels(frames: DataFrame) -> DataFrame:
+    """session_id, frame_id, x, y, before, after: pixels of layout P with those of the frame before."""
+    return _in_order(frames, "pixels", lambda c, w: F.lag(c).over(w)).filter("earlier_id = frame_id - 1")
+
+
 def compare_consecutive(frames: DataFrame, options: CompareOptions, layout: str = "pixels") -> DataFrame:
     """Each frame of a session against the one before it; places that either lacks don't count."""
     pairs = _in_order(frames, layout, lambda c, w: F.lag(c).over(w)).filter("earlier_id = frame_id - 1")
@@ -202,4 +207,4 @@ def initial_comparison(keys: list[str], frames: DataFrame, options: CompareOptio
         F.lit(0).cast("long").alias("changed_pixels"), F.count("*").alias("total_pixels"),
         *[F.lit(None).cast("int").alias(c) for c in ("x0", "x1", "y0", "y1")],
     )
-    return _finish(agg, keys, options)
+    return finish(agg, keys, options)

@@ -1,14 +1,20 @@
 """Presentation of frame stacks: which views are shown, how, and how a plan is fitted to a budget.
 
-Policies are small tables; plans are rows (one a frame and view). Fitting enumerates the states of the ladder, a
-fixed number for each plan, measures all of them and takes the first that fits: no loop, any number of plans.
+Policies are small tables; plans are rows (one a frame and view). Fitting knows the states of the ladder, a fixed number
+for each plan: a view changes in at most 13 of them, so each of its settings counts from one state to the next in which
+it changes, and sums by state give the size of a whole plan in every state at once: no loop, any number of plans.
+Sizes are measured by encoding each distinct setting once, and joined back to all views that take it.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, Observation, Window
 from pyspark.sql import functions as F
 
+from ..errors import EngineError
+from ..functions import codec, kernels
 from ..functions import geometry as G
 
 # Ladders of fitting and priorities of views.
@@ -20,9 +26,15 @@ NEWEST, REQUIRED_REGION, OPTIONAL_REGION, OLD, OLDEST = 220, 200, 120, 60, 40
 _RUNGS = (len(QUALITY_LADDER), len(WIDTH_LADDER), 1, len(QUALITY_LADDER), len(WIDTH_LADDER))
 
 
-def mark_newest(frames: DataFrame, stack: str = "stack_id") -> DataFrame:
+#: Regions of one policy at most.
+MAX_REGIONS = 64
+#: States of the ladder, the plan itself included.
+STATES = sum(_RUNGS) + 1
+
+
+def mark_newest(frames: DataFrame, *stack: str) -> DataFrame:
     """frames (stack, frame_index ...) with total and is_newest, by position."""
-    total = (F.max("frame_index").over(Window.partitionBy(stack)) + 1).alias("total")
+    total = (F.max("frame_index").over(Window.partitionBy(*(stack or ("stack_id",)))) + 1).alias("total")
     return frames.select("*", total).withColumn("is_newest", F.col("frame_index") + 1 == F.col("total"))
 
 
@@ -42,49 +54,48 @@ def image_for(mode: Column, is_newest: Column, older: str = "older", newest: str
     )
 
 
-def plan_views(frames: DataFrame, regions: DataFrame, overview: dict, mode: str = "newest_detailed") -> DataFrame:
-    """A row a view: every frame's overview, then the regions that apply to it.
+def region_rows(regions: DataFrame) -> list:
+    """The regions of a policy, whose number is bounded."""
+    rows = regions.limit(MAX_REGIONS + 1).collect()
+    if len(rows) > MAX_REGIONS:
+        raise EngineError("invalid_presentation_policy", f"a policy has at most {MAX_REGIONS} regions")
+    return rows
+
+
+def plan_views(frames: DataFrame, regions: DataFrame, overview: dict, mode: str = "newest_detailed", carry: tuple[str, ...] = ()) -> DataFrame:
+    """A row a view: every frame's overview, then the regions that apply to it, exploded from the frame's one row.
 
-    frames: stack_id, frame_index, frame_id, width, height, src_x, src_y. regions (few): name, rect in source
-    coordinates, scope, required, priority, format, quality, width_policy. overview: older and newest settings
-    (format, quality, width). A region outside a frame gives status invalid_region.
+    frames: stack_id, frame_index, frame_id, width, height, src_x, src_y. regions (MAX_REGIONS at most): name, rect in
+    source coordinates, scope, required, priority, format, quality, width_policy. overview: older and newest settings
+    (format, quality, width). carry: more columns of frames; those of them that name the frames' partitioning keep it. A
+    region outside a frame gives status invalid_region.
     """
-    f = mark_newest(frames)
+    f = mark_newest(frames, *carry, "stack_id")
     which = image_for(F.lit(mode), F.col("is_newest"))
     pick = lambda k: F.when(which == "newest", F.lit(overview["newest"][k])).when(which == "older", F.lit(overview["older"][k]))
-    base = ["stack_id", "frame_index", "frame_id", "is_newest", F.col("width").alias("frame_width"), F.col("height").alias("frame_height")]
-    whole = f.select(
-        *base,
-        F.lit("overview").alias("view"),
-        F.lit(0).alias("kind_rank"),
-        *[F.lit(0).cast("long").alias(c) for c in ("x", "y", "w", "h")],
-        F.lit(True).alias("required"),
-        overview_priority(F.col("frame_index"), F.col("total")).cast("int").alias("priority"),
-        F.coalesce(pick("format"), F.lit("metadata")).alias("format"),
-        pick("quality").cast("int").alias("quality"),
-        pick("width").cast("int").alias("width_policy"),
-        F.lit("ok").alias("status"),
-    )
-    j = f.join(F.broadcast(regions), scope_applies(F.col("scope"), F.col("is_newest")))
-    rect = G.rect(F.col("rx"), F.col("ry"), F.col("rw"), F.col("rh"))
+
+    def view(name, rank, local, required, priority, kind, quality, width, status):
+        values = {"view": F.lit(name), "kind_rank": F.lit(rank)}
+        values |= {c: local[k].cast("long") for c, k in (("x", "x"), ("y", "y"), ("w", "width"), ("h", "height"))}
+        values |= {"required": F.lit(required), "priority": priority.cast("int"), "format": kind}
+        values |= {"quality": quality.cast("int"), "width_policy": width.cast("int"), "status": status}
+        return F.struct(*[v.alias(c) for c, v in values.items()])
+
+    none = dict.fromkeys(("x", "y", "width", "height"), F.lit(0))
+    rank = overview_priority(F.col("frame_index"), F.col("total"))
+    views = [view("overview", 0, none, True, rank, F.coalesce(pick("format"), F.lit("metadata")), pick("quality"), pick("width"), F.lit("ok"))]
     bounds = G.rect(F.col("src_x"), F.col("src_y"), F.col("width"), F.col("height"))
-    local = G.to_local(rect, F.col("src_x"), F.col("src_y"))
-    crops = j.select(
-        *base,
-        F.col("name").alias("view"),
-        F.lit(1).alias("kind_rank"),
-        local["x"].cast("long").alias("x"),
-        local["y"].cast("long").alias("y"),
-        local["width"].cast("long").alias("w"),
-        local["height"].cast("long").alias("h"),
-        "required",
-        F.when(F.col("required"), F.greatest(F.col("region_priority"), F.lit(REQUIRED_REGION))).otherwise(F.col("region_priority")).cast("int").alias("priority"),
-        F.col("region_format").alias("format"),
-        F.col("region_quality").cast("int").alias("quality"),
-        F.col("region_width").cast("int").alias("width_policy"),
-        F.when(G.within(rect, bounds), "ok").otherwise("invalid_region").alias("status"),
-    )
-    return whole.unionByName(crops)
+    for r in region_rows(regions):
+        rect = G.rect(*[F.lit(v) for v in (r.rx, r.ry, r.rw, r.rh)])
+        priority = F.lit(max(r.region_priority, REQUIRED_REGION) if r.required else r.region_priority)
+        status = F.when(G.within(rect, bounds), "ok").otherwise("invalid_region")
+        local = G.to_local(rect, F.col("src_x"), F.col("src_y"))
+        local = {k: local[k] for k in none}
+        made = view(r.name, 1, local, r.required, priority, F.lit(r.region_format), F.lit(r.region_quality), F.lit(r.region_width), status)
+        views.append(F.when(scope_applies(F.lit(r.scope), F.col("is_newest")), made))
+    each = F.explode(F.filter(F.array(*views), lambda v: v.isNotNull())).alias("v")
+    base = [*carry, "stack_id", "frame_index", "frame_id", "is_newest"]
+    return f.select(*base, F.col("width").alias("frame_width"), F.col("height").alias("frame_height"), each).select(*base, "frame_width", "frame_height", "v.*")
 
 
 def fitting_key() -> list[Column]:
@@ -132,25 +143,164 @@ def ladder_states(plan: DataFrame) -> DataFrame:
     )
 
 
-def fit_plans(plan: DataFrame, budgets: DataFrame, size: Column) -> DataFrame:
-    """stack_id, fit (exact, adjusted, payload_budget_exceeded), state, actual_bytes, least_bytes.
+def view_steps(plan: DataFrame) -> DataFrame:
+    """Each view once for each of its settings: from_state, to_state (the first in which it has others), shown,
+    actual_quality, actual_width. The same as ladder_states, without a row for states in which nothing changes."""
+    ends = [sum(_RUNGS[: i + 1]) for i in range(len(_RUNGS))]
+    image = F.col("format") != "metadata"
+    omitted = F.when(image & ~F.col("required"), F.lit(ends[2])).otherwise(F.lit(STATES))
+    q_from = F.when(F.col("is_newest"), ends[2]).otherwise(0)
+    w_from = F.when(F.col("is_newest"), ends[3]).otherwise(ends[0])
+    p = plan.withColumns(
+        {
+            "_current": F.coalesce("width_policy", "frame_width"),
+            "_qs": F.when(F.col("format") == "jpeg", steps_below(QUALITY_LADDER, F.col("quality"), F.col("min_quality"))).otherwise(F.array().cast("array<int>")),
+            "_q_from": q_from, "_w_from": w_from, "_omitted": omitted,
+        }
+    ).withColumn("_ws", steps_below(WIDTH_LADDER, F.col("_current"), F.col("min_width")))
+    starts = F.expr(
+        """array_sort(array_distinct(concat(array(0), transform(_qs, (v, i) -> _q_from + i + 1),
+            transform(_ws, (v, i) -> _w_from + i + 1), if(_omitted < %d, array(_omitted), array()))))""" % STATES
+    )
+    p = p.withColumn("_starts", starts)
+    at = p.select("*", F.posexplode("_starts").alias("_i", "from_state"))
+    done = lambda first, steps: F.greatest(F.lit(0), F.least(F.col("from_state") - F.col(first), F.size(steps)))
+    return at.select(
+        *plan.columns,
+        "from_state",
+        F.coalesce(F.get("_starts", F.col("_i") + 1), F.lit(STATES)).alias("to_state"),
+        (image & (F.col("from_state") < F.col("_omitted"))).alias("shown"),
+        after_steps(F.col("_qs"), done("_q_from", "_qs"), F.col("quality")).cast("int").alias("actual_quality"),
+        after_steps(F.col("_ws"), done("_w_from", "_ws"), F.col("_current")).cast("int").alias("actual_width"),
+    )
+
+
+def state_bytes(steps: DataFrame, size: Column, *keys: str) -> DataFrame:
+    """keys and bytes: the size of each plan in every state, from its views' steps: partial sums, one shuffle at most."""
+    shown = F.when(F.col("shown"), size).otherwise(0).cast("long")
+    change = [F.sum(F.when(F.col("from_state") == k, shown).when(F.col("to_state") == k, -shown)) for k in range(STATES)]
+    # what leaves in a state is subtracted there; a step that begins where another ends is another row
+    sums = steps.groupBy(*keys).agg(*[F.coalesce(c, F.lit(0)).alias(f"_{k}") for k, c in enumerate(change)])
+    changes = sums.select(*keys, F.array(*[F.col(f"_{k}") for k in range(STATES)]).alias("_by"))
+    up_to = f"transform(sequence(1, {STATES}), i -> aggregate(slice(_by, 1, i), 0L, (a, x) -> a + x))"
+    return changes.select(*keys, F.expr(up_to).alias("bytes"))
+
+
+def fit_plans(sizes: DataFrame, budget: Column, *keys: str) -> DataFrame:
+    """keys, fit (exact, adjusted, payload_budget_exceeded), state, actual_bytes, least_bytes, from ``state_bytes``."""
+    first = F.array_position(F.transform("bytes", lambda b: b <= budget), True) - 1
+    state = F.when(first >= 0, first).cast("int")
+    r = sizes.select(*keys, "bytes", state.alias("state"), F.array_min("bytes").alias("least_bytes"))
+    fit = F.when(F.col("state") == 0, "exact").when(F.col("state") > 0, "adjusted").otherwise("payload_budget_exceeded")
+    return r.select(*keys, fit.alias("fit"), "state", F.get("bytes", F.col("state")).alias("actual_bytes"), "least_bytes")
+
+
+#: What decides an image, besides the content of its frame.
+SETTING = ("crop_x", "crop_y", "crop_w", "crop_h", "to_width", "to_height", "format", "image_quality")
+
 
-    size: bytes of a shown view from its columns and actual_quality, actual_width. budgets: stack_id, budget.
+def with_setting(steps: DataFrame) -> DataFrame:
+    """Steps with the columns of SETTING: crop, size and quality of the image, each from its own row."""
+    whole = F.col("w") == 0
+    w, h = F.when(whole, F.col("frame_width")).otherwise(F.col("w")), F.when(whole, F.col("frame_height")).otherwise(F.col("h"))
+    to_width = F.when(F.col("width_policy").isNull() & (F.col("actual_width") == F.col("frame_width")), w).otherwise(F.col("actual_width"))
+    to_height = F.greatest(F.lit(1), F.round(h * to_width / w))
+    named = {"crop_x": F.col("x"), "crop_y": F.col("y"), "crop_w": w, "crop_h": h, "to_width": to_width, "to_height": to_height}
+    named = {c: v.cast("int") for c, v in named.items()}
+    return steps.withColumns(named | {"image_quality": F.when(F.col("format") == "jpeg", F.col("actual_quality")).otherwise(0).cast("int")})
+
+
+def images_of(settings: DataFrame, frames: DataFrame, effort: str = "default") -> DataFrame:
+    """content, SETTING and data (the encoded image) of each distinct setting, encoded once.
+
+    settings: content and SETTING, repeated as they may be. frames: content, width, height, data, a row a content. The
+    kernel crops, resamples and encodes each row by its own numbers, and says how long each stage took.
     """
-    totals = ladder_states(plan).groupBy("stack_id", "state").agg(
-        F.sum(F.when(F.col("shown"), size).otherwise(0)).cast("long").alias("bytes")
-    )
-    j = totals.join(budgets, "stack_id")
-    first = F.min(F.when(F.col("bytes") <= F.col("budget"), F.struct("state", "bytes"))).alias("first")
-    r = j.groupBy("stack_id").agg(first, F.min("bytes").alias("least_bytes"))
-    fit = F.when(F.col("first.state") == 0, "exact").when(F.col("first").isNotNull(), "adjusted")
-    return r.select(
-        "stack_id",
-        F.coalesce(fit, F.lit("payload_budget_exceeded")).alias("fit"),
-        F.col("first.state").alias("state"),
-        F.col("first.bytes").alias("actual_bytes"),
-        "least_bytes",
+    keys = ["content", *SETTING]
+    one = settings.select(*keys).distinct().join(frames.select("content", "width", F.col("data").alias("pixels")), "content")
+
+    def run(batches):
+        import time
+
+        for b in batches:
+            rows = b.to_pylist()
+            made, took = [], []
+            for r in rows:
+                t = [time.perf_counter()]
+                rgb = kernels.pixels(r["pixels"], r["width"])
+                rgb = rgb[r["crop_y"] : r["crop_y"] + r["crop_h"], r["crop_x"] : r["crop_x"] + r["crop_w"]]
+                t.append(time.perf_counter())
+                rgb = kernels.resize(np.ascontiguousarray(rgb), r["to_width"], r["to_height"])
+                t.append(time.perf_counter())
+                made.append(codec.encode_jpeg(rgb, r["image_quality"]) if r["format"] == "jpeg" else codec.encode_png(rgb, effort))
+                t.append(time.perf_counter())
+                took.append([int((y - x) * 1e6) for x, y in zip(t, t[1:], strict=False)])
+            times = [pa.array([t[i] for t in took], pa.int64()) for i in range(3)]
+            yield pa.RecordBatch.from_arrays([*(b.column(k) for k in keys), pa.array(made, pa.binary()), *times], [*keys, "data", "crop_us", "resize_us", "encode_us"])
+
+    kind = f"content {settings.schema['content'].dataType.simpleString()}, " + ", ".join(f"{c} {'string' if c == 'format' else 'int'}" for c in SETTING)
+    spread = one.repartition("content", *SETTING)  # the work is in the encoder, not in the rows' number
+    return spread.mapInArrow(run, f"{kind}, data binary, crop_us long, resize_us long, encode_us long")
+
+
+def observe_stages(images: DataFrame) -> tuple[DataFrame, Observation]:
+    """``images`` (of images_of), and totals of its stages that the job which reads it fills in: images, encoded_bytes and
+    the microseconds that crops, resizes and encodings took in the kernel."""
+    seen = Observation()
+    sums = [F.coalesce(F.sum(f"{c}_us"), F.lit(0)).alias(f"{c}_us") for c in ("crop", "resize", "encode")]
+    encoded = F.coalesce(F.sum(F.octet_length("data")), F.lit(0)).alias("encoded_bytes")
+    return images.observe(seen, F.count("*").alias("images"), encoded, *sums), seen
+
+
+def measured(steps: DataFrame, frames: DataFrame) -> DataFrame:
+    """Steps (with content) with size: the characters of the image in base64, 0 where none is shown."""
+    s = with_setting(steps)
+    shown = s.filter("shown")
+    images = images_of(shown, frames)
+    sizes = images.select("content", *SETTING, ((F.octet_length("data") + 2) / 3).cast("long").alias("thirds"))
+    j = s.join(sizes.select("content", *SETTING, (F.col("thirds") * 4).alias("size")), ["content", *SETTING], "left")
+    return j.withColumn("size", F.when(F.col("shown"), F.col("size")).otherwise(0))
+
+
+def present(steps: DataFrame, fits: DataFrame, frames: DataFrame, *keys: str) -> DataFrame:
+    """A row a presented view: the settings that its plan's fit chose, its map to the source and its image.
+
+    steps: of view_steps, with content, src_x, src_y. fits: keys and state. A view that isn't shown has no image; its
+    identity stays. Plans that fit nowhere have no rows.
+    """
+    s = with_setting(steps).join(fits.filter("state is not null").select(*keys, "state"), list(keys))
+    s = s.filter("from_state <= state AND state < to_state")
+    images = images_of(s.filter("shown"), frames).select("content", *SETTING, "data")
+    t = G.transform(G.rect(F.col("src_x") + F.col("crop_x"), F.col("src_y") + F.col("crop_y"), F.col("crop_w"), F.col("crop_h")), F.col("to_width"), F.col("to_height"))
+    j = s.join(images, ["content", *SETTING], "left").withColumn("data", F.when(F.col("shown"), F.col("data")))
+    shape = [F.when(F.col("shown"), F.col(c)).alias(n) for c, n in (("to_width", "image_width"), ("to_height", "image_height"))]
+    return j.select(
+        *keys, "frame_index", "frame_id", "view", "kind_rank", "required", "shown", "format", "crop_x", "crop_y", "crop_w", "crop_h",
+        *shape, F.when(F.col("format") == "jpeg", F.col("actual_quality")).alias("quality"),
+        *[t[c].alias(c) for c in ("offset_x", "offset_y", "scale_x", "scale_y")], "data",
+    )
+
+
+def documents(views: DataFrame, *keys: str, images: bool = True) -> DataFrame:
+    """keys and document: the views nested by frame, in order, with totals of each frame and of all.
+
+    A stack has few frames of few views, so a document is a row. images: with each image in base64 and its bytes.
+    """
+    shape = ["view", "required", "shown", "format", "quality", "image_width", "image_height"]
+    source = F.struct(F.col("crop_x").alias("x"), F.col("crop_y").alias("y"), F.col("crop_w").alias("width"), F.col("crop_h").alias("height"))
+    to_source = F.struct("offset_x", "offset_y", "scale_x", "scale_y")
+    parts = ["kind_rank", *shape, source.alias("source"), to_source.alias("transform")]
+    if images:
+        parts += [F.octet_length("data").cast("long").alias("bytes"), F.base64("data").alias("base64")]
+    by_frame = views.groupBy(*keys, "frame_index", "frame_id").agg(
+        F.transform(F.array_sort(F.collect_list(F.struct(*parts))), lambda v: v.dropFields("kind_rank")).alias("views"),
+        F.count(F.when(F.col("shown"), 1)).alias("images"),
+        *([F.coalesce(F.sum(F.octet_length("data")), F.lit(0)).alias("bytes")] if images else []),
     )
+    total = ["images", *(["bytes"] if images else [])]
+    frame = F.struct("frame_index", "frame_id", "views", *total)
+    all_ = by_frame.groupBy(*keys).agg(F.array_sort(F.collect_list(frame)).alias("frames"), *[F.sum(c).alias(c) for c in total])
+    return all_.select(*keys, F.to_json(F.struct("frames", *total)).alias("document"))
 
 
 def changed_region(comparisons: DataFrame, keys: list[str], padding: int, max_fraction: float, bounds: Column) -> DataFrame:

@@ -5,8 +5,10 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..operators import compare as C
+from ..operators import strips as B
 from ..operators.crop import crop_pixels, geometry_consistent
 from ..sources import frames as S
+from ..sources.strips import to_strips
 from . import frame_sql as Q
 from .registry import query
 
@@ -32,6 +34,31 @@ def compare_scanlines(spark, sf_dir):
     return C.compare_consecutive(S.embedding_scanlines(spark, sf_dir), _RGB, "lines")
 
 
+@query("compare_strips", _CONSECUTIVE)
+def compare_strips(spark, sf_dir):
+    """compare_consecutive over bytes: equal strips are never opened."""
+    return B.compare_consecutive(to_strips(S.embedding_scanlines(spark, sf_dir)), _RGB)
+
+
+@query("compare_strips_exact", f"{_WITH} {Q.emb_consecutive('exact', 0, 0.0)}")
+def compare_strips_exact(spark, sf_dir):
+    return B.compare_consecutive(to_strips(S.embedding_scanlines(spark, sf_dir)), _EXACT)
+
+
+@query("baseline_strips", f"{_WITH} {Q.emb_baseline(*_ARGS)}")
+def baseline_strips(spark, sf_dir):
+    return B.compare_to_baseline(to_strips(S.embedding_scanlines(spark, sf_dir)), _RGB)
+
+
+@query("resize_frames")
+def resize_frames(spark, sf_dir):
+    """Every frame resampled to a size of its own, with a digest of the result."""
+    f = B.whole_frames(to_strips(S.embedding_scanlines(spark, sf_dir)), ["session_id", "frame_id"])
+    sized = f.withColumns({"to_width": (F.col("frame_id") % 7 + 2).cast("int"), "to_height": (F.col("frame_id") % 5 + 3).cast("int")})
+    out = B.resize_frames(sized, ["session_id", "frame_id"])
+    return out.select("session_id", "frame_id", "width", "height", F.sha2("data", 256).alias("sha256"))
+
+
 @query("compare_to_baseline", f"{_WITH} {Q.emb_baseline(*_ARGS)}")
 def compare_to_baseline(spark, sf_dir):
     return C.compare_to_baseline(S.embedding_pixels(spark, sf_dir), _RGB)
@@ -82,11 +109,9 @@ def _pixels(name: str, options: C.CompareOptions, test: str):
 FROM (SELECT session_id, frame_id, x, y, {before} FROM emb WINDOW earlier AS (PARTITION BY session_id, x, y ORDER BY frame_id)) WHERE frame_id > 1""",
     )
     def run(spark, sf_dir):
-        frames = S.embedding_pixels(spark, sf_dir)
-        before, after = C.with_previous(frames)
-        pack, keys = F.struct("r", "g", "b"), ["session_id", "frame_id", "x", "y"]
-        j = before.select(*keys, pack.alias("before")).join(after.select(*keys, pack.alias("after")), keys)
-        return j.select(*keys, C.pixel_changed(options).alias("pixel_changed"))
+        keys = ["session_id", "frame_id", "x", "y"]
+        pairs = C.consecutive_pixels(S.embedding_pixels(spark, sf_dir))
+        return pairs.select(*keys, C.pixel_changed(options).alias("pixel_changed"))
 
 
 _pixels("pixel_changed_exact", _EXACT, "r1 <> r2 OR g1 <> g2 OR b1 <> b2")
@@ -129,11 +154,10 @@ def project_transition(spark, sf_dir):
 @query(
     "initial_comparison",
     f"""{_WITH} {Q.comparison('SELECT session_id, frame_id, x, y, r AS r1, g AS g1, b AS b1, r AS r2, g AS g2, b AS b2 '
-                              'FROM emb WHERE frame_id = 1', Q.KEYS, *_ARGS)}""",
+                              'FROM emb', Q.KEYS, *_ARGS)}""",
 )
 def initial_comparison(spark, sf_dir):
-    first = S.embedding_pixels(spark, sf_dir).filter("frame_id = 1")
-    return C.initial_comparison(["session_id", "frame_id"], first, _RGB)
+    return C.initial_comparison(["session_id", "frame_id"], S.embedding_pixels(spark, sf_dir), _RGB)
 
 
 _SIZES = "SELECT o_orderkey AS id, 640 AS width, 480 AS height FROM orders"

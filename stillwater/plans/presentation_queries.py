@@ -12,6 +12,7 @@ from ..operators import presentation as P
 from ..operators import resample as R
 from ..operators.crop import crop_scanlines
 from ..sources import frames as S
+from ..sources.strips import texture_frames
 from . import frame_sql as Q
 from .registry import query, scalar
 
@@ -89,13 +90,18 @@ def _stacks(spark, sf_dir):
     e = S.table(spark, sf_dir, "events").select("user_id", "event_id", "ts")
     e = S.assign_frame_ids(e, "user_id", "ts", "event_id").withColumnRenamed("frame_id", "n")
     return e.selectExpr(
-        "user_id * 1000000000 + (n - 1) div 3 AS stack_id", "cast((n - 1) % 3 as int) AS frame_index", "event_id AS frame_id", "1280 AS width",
+        "user_id", "user_id * 1000000000 + (n - 1) div 3 AS stack_id", "cast((n - 1) % 3 as int) AS frame_index", "event_id AS frame_id", "1280 AS width",
         "720 AS height", "10 AS src_x", "20 AS src_y",
     )
 
 
+def _plan_of_users(spark, sf_dir):
+    """The plan with its user, by whom the events are dealt out: what follows by user and stack shuffles no more."""
+    return P.plan_views(_stacks(spark, sf_dir), spark.createDataFrame(_REGIONS, _REGION_KIND), _OVERVIEW, carry=("user_id",))
+
+
 def _plan(spark, sf_dir):
-    return P.plan_views(_stacks(spark, sf_dir), spark.createDataFrame(_REGIONS, _REGION_KIND), _OVERVIEW)
+    return _plan_of_users(spark, sf_dir).drop("user_id")
 
 
 @query("plan_views", f'{_PLAN} SELECT * FROM plan')
@@ -170,16 +176,29 @@ st2 AS (SELECT *, CASE WHEN is_newest THEN least(greatest(state - 13, 0), 6) ELS
 states AS (SELECT *, format <> 'metadata' AND (required OR state < 13) AS shown,
         CASE WHEN format = 'jpeg' AND least(nq, len(qs)) > 0 THEN qs[least(nq, len(qs))] ELSE quality END AS actual_quality,
         CASE WHEN least(nw, len(ws)) > 0 THEN ws[least(nw, len(ws))] ELSE cw END AS actual_width FROM st2),
-totals AS (SELECT stack_id, state, sum(CASE WHEN shown THEN {_SIZE_SQL} ELSE 0 END)::BIGINT AS bytes FROM states GROUP BY stack_id, state),
+totals AS MATERIALIZED (SELECT stack_id, state, sum(CASE WHEN shown THEN {_SIZE_SQL} ELSE 0 END)::BIGINT AS bytes FROM states GROUP BY stack_id, state),
 budget AS (SELECT DISTINCT stack_id, 60000 + stack_id * 7919 % 500000 AS budget FROM p)"""
 
 
-def _fitted(spark, sf_dir):
-    p = _plan(spark, sf_dir).filter("status = 'ok'")
+def _floors(plan):
     newest = F.col("is_newest")
+    p = plan.filter("status = 'ok'")
     return p.withColumns({"min_width": F.when(newest, 480).otherwise(320), "min_quality": F.when(newest, 55).otherwise(40)})
 
 
+def _fitted(spark, sf_dir):
+    return _floors(_plan(spark, sf_dir))
+
+
+def _bytes(spark, sf_dir):
+    """The bytes of each stack's plan in every state."""
+    return P.state_bytes(P.view_steps(_floors(_plan_of_users(spark, sf_dir))), _size(), "user_id", "stack_id")
+
+
+def _budget():
+    return F.lit(60000) + F.col("stack_id") * 7919 % 500000
+
+
 def _size():
     return F.col("actual_width") * F.when(F.col("format") == "jpeg", F.col("actual_quality")).otherwise(120)
 
@@ -191,9 +210,7 @@ SELECT r.stack_id, CASE WHEN r.state = 0 THEN 'exact' WHEN r.state > 0 THEN 'adj
   totals.bytes AS actual_bytes, least_bytes FROM r LEFT JOIN totals ON totals.stack_id = r.stack_id AND totals.state = r.state""",
 )
 def fit_plan(spark, sf_dir):
-    p = _fitted(spark, sf_dir)
-    budgets = p.select("stack_id", (F.lit(60000) + F.col("stack_id") * 7919 % 500000).alias("budget")).distinct()
-    return P.fit_plans(p, budgets, _size())
+    return P.fit_plans(_bytes(spark, sf_dir), _budget(), "stack_id")
 
 
 def _state(name: str, state: int):
@@ -211,17 +228,140 @@ _state("rung_lower_resolution", 7)
 _state("rung_omit_optional", 13)
 
 
-@query("measure_plan", f"{_STATES} SELECT stack_id, bytes FROM totals WHERE state = 0")
-def measure_plan(spark, sf_dir):
-    s = P.ladder_states(_fitted(spark, sf_dir)).filter("state = 0")
-    return s.groupBy("stack_id").agg(F.sum(F.when(F.col("shown"), _size()).otherwise(0)).cast("long").alias("bytes"))
+@query("plan_sizes", f"{_STATES} SELECT stack_id, bytes FROM totals WHERE state = 0")
+def plan_sizes(spark, sf_dir):
+    return _bytes(spark, sf_dir).select("stack_id", F.col("bytes")[0].alias("bytes"))
 
 
 @query("minimum_payload", f"{_STATES} SELECT stack_id, min(bytes) AS least_bytes FROM totals GROUP BY stack_id")
 def minimum_payload(spark, sf_dir):
-    s = P.ladder_states(_fitted(spark, sf_dir)).groupBy("stack_id", "state")
-    t = s.agg(F.sum(F.when(F.col("shown"), _size()).otherwise(0)).cast("long").alias("bytes"))
-    return t.groupBy("stack_id").agg(F.min("bytes").alias("least_bytes"))
+    return _bytes(spark, sf_dir).select("stack_id", F.array_min("bytes").alias("least_bytes"))
+
+
+# Stacks of frames with pixels: an event's frame is a texture of 64 x 48, one of 32, and every view of it is encoded.
+_SMALL_REGIONS = [
+    ("hud", 12, 21, 20, 10, "all", True, 50, "png", None, None),
+    ("map", 40, 40, 24, 16, "newest", False, 120, "jpeg", 80, 12),
+    ("log", 10, 50, 32, 8, "older", False, 30, "jpeg", 70, None),
+    ("off", 60, 60, 40, 10, "newest", False, 120, "png", None, None),
+]
+_SMALL_OVERVIEW = {"older": {"format": "jpeg", "quality": 55, "width": 32}, "newest": {"format": "jpeg", "quality": 85, "width": None}}
+
+
+def _small_steps(spark, sf_dir, newest_alone: bool = False):
+    f = _stacks(spark, sf_dir).withColumns({"width": F.lit(64), "height": F.lit(48)})
+    if newest_alone:  # stacks of one frame: each user's last
+        f = f.groupBy("user_id").agg(F.max_by(F.struct(*[c for c in f.columns if c != "user_id"]), F.struct("stack_id", "frame_index")).alias("f"))
+        f = f.select("user_id", "f.*").withColumns({"stack_id": F.col("user_id"), "frame_index": F.lit(0)})
+    p = _floors(P.plan_views(f, spark.createDataFrame(_SMALL_REGIONS, _REGION_KIND), _SMALL_OVERVIEW, carry=("user_id",)))
+    return P.view_steps(p).withColumns({"content": F.col("frame_id") % 32, "src_x": F.lit(10), "src_y": F.lit(20)})
+
+
+def _textures(spark, sf_dir):
+    seeds = S.table(spark, sf_dir, "events").select((F.col("event_id") % 32).alias("content")).distinct()
+    return texture_frames(seeds.withColumn("seed", F.col("content") * 40 % 256), 64, 48)
+
+
+def _small_budget():
+    return F.lit(6000) + F.col("stack_id") % 1000003 * 7919 % 40000
+
+
+def _measured(spark, sf_dir):
+    return P.state_bytes(P.measured(_small_steps(spark, sf_dir), _textures(spark, sf_dir)), F.col("size"), "user_id", "stack_id")
+
+
+@query("measure_plan")
+def measure_plan(spark, sf_dir):
+    """Base64 characters of every stack's images, each distinct setting encoded once."""
+    return _measured(spark, sf_dir).select("stack_id", F.col("bytes")[0].alias("bytes"))
+
+
+@query("fit_measured")
+def fit_measured(spark, sf_dir):
+    """Stacks fitted to budgets by the sizes of their encoded images."""
+    return P.fit_plans(_measured(spark, sf_dir), _small_budget(), "stack_id")
+
+
+@query("to_response")
+def to_response(spark, sf_dir):
+    """The document of each fitted stack: frames, views, maps to the source, images, totals."""
+    fits = P.fit_plans(_measured(spark, sf_dir), _small_budget(), "user_id", "stack_id")
+    views = P.present(_small_steps(spark, sf_dir), fits, _textures(spark, sf_dir), "user_id", "stack_id")
+    made = P.documents(views, "user_id", "stack_id")
+    return made.join(fits.select("user_id", "stack_id", "fit", "state"), ["user_id", "stack_id"]).select("stack_id", "fit", "state", "document")
+
+
+def _small_sql(stacks: str) -> str:
+    values = "(VALUES " + ", ".join(
+        "(" + ", ".join("NULL" if v is None else f"'{v}'" if isinstance(v, str) else str(v) for v in r) + ")" for r in _SMALL_REGIONS
+    ) + ") AS g(name, rx, ry, rw, rh, scope, required, region_priority, region_format, region_quality, region_width)"
+    return f"""WITH st AS ({stacks}), f AS (SELECT *, max(frame_index) OVER (PARTITION BY stack_id) AS top FROM st),
+v AS (
+  SELECT user_id, stack_id, frame_index, frame_id, 'overview' AS "view", 0 AS kind_rank, true AS required, 'jpeg' AS format, CASE WHEN frame_index = top THEN 85 ELSE 55 END AS quality,
+    0 AS x, 0 AS y, 64 AS w, 48 AS h, CASE WHEN frame_index = top THEN 64 ELSE 32 END AS iw FROM f
+  UNION ALL
+  SELECT user_id, stack_id, frame_index, frame_id, name, 1, required, region_format, region_quality, rx - 10, ry - 20, rw, rh, coalesce(region_width, rw)
+  FROM f JOIN {values} ON (scope = 'all' OR scope = 'newest' AND frame_index = top OR scope = 'older' AND frame_index < top) AND rx + rw <= 74 AND ry + rh <= 68),
+r AS (SELECT *, greatest(1, round(h * iw::DOUBLE / w))::INT AS ih FROM v)"""
+
+
+@query(
+    "present_stack",
+    _small_sql(_STACKS.replace("SELECT user_id *", "SELECT user_id, user_id *", 1))
+    + """,
+docs AS (
+  SELECT stack_id, frame_index, frame_id, '{"view":"' || "view" || '","required":' || required || ',"shown":true,"format":"' || format || '"'
+    || CASE WHEN format = 'jpeg' THEN ',"quality":' || quality ELSE '' END || ',"image_width":' || iw || ',"image_height":' || ih
+    || ',"source":{"x":' || x || ',"y":' || y || ',"width":' || w || ',"height":' || h || '},"transform":{"offset_x":' || x + 10 || ',"offset_y":' || y + 20
+    || ',"scale_x":' || w::DOUBLE / iw || ',"scale_y":' || h::DOUBLE / ih || '}}' AS doc, kind_rank, "view" FROM r),
+frames AS (
+  SELECT stack_id, frame_index, count(*) AS n, '{"frame_index":' || frame_index || ',"frame_id":' || frame_id || ',"views":['
+    || string_agg(doc, ',' ORDER BY kind_rank, "view") || '],"images":' || count(*) || '}' AS doc FROM docs GROUP BY stack_id, frame_index, frame_id)
+SELECT stack_id, '{"frames":[' || string_agg(doc, ',' ORDER BY frame_index) || '],"images":' || sum(n)::BIGINT || '}' AS document FROM frames GROUP BY stack_id""",
+)
+def present_stack(spark, sf_dir):
+    """Documents of all stacks as their plan has them, without the images themselves."""
+    steps = _small_steps(spark, sf_dir)
+    fits = P.fit_plans(_measured(spark, sf_dir), F.lit(1 << 40), "user_id", "stack_id")  # without a limit: state 0
+    views = P.present(steps, fits, _textures(spark, sf_dir), "user_id", "stack_id")
+    return P.documents(views, "user_id", "stack_id", images=False).select("stack_id", "document")
+
+
+_LAST = """SELECT user_id, user_id AS stack_id, 0 AS frame_index, event_id AS frame_id
+FROM (SELECT user_id, event_id, row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC) AS n FROM events) WHERE n = 1"""
+
+
+@query(
+    "present_frame",
+    _small_sql(_LAST) + """ SELECT user_id, frame_id, "view", required, format, CASE WHEN format = 'jpeg' THEN quality END AS quality, iw AS image_width, ih AS image_height,
+  x + 10 AS offset_x, y + 20 AS offset_y, w::DOUBLE / iw AS scale_x, h::DOUBLE / ih AS scale_y, true AS has_image FROM r""",
+)
+def present_frame(spark, sf_dir):
+    """Each user's newest frame: its overview and regions at their own sizes, encoded."""
+    steps = _small_steps(spark, sf_dir, newest_alone=True)
+    fits = steps.groupBy("user_id", "stack_id").agg(F.lit(0).alias("state"))
+    v = P.present(steps, fits, _textures(spark, sf_dir), "user_id", "stack_id")
+    return v.select(
+        "user_id", "frame_id", "view", "required", "format", "quality", "image_width", "image_height", "offset_x", "offset_y", "scale_x", "scale_y",
+        (F.octet_length("data") > 0).alias("has_image"),
+    )
+
+
+@query(
+    "image_stages",
+    _small_sql(_STACKS.replace("SELECT user_id *", "SELECT user_id, user_id *", 1))
+    + """, one AS (SELECT DISTINCT frame_id % 32 AS content, x, y, w, h, iw, ih, format, CASE WHEN format = 'jpeg' THEN quality END AS quality FROM r)
+SELECT count(*) AS images, sum(w * h * 3)::BIGINT AS cropped_bytes, sum(iw * ih * 3)::BIGINT AS resized_bytes FROM one""",
+)
+def image_stages(spark, sf_dir):
+    """What passes the stages of all distinct images; their times and encoded bytes: presentation.observe_stages."""
+    s = P.with_setting(_small_steps(spark, sf_dir).filter("from_state = 0"))
+    images, seen = P.observe_stages(P.images_of(s.filter("shown"), _textures(spark, sf_dir)))
+    return images.agg(
+        F.count("*").alias("images"),
+        F.sum(F.col("crop_w") * F.col("crop_h") * 3).alias("cropped_bytes"),
+        F.sum(F.col("to_width") * F.col("to_height") * 3).alias("resized_bytes"),
+    )
 
 
 @query(
@@ -367,11 +507,8 @@ def requests_any_image(spark, sf_dir):
 
 @query("within_budget", f"{_STATES} SELECT stack_id, state, bytes <= budget AS within FROM totals JOIN budget USING (stack_id)")
 def within_budget(spark, sf_dir):
-    p = _fitted(spark, sf_dir)
-    t = P.ladder_states(p).groupBy("stack_id", "state").agg(
-        F.sum(F.when(F.col("shown"), _size()).otherwise(0)).cast("long").alias("bytes")
-    )
-    return t.select("stack_id", "state", (F.col("bytes") <= F.lit(60000) + F.col("stack_id") * 7919 % 500000).alias("within"))
+    t = _bytes(spark, sf_dir).select("stack_id", F.posexplode("bytes").alias("state", "bytes"))
+    return t.select("stack_id", "state", (F.col("bytes") <= _budget()).alias("within"))
 
 
 def _packed(spark, sf_dir, seeds: int = 6):
@@ -452,9 +589,9 @@ def to_json(spark, sf_dir):
     return c.select(*_KEYS, F.to_json(F.struct("mode", "changed", "changed_pixels", "total_pixels", box.alias("bounding_box"))).alias("document"))
 
 
-@query("present_stack", f"""{_PLAN} SELECT stack_id, count(DISTINCT frame_id) AS frames, count(*) AS views,
+@query("plan_names", f"""{_PLAN} SELECT stack_id, count(DISTINCT frame_id) AS frames, count(*) AS views,
   list("view" ORDER BY frame_index, kind_rank, "view") AS names FROM plan WHERE status = 'ok' GROUP BY stack_id""")
-def present_stack(spark, sf_dir):
+def plan_names(spark, sf_dir):
     p = _plan(spark, sf_dir).filter("status = 'ok'")
     g = p.groupBy("stack_id").agg(  # at most 8 frames of a few views a stack
         F.countDistinct("frame_id").alias("frames"), F.count("*").alias("views"),

@@ -87,14 +87,6 @@ def encode_view(spark, sf_dir):
     return out.select(*_KEYS, *_DIGEST)
 
 
-@query("present_frame")
-def present_frame(spark, sf_dir):
-    """The newest frame of each session as an overview."""
-    lines = S.embedding_scanlines(spark, sf_dir)
-    newest = lines.groupBy("session_id").agg(F.max("frame_id").alias("frame_id"))
-    return prepare_image(lines.join(newest, _KEYS), _KEYS, (8, 8), resize=(4, 4)).select(*_KEYS, *_DIGEST)
-
-
 @query("capture")
 def capture(spark, sf_dir):
     """Capture, prepare, route: bytes go to a file, metadata to stdout."""
@@ -103,8 +95,8 @@ def capture(spark, sf_dir):
     return out.select(*_KEYS, "bytes", r["write_image_bytes"].alias("write_image_bytes"), r["metadata"].alias("metadata"))
 
 
-@query("to_response")
-def to_response(spark, sf_dir):
+@query("session_document")
+def session_document(spark, sf_dir):
     """A document a session: images with sizes, and totals."""
     out = prepare_image(_LINES(spark, sf_dir), _KEYS, (8, 8), resize=(4, 4)).drop("data")
     view = F.struct("frame_id", "format", "bytes", F.length("base64").alias("base64_chars"))
