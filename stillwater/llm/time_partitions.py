@@ -23,6 +23,7 @@ import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import AtomicType, DoubleType, FloatType, StructType
 
 from .common import columns, local_rows, shared_dir, shuffle_partitions, written
 
@@ -93,18 +94,32 @@ def click_moment(at: Column, click_id: Column) -> Column:
     return F.when(k < 16, us - (k + 6) * (k + 6) * (k + 6) * DAY).when(k > 111, monday).otherwise(us)
 
 
-def keyed(rows: DataFrame, moment: Column, late: Column, number: Column) -> DataFrame:
-    """``rows`` (row: a struct of a table's columns; any others) with timed and the parts of KEY."""
-    # every value of a row, to the microsecond
-    formats = {"ignoreNullFields": "false", "timestampNTZFormat": "yyyy-MM-dd'T'HH:mm:ss.SSSSSS"}
-    formats["timestampFormat"] = "yyyy-MM-dd'T'HH:mm:ss.SSSSSSXXX"
-    digest, whole, low = F.xxhash64(F.to_json("row", formats)), F.coalesce(number.cast("long"), F.lit(0)), F.lit(0xFFFFFFFF)
+def _digest(row: StructType) -> Column:
+    """A hash of every value of a row, nulls apart from others and -0.0 from 0.0."""
+    parts: list[Column] = []
+    for name, kind in ((f.name, f.dataType) for f in row):
+        value = F.col("row").getField(name)
+        if isinstance(kind, (FloatType, DoubleType)):
+            parts.append((value == 0) & (F.atan2(value, F.lit(-1.0)) < 0))
+        elif not isinstance(kind, AtomicType):
+            value = F.to_json(F.struct(value), {"ignoreNullFields": "false"})
+        parts += [value.isNull(), value]
+    return F.xxhash64(*parts)
+
+
+def keyed(rows: DataFrame, moment: Column) -> DataFrame:
+    """``rows`` (row: a struct of a table's columns; any others) with timed and moment, the first part of KEY."""
+    return rows.select("*", moment.isNotNull().alias("timed"), F.coalesce(moment, F.lit(0)).cast("long").alias("moment"))
+
+
+def with_key(rows: DataFrame, late: str, id_col: str) -> DataFrame:
+    """``rows`` (of ``keyed``) with the other parts of KEY."""
+    at, number = F.col("row").getField(late), F.col("row").getField(id_col)
+    digest, whole, low = _digest(rows.schema["row"].dataType), F.coalesce(number.cast("long"), F.lit(0)), F.lit(0xFFFFFFFF)
     return rows.select(
         "*",
-        moment.isNotNull().alias("timed"),
-        F.coalesce(moment, F.lit(0)).cast("long").alias("moment"),
-        late.isNull().cast("long").alias("late_null"),
-        F.coalesce(micros(late), F.lit(0)).cast("long").alias("late"),
+        at.isNull().cast("long").alias("late_null"),
+        F.coalesce(micros(at), F.lit(0)).cast("long").alias("late"),
         number.isNull().cast("long").alias("id_null"),
         F.shiftright(whole, 32).alias("id_high"),
         whole.bitwiseAND(low).alias("id_low"),
@@ -195,7 +210,7 @@ def _chosen(targets: dict[int, list[int]]):
     return choose
 
 
-def find_bounds(rows: DataFrame, leaves: list[Leaf], limit: int) -> dict[int, list[Bound]]:
+def find_bounds(rows: DataFrame, leaves: list[Leaf], limit: int, key) -> dict[int, list[Bound]]:
     """The boundaries of the leaves with more rows than the limit, by leaf: radix selection over their rows."""
     spark = rows.sparkSession
     many = {i: leaf for i, leaf in enumerate(leaves) if leaf.n > limit}
@@ -203,7 +218,7 @@ def find_bounds(rows: DataFrame, leaves: list[Leaf], limit: int) -> dict[int, li
         return {}
     hour = F.when(F.col("timed"), F.col("moment") - F.pmod(F.col("moment"), F.lit(HOUR))).otherwise(F.lit(-(1 << 62)))
     where = local_rows(spark, [(i, -(1 << 62) if x.low is None else x.low) for i, x in many.items()], "bucket int, hour long")
-    live = rows.select("timed", *KEY).withColumn("hour", hour).join(F.broadcast(where), "hour").select("bucket", *KEY)
+    live = key(rows.withColumn("hour", hour).join(F.broadcast(where), "hour")).select("bucket", *KEY)
     # bucket: its leaf, the ranks to find in it, the part of the key that differs first, its least value, bits to leave out
     shift = max(0, HOUR.bit_length() - DIGIT)
     open_ = {
@@ -241,10 +256,10 @@ def find_bounds(rows: DataFrame, leaves: list[Leaf], limit: int) -> dict[int, li
     return {leaf: [b for _, b in sorted(at, key=lambda x: x[0])] for leaf, at in found.items()}
 
 
-def plan(rows: DataFrame, limit: int) -> Layout:
-    """The layout of ``rows`` (of ``keyed``) in files of ``limit`` rows at most."""
+def plan(rows: DataFrame, limit: int, key) -> Layout:
+    """The layout of ``rows`` (of ``keyed``) in files of ``limit`` rows at most; ``key`` gives rows all parts of KEY."""
     leaves = find_leaves(rows, limit)
-    return Layout(limit, leaves, find_bounds(rows, leaves, limit))
+    return Layout(limit, leaves, find_bounds(rows, leaves, limit, key))
 
 
 def search(key: np.ndarray, bounds: np.ndarray) -> np.ndarray:
@@ -368,20 +383,20 @@ def _sha(batches):
     yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], k) for i, k in enumerate(kinds)], names)
 
 
-def rewrite(rows: DataFrame, folder: str, new: Column, limit: int, key) -> dict[str, tuple[str, int, int, bool, int]]:
+def rewrite(rows: DataFrame, folder: str, new: Column, limit: int, first, key) -> dict[str, tuple[str, int, int, bool, int]]:
     """Makes ``folder`` hold ``rows`` (row: a struct) in their layout. Files whose leaf, part and rows recur stay.
 
-    ``key`` gives rows the parts of KEY. Returns, by the files' names in ``folder``: leaf, part, rows, rows of which ``new``
+    ``first`` gives rows the first part of KEY, ``key`` the others. Returns, by the files' names in ``folder``: leaf, part, rows, rows of which ``new``
     holds, whether it was written. Other files go once the new ones are there. Empty tables leave no files.
     """
-    spark, rows = rows.sparkSession, key(rows)
-    layout = plan(rows, limit)
+    spark, rows = rows.sparkSession, first(rows)
+    layout = plan(rows, limit, key)
     files, stored = layout.files(), {}
     path = spark._jvm.org.apache.hadoop.fs.Path
     fs = path(folder).getFileSystem(spark._jsc.hadoopConfiguration())
     if fs.exists(path(folder)):
-        stored = _signs(key(read_files(spark, folder)), "name", F.min("path").alias("path"))
-    routed = route(rows, layout)
+        stored = _signs(key(first(read_files(spark, folder))), "name", F.min("path").alias("path"))
+    routed = route(key(rows), layout)
     signs = _signs(routed, "file", F.sum(new.cast("long")).alias("new"))
     out, wanted = {}, []
     for i, (leaf, part, n) in enumerate(files):
@@ -418,11 +433,12 @@ def partitioned_twice(
     spark = table.sparkSession
     folder, limit = shared_dir(spark, leave=True), 1 + table.count() // share
     of = lambda name: F.col("row").getField(name)
-    key = lambda df: keyed(df, click_moment(of(at), of(id_col)), of(late), of(id_col))
+    first = lambda df: keyed(df, click_moment(of(at), of(id_col)))
+    key = lambda df: with_key(df, late, id_col)
     rows = table.select(F.struct(*columns(table)).alias("row"))
     old = F.coalesce(of(late) < F.lit(cutoff).cast(table.schema[late].dataType), F.lit(False))
-    rewrite(rows.filter(old), folder, ~old, limit, key)
-    files = rewrite(rows, folder, ~old, limit, key)
+    rewrite(rows.filter(old), folder, ~old, limit, first, key)
+    files = rewrite(rows, folder, ~old, limit, first, key)
     schema = "file int, name string, leaf string, columns string, part long, n_new long, rewritten boolean"
     if not files:
         return local_rows(spark, [], "leaf string, columns string, ids_sha256 string, path string, part long, n_rows long, n_new long, rewritten boolean")
