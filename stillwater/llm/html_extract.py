@@ -1,10 +1,13 @@
 """Main text of HTML pages by tree scoring.
 
-A tolerant pass builds the tree; boilerplate elements (by tag, role or class words) are cut, but not for class words
-or a form alone if they declare or hold the main text. Each paragraph scores points for itself, its commas and its
+A tolerant pass builds the tree; boilerplate elements (by tag, role or a whole class or id of a listed word) are cut, but
+not for class words or a form alone if they declare or hold the main text, and never headings and paragraphs. Words that
+are parts of a class, such as with-sidebar, make an element's score less and cut nothing. Each paragraph scores points for itself, its commas and its
 length, and passes them to its parent, half of them to the parent's parent, and so on; elements that declare themselves
 the main text get those of all paragraphs inside whole. Scores are discounted by link density, and by class words;
-the best container, and siblings that score near it, are kept, less lists of links inside. Every step takes time in
+the best container, and siblings that score near it, are kept. Lists of links are dropped unless text of the article
+stands around them: between paragraphs and headings, or under a heading. Beside the one article that has most of a
+container's points, elements that follow it are reactions to it, whatever they are called. Every step takes time in
 proportion to the page.
 """
 
@@ -21,7 +24,7 @@ from pyspark.sql import functions as F
 
 _TOKEN = re.compile(
     r"<!--.*?(?:-->|\Z)"
-    r"|<(/?)([a-zA-Z][^\s/>]*+)((?:[^>\"']++|\"[^\"]*+\"|'[^']*+')*+)>"
+    r"|<(/?)([a-zA-Z][^\s/>]*+)((?:[^<>\"']++|\"[^\"]*+\"|'[^']*+')*+)>"
     r"|<(/?)([a-zA-Z][^\s/>]*+)([^>]*+)>"
     r"|<[!?/][^>]*+>",
     re.S,
@@ -66,7 +69,7 @@ _CUT_WORDS = set(
     "related recommended breadcrumb breadcrumbs pagination pager toolbar widget skip copyright".split()
 )
 _WORDS = re.compile(r"[A-Za-z]+")
-#: Factor of the score inside an element with a word of _CUT_WORDS that isn't cut.
+#: Factor of the score inside an element with a class of _CUT_WORDS that isn't cut, or with a part of a class.
 _WORDED = 0.25
 _PARAGRAPH = {"p", "pre", "td", "blockquote", "li", "dd"}
 _HOLDER = {"article", "main"}
@@ -84,11 +87,11 @@ _FADE = 0.5
 
 class _Node:
     __slots__ = (
-        "tag", "up", "parts", "cut", "doubt", "main", "good", "inside", "weight", "points", "score", "total", "size", "linked", "links"
+        "tag", "up", "parts", "cut", "doubt", "main", "good", "worded", "inside", "weight", "points", "score", "total", "size", "linked", "links"
     )
 
-    def __init__(self, tag: str, up: _Node | None, cut: bool, doubt: float | None, main: bool, good: bool):
-        self.tag, self.up, self.cut, self.doubt, self.main, self.good = tag, up, cut, doubt, main, good
+    def __init__(self, tag: str, up: _Node | None, cut: bool, doubt: float | None, main: bool, good: bool, worded: float = 1.0):
+        self.tag, self.up, self.cut, self.doubt, self.main, self.good, self.worded = tag, up, cut, doubt, main, good, worded
         self.inside = main or up is not None and up.inside  # of something that declares itself the main text
         self.weight = 1.0
         self.parts: list[_Node | str] = []
@@ -96,33 +99,37 @@ class _Node:
         self.points, self.score, self.total, self.size, self.linked, self.links = 0.0, 0.0, 0.0, 0, 0, 0
 
 
-def _kind(tag: str, attributes: str, up: _Node) -> tuple[bool, float | None, bool, bool]:
-    """Whether an element is cut, its factor of the score if it may be cut (by class words, or a form), whether it
-    declares itself the main text, and whether its class speaks of content."""
-    main, doubt, good = tag in _HOLDER, 1.0 if tag == "form" else None, False
+def _kind(tag: str, attributes: str, up: _Node) -> tuple[bool, float | None, bool, bool, float]:
+    """Whether an element is cut, its factor of the score if it may be cut (by a class, or a form), whether it declares
+    itself the main text, whether its class speaks of content, and its factor for parts of classes."""
+    main, doubt, good, worded = tag in _HOLDER, 1.0 if tag == "form" else None, False, 1.0
     if tag in _CUT_TAGS:
-        return True, None, False, False
+        return True, None, False, False, 1.0
     if tag == "header":
-        return not up.inside, None, False, False
+        return not up.inside, None, False, False, 1.0
     if attributes and tag not in ("html", "body"):
         for m in _ATTRIBUTE.finditer(attributes):
             name, value = m[1].lower(), m[2] or m[3] or m[4] or ""
             if name == "role":
                 if value.lower() in _CUT_ROLES:
-                    return True, None, False, False
+                    return True, None, False, False, 1.0
                 if value.lower() == "form":
                     doubt = doubt or 1.0
                 main |= value.lower() in ("main", "article")
             elif name == "hidden" or name == "aria-hidden" and value == "true":
-                return True, None, False, False
+                return True, None, False, False, 1.0
             elif name == "itemprop":
                 main |= value == "articleBody"
             elif name in ("class", "id"):
                 words = {w.lower() for w in _WORDS.findall(value)}
                 good |= not _GOOD_WORDS.isdisjoint(words)
-                if not _CUT_WORDS.isdisjoint(words):
+                if tag in _HEADINGS or tag == "p":
+                    continue
+                if not _CUT_WORDS.isdisjoint(value.lower().split()):
                     doubt = _WORDED
-    return False, doubt, main, good
+                elif name == "class" and not _CUT_WORDS.isdisjoint(words):
+                    worded = _WORDED
+    return False, doubt, main, good, worded
 
 
 class _Open:
@@ -182,10 +189,12 @@ class _Open:
 def parse(page: str) -> _Node:
     """The tree of a page, with every text and element in order; unclosed and stray tags are tolerated."""
     at, size, search, opened = 0, len(page), _TOKEN.search, _Open()
+    last = page.rfind(">")  # no tag ends after it, so none is looked for
     while at < size:
-        m = search(page, at)
+        m = search(page, at) if at <= last else None
         if not m:
-            opened.here.parts.append(page[at:])
+            comment = page.find("<!--", at)
+            opened.here.parts.append(page[at:] if comment < 0 else page[at:comment])
             break
         if m.start() > at:
             opened.here.parts.append(page[at : m.start()])
@@ -199,7 +208,7 @@ def parse(page: str) -> _Node:
         attributes = m[3] if m[2] else m[6]
         opened.implied(tag)
         if tag in _RAW:
-            end = _RAW_END[tag].search(page, at)
+            end = _RAW_END[tag].search(page, at) if at <= last else None
             at = end.end() if end else size
             continue
         node = _Node(tag, opened.here, *_kind(tag, attributes, opened.here))
@@ -213,7 +222,7 @@ def _settle(root: _Node) -> None:
     """Cuts the elements in doubt, except those that declare or hold the main text: one declared so, or, where none is
     declared elsewhere, more than half of the page's paragraph text. Inside an article, another is a comment on it."""
     nodes = _all(root)
-    if all(n.doubt is None for n in nodes):
+    if all(n.doubt is None and n.worded == 1 for n in nodes):
         return
     within = {root: False}  # whether an article is around
     for node in nodes[1:]:
@@ -231,6 +240,8 @@ def _settle(root: _Node) -> None:
     for node in nodes[1:]:
         around[node] = around[node.up] + node.up.main
         node.weight = node.up.weight
+        if node.worded < 1 and not node.main:
+            node.weight = min(node.weight, node.worded)
         if node.doubt is not None:
             spared = node.main or declared[node] and not within[node]
             alone = declared[node] + around[node] == declared[root]
@@ -305,7 +316,8 @@ def best_containers(root: _Node) -> list[_Node]:
     for node in best.up.parts:
         if node.__class__ is str or node.cut:
             continue
-        if node is not best and node.doubt is not None and not node.main:
+        beside = best.tag == "article" and node.tag != "p" and node.tag not in _HEADINGS
+        if node is not best and (node.doubt is not None or beside) and not node.main:
             continue
         long = node.tag in _HEADINGS or node.tag == "p" and node.size > 80 and _density(node) < 0.25
         if node is best or node.score and _value(node) >= least or long:
@@ -313,10 +325,55 @@ def best_containers(root: _Node) -> list[_Node]:
     return kept
 
 
+def _cut_reactions(best: _Node) -> None:
+    """Cuts what follows the one outermost article in a container, in elements of its own, if the article has most of the
+    container's points: headings, paragraphs and what stands before the article stay."""
+    if best.tag == "article":
+        return
+    outer, stack = [], [best]
+    while stack and len(outer) < 2:
+        for part in reversed(stack.pop().parts):
+            if part.__class__ is not str and not part.cut:
+                (outer if part.tag == "article" else stack).append(part)
+    if len(outer) != 1 or 2 * outer[0].total <= best.total:
+        return
+    node = outer[0]
+    while node is not best:
+        after = False
+        for part in node.up.parts:
+            if after and part.__class__ is not str and part.tag in _BLOCK and part.tag not in _HEADINGS and part.tag != "p":
+                part.cut = True
+            after |= part is node
+        node = node.up
+
+
 def _menu(node: _Node) -> bool:
     return node.tag in _MENU_TAGS and node.links > 1 and node.linked >= _MENU * node.size
 
 
+def _is_text(part: _Node | str | None) -> bool:
+    """Whether a part is a paragraph, a heading or text of the container's own."""
+    return part.__class__ is str or part is not None and (part.tag == "p" or part.tag in _HEADINGS)
+
+
+def _cut_menus(kept: list[_Node]) -> None:
+    """Cuts lists of links, but those between paragraphs or headings and those right under a heading."""
+    for top in kept:
+        for node in _all(top):
+            seen = [p for p in node.parts if (p.strip() if p.__class__ is str else not p.cut and (p.size or p.parts))]
+            for k, part in enumerate(seen):
+                if part.__class__ is str or not _menu(part):
+                    continue
+                around, at = seen, k
+                while len(around) == 1 and node is not top and node.up:  # a wrapper: what stands around that
+                    node_up = node.up
+                    around = [p for p in node_up.parts if (p.strip() if p.__class__ is str else not p.cut and (p.size or p.parts))]
+                    at, node = around.index(node), node_up
+                before, after = around[at - 1] if at else None, around[at + 1] if at + 1 < len(around) else None
+                under = before.__class__ is not str and before is not None and before.tag in _HEADINGS
+                part.cut = not (under or _is_text(before) and _is_text(after))
+
+
 def _all(root: _Node) -> list[_Node]:
     out, stack = [], [root]
     while stack:
@@ -343,7 +400,7 @@ def blocks(node: _Node) -> Iterator[str]:
                 yield text
         elif part.__class__ is str:
             run.append(part)
-        elif part.cut or _menu(part):
+        elif part.cut:
             if part.tag in _BLOCK:
                 stack.append(None)
         elif part.tag == "br":
@@ -362,7 +419,11 @@ def main_text(page: str | None) -> str:
     """The main text of one page; empty if there is none."""
     if not page:
         return ""
-    return "\n\n".join(b for node in best_containers(parse(page)) for b in blocks(node))
+    kept = best_containers(parse(page))
+    for node in kept:
+        _cut_reactions(node)
+    _cut_menus(kept)
+    return "\n\n".join(b for node in kept for b in blocks(node))
 
 
 def extract(df: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:

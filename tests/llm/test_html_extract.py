@@ -145,3 +145,49 @@ def test_time_in_proportion(page):
     began = time.process_time()
     main_text(page)
     assert time.process_time() - began < 1
+
+
+MORE = f"<p>{PARA}</p><p>{PARA}, too</p>"
+LINKS = "<li><a href=x>A paper on one thing</a></li><li><a href=y>A paper on another</a></li>"
+READ = "A paper on one thing\n\nA paper on another"
+
+
+@pytest.mark.parametrize(
+    "page, text",
+    [
+        # words in generated ids and in parts of classes
+        (f"<article><h1 id='share-prices-fall'>Share prices fall</h1>{MORE}</article>", f"Share prices fall\n\n{PARA}\n\n{PARA}, too"),
+        (f"<article>{MORE}<section id='social-media-and-search'><p>{PARA}!</p></section></article>", f"{PARA}\n\n{PARA}, too\n\n{PARA}!"),
+        (f"<article>{MORE}<h2 id='related-work'>Related work</h2><p>{PARA}!</p></article>", f"{PARA}\n\n{PARA}, too\n\nRelated work\n\n{PARA}!"),
+        (f"<article><p id='cookies-explained'>{PARA}</p><p class='notice-of-death'>{PARA}!</p></article>", f"{PARA}\n\n{PARA}!"),
+        (f"<article><h2 class=share>Share</h2><p class=comment>{PARA}</p></article>", f"Share\n\n{PARA}"),
+        (f"<article>{MORE}<div class=share>Share this</div></article>", f"{PARA}\n\n{PARA}, too"),
+        # lists of links with text of the article around them
+        (f"<article><p>{PARA}</p><ul>{LINKS}</ul><p>{PARA}!</p></article>", f"{PARA}\n\n{READ}\n\n{PARA}!"),
+        (f"<article>{MORE}<h2>References</h2><ol>{LINKS}</ol></article>", f"{PARA}\n\n{PARA}, too\n\nReferences\n\n{READ}"),
+        (f"<article><p>{PARA}</p><div><table><tr><td><a href=x>Town one</a></td><td><a href=y>Town two</a></td></tr></table></div><p>{PARA}!</p></article>",
+         f"{PARA}\n\nTown one\n\nTown two\n\n{PARA}!"),
+        (f"<article>{MORE}<ul>{LINKS}</ul></article>", f"{PARA}\n\n{PARA}, too"),
+        (f"<article><ul>{LINKS}</ul>{MORE}</article>", f"{PARA}\n\n{PARA}, too"),
+        # readers' words without a listed word
+        (f"<main><article>{MORE}{MORE}</article><section class=reader-feedback><p>{PARA}</p><p>{PARA}?</p></section></main>",
+         f"{PARA}\n\n{PARA}, too\n\n{PARA}\n\n{PARA}, too"),
+        (f"<main><div><h1>T</h1><article>{MORE}{MORE}</article></div><div class=views><p>{PARA}</p></div></main>",
+         f"T\n\n{PARA}\n\n{PARA}, too\n\n{PARA}\n\n{PARA}, too"),
+    ],
+)
+def test_nothing_of_the_article_is_dropped(page, text):
+    assert main_text(page) == text
+
+
+@pytest.mark.parametrize(
+    "page",
+    ["<a" * 100_000, '<a b="x ' * 100_000, "<a '" * 100_000, '<a ">"' * 20_000, '<a ">\'' * 20_000, "<!" * 100_000, "<script>" + "</script" * 100_000, "<p>x" + "<a" * 100_000 + ">", "<!--" * 100_000],
+    ids=["open tags", "open values", "quotes", "ends in quotes", "mixed quotes", "declarations", "scripts", "one end", "comments"],
+)
+def test_bad_tags_take_time_in_proportion(page):
+    import time
+
+    began = time.process_time()
+    main_text(page)
+    assert time.process_time() - began < 1
