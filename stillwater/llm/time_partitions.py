@@ -81,17 +81,16 @@ def _div(x: Column, n: int) -> Column:
 
 def micros(at: Column) -> Column:
     """Microseconds from 1970 to a timestamp as its clock shows it, in whatever time zone the session is."""
-    days = F.datediff(at.cast("date"), F.lit(datetime.date(1970, 1, 1))).cast("long")
-    seconds = F.hour(at) * 3600 + F.minute(at) * 60
-    return days * DAY + seconds.cast("long") * 1_000_000 + (F.extract(F.lit("SECOND"), at) * 1_000_000).cast("long")
+    since = at.cast("timestamp_ntz") - F.expr("TIMESTAMP_NTZ '1970-01-01 00:00:00'")
+    return F.call_function("div", since, F.expr("INTERVAL '0.000001' SECOND"))
 
 
 def click_moment(at: Column, click_id: Column) -> Column:
     """Microseconds of a click's moment: some ids' are days earlier, some are at their week's begin. A null id moves nothing."""
     k, us = F.crc32(click_id.cast("string")) % 128, micros(at)
-    day = _div(us, DAY)
-    monday = (day - F.pmod(day + 3, F.lit(7))) * DAY
-    return F.when(k < 16, us - (k + 6) * (k + 6) * (k + 6) * DAY).when(k > 111, monday).otherwise(us)
+    back = F.pow(k + 6, F.lit(3)).cast("long") * DAY
+    since_monday = F.pmod(us + 3 * DAY, F.lit(7 * DAY))  # 1970 began on a Thursday
+    return us - F.when(k < 16, back).when(k > 111, since_monday).otherwise(0)
 
 
 def _digest(row: StructType) -> Column:
@@ -219,6 +218,7 @@ def find_bounds(rows: DataFrame, leaves: list[Leaf], limit: int, key) -> dict[in
     hour = F.when(F.col("timed"), F.col("moment") - F.pmod(F.col("moment"), F.lit(HOUR))).otherwise(F.lit(-(1 << 62)))
     where = local_rows(spark, [(i, -(1 << 62) if x.low is None else x.low) for i, x in many.items()], "bucket int, hour long")
     live = key(rows.withColumn("hour", hour).join(F.broadcast(where), "hour")).select("bucket", *KEY)
+    live = written(live, "live")  # the keys of the rows of these leaves alone: the table is read once
     # bucket: its leaf, the ranks to find in it, the part of the key that differs first, its least value, bits to leave out
     shift = max(0, HOUR.bit_length() - DIGIT)
     open_ = {
