@@ -189,11 +189,11 @@ def next_deadline(due: Column, now: Column, interval: Column) -> Column:
     return F.when(now <= due, due).otherwise(due + interval * (behind + 1))
 
 
-def sample_stack(durations: DataFrame, frames: int, interval: int, timeout: int) -> DataFrame:
-    """Up to ``frames`` samples at slots of a fixed origin, for each session of durations (session_id, d: array).
+def sample_stack(durations: DataFrame, frames: int, interval: int, timeout: int, keys: list[str] | None = None) -> DataFrame:
+    """Up to ``frames`` samples at slots of a fixed origin, for each row of durations (keys, d: array).
 
-    Missed slots are skipped and counted, never replayed; the timeout gates only starts; sample i takes d[i].
-    Returns offsets (each capture's end), skipped and the outcome.
+    Missed slots are skipped and counted, never replayed; the timeout gates only starts; sample i takes d[i], and
+    samples end where d does. Returns keys (session_id unless named), offsets (each capture's end), skipped and the outcome.
     """
     if not 1 <= frames <= 8 or timeout <= 0 or frames > 1 and interval <= 0:
         raise EngineError("invalid_arguments", "1 to 8 frames, a positive timeout, and a positive interval for more than one")
@@ -205,10 +205,10 @@ def sample_stack(durations: DataFrame, frames: int, interval: int, timeout: int)
             'skipped', s.skipped + (slot - i * {interval}L) div {interval}L,
             'offsets', if({ready}, array_append(s.offsets, greatest(s.now, slot) + d[i]), s.offsets),
             'open', {ready}))[0]"""
-    fold = F.expr(f"aggregate(sequence(0, {frames} - 1), {state}, (s, i) -> if(s.open, {step}, s))")
+    fold = F.expr(f"aggregate(sequence(0, {frames} - 1), {state}, (s, i) -> if(s.open and i < size(d), {step}, s))")
     r = durations.withColumn("r", fold)
     return r.select(
-        "session_id",
+        *(keys or ["session_id"]),
         F.col("r.offsets").alias("offsets"),
         F.size("r.offsets").alias("captured"),
         F.col("r.skipped").alias("skipped"),

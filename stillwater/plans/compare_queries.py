@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from ..operators import compare as C
 from ..operators import strips as B
 from ..operators.crop import crop_pixels, geometry_consistent
+from ..operators.segments import Scan
 from ..sources import frames as S
 from ..sources.strips import to_strips
 from . import frame_sql as Q
@@ -213,7 +214,8 @@ def frame_from_rgb8(spark, sf_dir):
 
 @query("assign_frame_ids", "SELECT event_id, user_id, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS frame_id FROM events")
 def assign_frame_ids(spark, sf_dir):
-    return S.assign_frame_ids(S.table(spark, sf_dir, "events").select("event_id", "user_id", "ts"), "user_id", "ts", "event_id").drop("ts")
+    events = S.table(spark, sf_dir, "events").select("event_id", "user_id", "ts")
+    return Scan(events, "user_id", "ts", "event_id").numbered().drop("ts")
 
 
 @query(
@@ -222,9 +224,5 @@ def assign_frame_ids(spark, sf_dir):
     "first_value(event_id) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS baseline_id FROM events",
 )
 def previous_frame(spark, sf_dir):
-    from pyspark.sql import Window
-
-    w = Window.partitionBy("user_id").orderBy("ts", "event_id")
-    return S.table(spark, sf_dir, "events").select(
-        "event_id", F.lag("event_id").over(w).alias("previous_id"), F.first("event_id").over(w).alias("baseline_id")
-    )
+    events = S.table(spark, sf_dir, "events").select("event_id", "user_id", "ts")
+    return Scan(events, "user_id", "ts", "event_id").neighbours("event_id", "previous_id", "baseline_id").drop("user_id", "ts")

@@ -11,6 +11,7 @@ from ..operators import compare as C
 from ..operators import presentation as P
 from ..operators import resample as R
 from ..operators.crop import crop_scanlines
+from ..operators.regions import pixels_in
 from ..sources import frames as S
 from ..sources.strips import texture_frames
 from . import frame_sql as Q
@@ -436,8 +437,7 @@ def no_change(spark, sf_dir):
        "ON x >= rx AND x < rx + rw AND y >= ry AND y < ry + rh GROUP BY name, session_id, frame_id")
 def region_pixels(spark, sf_dir):
     g = spark.createDataFrame([("a", 0, 0, 3, 3), ("b", 2, 4, 6, 4)], "name string, rx int, ry int, rw int, rh int")  # two rows
-    inside = F.expr("x >= rx AND x < rx + rw AND y >= ry AND y < ry + rh")
-    j = S.embedding_pixels(spark, sf_dir).join(F.broadcast(g), inside)
+    j = pixels_in(S.embedding_pixels(spark, sf_dir), g, tile=4)
     return j.groupBy("name", *_KEYS).agg(F.count("*").alias("pixels"), F.sum("r").alias("total"))
 
 

@@ -90,36 +90,44 @@ def history_accessors(spark, sf_dir):
     return h.withColumns({"captured_total": F.col("latest_id"), "next_id": F.col("latest_id") + 1})
 
 
-@query("newest_flag", f"SELECT session_id, frame_id, frame_id = newest AS is_newest FROM ({_NEWEST}) WHERE frame_id > newest - 4")
+def _with_newest(spark, sf_dir):
+    """All frames with the newest id of their session."""
+    f = _frames(spark, sf_dir)
+    return f.join(f.groupBy("session_id").agg(F.max("frame_id").alias("newest")), "session_id")
+
+
+@query("newest_flag", f"SELECT session_id, frame_id, frame_id = newest AS is_newest FROM ({_NEWEST})")
 def newest_flag(spark, sf_dir):
-    f = O.retained_window(_frames(spark, sf_dir), 4)
-    newest = f.groupBy("session_id").agg(F.max("frame_id").alias("newest"))
-    return f.join(newest, "session_id").select("session_id", "frame_id", (F.col("frame_id") == F.col("newest")).alias("is_newest"))
+    return _with_newest(spark, sf_dir).select("session_id", "frame_id", (F.col("frame_id") == F.col("newest")).alias("is_newest"))
 
 
 @query(
     "older_priority",
-    f"SELECT session_id, frame_id, CASE newest - frame_id WHEN 0 THEN 220 WHEN 1 THEN 60 ELSE 40 END AS priority FROM ({_NEWEST}) WHERE frame_id > newest - 4",
+    f"SELECT session_id, frame_id, CASE newest - frame_id WHEN 0 THEN 220 WHEN 1 THEN 60 ELSE 40 END AS priority FROM ({_NEWEST})",
 )
 def older_priority(spark, sf_dir):
-    f = O.retained_window(_frames(spark, sf_dir), 4)
-    newest = f.groupBy("session_id").agg(F.max("frame_id").alias("newest"))
     back = F.col("newest") - F.col("frame_id")
-    return f.join(newest, "session_id").select(
+    return _with_newest(spark, sf_dir).select(
         "session_id", "frame_id", F.when(back == 0, 220).when(back == 1, 60).otherwise(40).alias("priority")
     )
 
 
-@query("frame_stack_limit", f"SELECT session_id, frame_id FROM ({_FRAMES}) WHERE frame_id <= 8")
+#: Frames of a stack at most.
+_STACK = 8
+
+
+@query("frame_stack_limit", f"SELECT session_id, (frame_id - 1) // {_STACK} AS stack, count(*) AS frames, min(frame_id) AS first_id FROM ({_FRAMES}) GROUP BY ALL")
 def frame_stack_limit(spark, sf_dir):
-    return _frames(spark, sf_dir).filter("frame_id <= 8").select("session_id", "frame_id")
+    """Stacks of eight frames at most over all of a session."""
+    f = _frames(spark, sf_dir).withColumn("stack", F.expr(f"(frame_id - 1) div {_STACK}"))
+    return f.groupBy("session_id", "stack").agg(F.count("*").alias("frames"), F.min("frame_id").alias("first_id"))
 
 
-@query("stack_order", f"SELECT session_id, list(event_id ORDER BY frame_id) AS stack FROM ({_FRAMES}) WHERE frame_id <= 8 GROUP BY session_id")
+@query("stack_order", f"SELECT session_id, (frame_id - 1) // {_STACK} AS place, list(event_id ORDER BY frame_id) AS stack FROM ({_FRAMES}) GROUP BY ALL")
 def stack_order(spark, sf_dir):
-    f = _frames(spark, sf_dir).filter("frame_id <= 8")  # at most 8 rows a session
-    s = f.groupBy("session_id").agg(F.array_sort(F.collect_list(F.struct("frame_id", "event_id"))).alias("s"))
-    return s.select("session_id", F.col("s.event_id").alias("stack"))
+    f = _frames(spark, sf_dir).withColumn("place", F.expr(f"(frame_id - 1) div {_STACK}"))  # eight rows a stack at most
+    s = f.groupBy("session_id", "place").agg(F.array_sort(F.collect_list(F.struct("frame_id", "event_id"))).alias("s"))
+    return s.select("session_id", "place", F.col("s.event_id").alias("stack"))
 
 
 @query(

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from ..operators import compare as C
 from ..operators import temporal as T
+from ..operators.segments import Scan
 from ..sources import frames as S
 from . import frame_sql as Q
 from .registry import query, scalar
@@ -86,8 +87,9 @@ def observe(spark, sf_dir):
 def last_change_at(spark, sf_dir):
     c = _comparisons(spark, sf_dir)[2]
     moved = F.col("changed") & ~F.col("again") & (F.col("i") > 0)
-    at = T._last_change(F.col("i") * 100, moved, F.lit(0).cast("long"))
-    return c.select("session_id", "i", at.alias("last_change_ms"))
+    scan = Scan(c.select("session_id", "i", moved.alias("moved")), "session_id", "i")
+    r = scan.running_max(F.when(F.col("moved"), F.col("i") * 100), "last_change_ms")
+    return r.select("session_id", "i", F.coalesce("last_change_ms", F.lit(0)).alias("last_change_ms"))
 
 
 @query(
@@ -130,34 +132,34 @@ scalar(
     {"offset_ms": "id % 8 * 50"},
 )
 
-_DURATIONS = """SELECT user_id AS session_id, (list(CAST(round(value) AS BIGINT) ORDER BY ts, event_id))[1:5] AS d
-FROM events GROUP BY user_id HAVING count(*) >= 5"""
+_DURATIONS = """SELECT session_id, stack, list(d ORDER BY n) AS d
+FROM (SELECT user_id AS session_id, CAST(round(value) AS BIGINT) AS d, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS n,
+        (row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) - 1) // 5 AS stack FROM events) GROUP BY session_id, stack"""
 
 
 @query(
     "sample_stack",
     f"""WITH RECURSIVE d AS ({_DURATIONS}),
 s AS (
-  SELECT session_id, d, 0::BIGINT AS i, 0::BIGINT AS now, 0::BIGINT AS skipped, []::BIGINT[] AS offsets, true AS open FROM d
+  SELECT session_id, stack, d, 0::BIGINT AS i, 0::BIGINT AS now, 0::BIGINT AS skipped, []::BIGINT[] AS offsets, true AS open FROM d
   UNION ALL
-  SELECT session_id, d, i + 1,
+  SELECT session_id, stack, d, i + 1,
     CASE WHEN NOT open THEN now WHEN ready THEN greatest(now, slot) + d[i + 1] ELSE greatest(now, slot) END,
     CASE WHEN open THEN skipped + (slot - i * 100) // 100 ELSE skipped END,
     CASE WHEN open AND ready THEN list_append(offsets, greatest(now, slot) + d[i + 1]) ELSE offsets END,
     open AND ready
   FROM (SELECT *, now < 900 AND greatest(now, slot) < 900 AS ready
-        FROM (SELECT *, greatest(i * 100, (now + 99) // 100 * 100) AS slot FROM s WHERE i < 5)))
-SELECT session_id, offsets, len(offsets) AS captured, skipped,
-  CASE WHEN len(offsets) >= 5 THEN 'complete' ELSE 'partial' END AS outcome FROM s WHERE i = 5""",
+        FROM (SELECT *, greatest(i * 100, (now + 99) // 100 * 100) AS slot FROM s WHERE i < len(d))))
+SELECT session_id, stack, offsets, len(offsets) AS captured, skipped,
+  CASE WHEN len(offsets) >= 5 THEN 'complete' ELSE 'partial' END AS outcome FROM s WHERE i = len(d)""",
 )
 def sample_stack(spark, sf_dir):
     e = S.table(spark, sf_dir, "events").select(
         F.col("user_id").alias("session_id"), "ts", "event_id", F.round("value").cast("long").alias("d")
     )
-    e = S.assign_frame_ids(e, "session_id", "ts", "event_id").filter("frame_id <= 5")  # five rows a session
-    d = e.groupBy("session_id").agg(F.array_sort(F.collect_list(F.struct("frame_id", "d"))).alias("d"))
-    d = d.filter(F.size("d") == 5).select("session_id", F.col("d.d").alias("d"))
-    return T.sample_stack(d, 5, 100, 900)
+    e = S.assign_frame_ids(e, "session_id", "ts", "event_id").withColumn("stack", F.expr("(frame_id - 1) div 5"))
+    d = e.groupBy("session_id", "stack").agg(F.array_sort(F.collect_list(F.struct("frame_id", "d"))).alias("d"))  # five a stack at most
+    return T.sample_stack(d.select("session_id", "stack", F.col("d.d").alias("d")), 5, 100, 900, ["session_id", "stack"])
 
 
 @query(
