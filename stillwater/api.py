@@ -11,7 +11,7 @@ from dataclasses import dataclass, field
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .errors import EngineError
+from .errors import FATAL, EngineError
 from .operators import compare as C
 from .operators import sessions as O
 from .operators import temporal as T
@@ -67,8 +67,14 @@ class Engine:
             session.state = "observing"
         try:
             yield session
+        except EngineError as e:
+            if e.code in FATAL:
+                session.state = "failed"
+            raise
         finally:
-            session.state = "ready"
+            with self._lock:
+                if session.state == "observing":  # not closed or failed meanwhile
+                    session.state = "ready"
 
     def _done(self, result: DataFrame) -> DataFrame:
         """A result of a row a session, computed now."""
