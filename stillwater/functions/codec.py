@@ -8,7 +8,6 @@ import zlib
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
 
 from ..errors import EngineError
 from .codec_math import CHROMA, LUMA, ZIGZAG
@@ -213,14 +212,3 @@ def encode(frames: DataFrame, keys: list[str]) -> DataFrame:
             yield pd.DataFrame({**{k: b[k] for k in names}, "format": b["format"], "data": made})
 
     return frames.select(*names, "width", "height", "data", "format", "quality", "effort").mapInPandas(run, kind)
-
-
-def pack(pixels: DataFrame, keys: list[str]) -> DataFrame:
-    """Layout B of layout P: keys, width, height, data (interleaved RGB, row by row)."""
-    cell = F.struct("y", "x", "r", "g", "b")
-    rows = pixels.groupBy(*keys).agg(
-        F.array_sort(F.collect_list(cell)).alias("cells"), (F.max("x") + 1).alias("width"), (F.max("y") + 1).alias("height")
-    )
-    two = lambda v: F.lpad(F.hex(v.cast("long")), 2, "0")
-    text = F.array_join(F.transform("cells", lambda c: F.concat(two(c["r"]), two(c["g"]), two(c["b"]))), "")
-    return rows.select(*keys, F.col("width").cast("int"), F.col("height").cast("int"), F.unhex(text).alias("data"))

@@ -8,7 +8,8 @@ from pyspark.sql import functions as F
 from ..functions import codec, parsing
 from ..functions import geometry as G
 from .crop import crop_scanlines
-from .resample import resize_box, to_pixels
+from .resample import resize_box
+from .strips import packed
 
 
 def prepare_image(
@@ -32,10 +33,10 @@ def prepare_image(
         lines = crop_scanlines(lines, x, y, width, height)
     to_width, to_height = resize or (width, height)
     rows = resize_box(lines, keys, width, height, to_width, to_height)
-    packed = codec.pack(to_pixels(rows, keys), keys).withColumns(
+    images = packed(rows, keys).withColumns(
         {"format": F.lit(image_format), "quality": F.lit(quality), "effort": F.lit(effort)}
     )
-    made = codec.encode(packed, keys)
+    made = codec.encode(images, keys)
     t = G.transform(
         G.rect(*[F.lit(v) for v in (origin[0] + x, origin[1] + y, width, height)]), F.lit(to_width), F.lit(to_height)
     )

@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from ..errors import EngineError
 from ..functions import kernels as K
+from ..sources.strips import to_strips
 from .compare import CompareOptions, finish
 
 
@@ -80,6 +81,11 @@ def whole_frames(strips: DataFrame, keys: list[str]) -> DataFrame:
     return rows.select(*keys, "width", (F.octet_length("data") / (3 * F.col("width"))).cast("int").alias("height"), "data")
 
 
+def packed(lines: DataFrame, keys: list[str]) -> DataFrame:
+    """keys, width, height, data of each frame of layout L."""
+    return whole_frames(to_strips(lines, tuple(keys)), keys)
+
+
 def resize_frames(frames: DataFrame, keys: list[str], to_width: str = "to_width", to_height: str = "to_height") -> DataFrame:
     """Frames (keys, width, height, data) resampled to the sizes that their own rows name; sizes of 0 are refused."""
     kinds = ", ".join(f"{k} {frames.schema[k].dataType.simpleString()}" for k in keys)

@@ -12,6 +12,7 @@ from ..operators import presentation as P
 from ..operators import resample as R
 from ..operators.crop import crop_scanlines
 from ..operators.regions import pixels_in
+from ..operators.strips import packed
 from ..sources import frames as S
 from ..sources.strips import texture_frames
 from . import frame_sql as Q
@@ -512,7 +513,7 @@ def within_budget(spark, sf_dir):
 
 
 def _packed(spark, sf_dir, seeds: int = 6):
-    return codec.pack(S.texture(spark, 64, 48, [40 * i for i in range(seeds)]), ["session_id", "frame_id"])
+    return packed(S.to_scanlines(S.texture(spark, 64, 48, [40 * i for i in range(seeds)]), _KEYS), _KEYS)
 
 
 def _encoded(spark, sf_dir, kind: str, quality: int = 75, effort: str = "default"):

@@ -18,6 +18,7 @@ from ..operators.prepare import prepare_image
 from ..sources import frames as S
 from ..sources.images import image_pixels, scan_images
 from ..sources.tables import shared_folder
+from ..sources.versioned import read_version, write_version
 from . import frame_sql as Q
 from .registry import ORACLE_SQL, query, scalar
 from .session_queries import _NEWEST, _frames
@@ -70,10 +71,12 @@ def baseline_frame(spark, sf_dir):
 
 @query("write_file_atomic", f"WITH {Q.EMB} SELECT session_id, frame_id, x, y, r FROM emb")
 def write_file_atomic(spark, sf_dir):
-    """Written by the commit protocol, where readers see all of a job or nothing, and read back."""
+    """Two versions of a table, each published by one rename; the second is read back."""
     path = f"{shared_folder(spark)}/frames-{uuid.uuid4().hex}"
-    S.embedding_pixels(spark, sf_dir).select("session_id", "frame_id", "x", "y", "r").write.parquet(path)
-    return spark.read.parquet(path)
+    frames = S.embedding_pixels(spark, sf_dir).select("session_id", "frame_id", "x", "y", "r")
+    write_version(frames.withColumn("r", F.lit(0)), path)
+    write_version(frames, path, keep=0)
+    return read_version(spark, path)
 
 
 @query("prepare_image")

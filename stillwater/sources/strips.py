@@ -17,21 +17,24 @@ def lines_a_strip(width: int) -> int:
     return max(1, STRIP_BYTES // (3 * width))
 
 
-def to_strips(lines: DataFrame) -> DataFrame:
+def to_strips(lines: DataFrame, keys: tuple[str, ...] = ("session_id", "frame_id")) -> DataFrame:
     """Layout S of layout L, a line a strip: bytes are built where the line stands."""
+    names = [*keys, "y", "width", "data"]
+    at = len(keys)
+
     def pack(batches):
         for b in batches:
-            channels = [b.column(i) for i in (3, 4, 5)]
+            channels = [b.column(at + i) for i in (1, 2, 3)]
             offsets = channels[0].offsets.to_numpy()
             flat = np.stack([c.flatten().to_numpy().astype(np.uint8) for c in channels], 1).reshape(-1)
             ends = (3 * (offsets - offsets[0])).astype(np.int32)
             data = pa.Array.from_buffers(pa.binary(), b.num_rows, [None, pa.py_buffer(ends.tobytes()), pa.py_buffer(flat.tobytes())])
             width = pa.array(np.diff(offsets).astype(np.int32))
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), b.column(2), width, data], ["session_id", "frame_id", "y", "width", "data"])
+            yield pa.RecordBatch.from_arrays([*b.columns[: at + 1], width, data], names)
 
-    kind = lines.schema["session_id"].dataType.simpleString()
-    rows = lines.select("session_id", "frame_id", F.col("y").cast("int"), *[F.col(c).cast("array<int>") for c in "rgb"])
-    return rows.mapInArrow(pack, f"session_id {kind}, frame_id long, y int, width int, data binary")
+    kinds = "".join(f"{k} {lines.schema[k].dataType.simpleString()}, " for k in keys)
+    rows = lines.select(*keys, F.col("y").cast("int"), *[F.col(c).cast("array<int>") for c in "rgb"])
+    return rows.mapInArrow(pack, f"{kinds}y int, width int, data binary")
 
 
 def texture_strips(frames: DataFrame, width: int, height: int, change: Column | None = None) -> DataFrame:

@@ -75,3 +75,21 @@ def test_each_row_its_size(spark, sf_dir):
     assert all(r.width == r.frame_id % 7 + 2 and len(r.data) == 3 * r.width * 4 for r in got)
     with pytest.raises(Exception, match="empty size"):
         B.resize_frames(f.withColumns({"to_width": F.lit(0), "to_height": F.lit(4)}), ["frame_id"]).collect()
+
+
+def test_large_images_are_read(spark, tmp_path):
+    """A PNG of 640 x 480 and its pixels, in time in proportion to them."""
+    import time
+
+    from stillwater.functions import codec
+    from stillwater.sources.images import image_pixels, scan_images
+
+    rgb = K.texture(640, 480, 77)
+    (tmp_path / "one.png").write_bytes(codec.encode_png(rgb))
+    (tmp_path / "two.bin").write_bytes(b"no image")
+    began = time.time()
+    images = scan_images(spark, str(tmp_path))
+    rows = {r.path.rsplit("/", 1)[1]: r for r in images.collect()}
+    assert (K.pixels(rows["one.png"].data, 640) == rgb).all() and rows["two.bin"].status == "image_load_failed"
+    assert image_pixels(images).agg(F.sum("r"), F.sum("x"), F.count("*")).first()[:] == (int(rgb[..., 0].sum(dtype=int)), 480 * 639 * 320, 307_200)
+    assert time.time() - began < 60
