@@ -8,15 +8,37 @@ number of shuffle partitions; so are the broadcasts of splitters and carries.
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..sources.tables import shared_folder
+
 #: Rows of a session up to which it is never cut.
 LEAST_ROWS = 100_000
 
 _SEGMENT = "_segment"
 
 
+def placed(df: DataFrame, *order: str, name: str = "place") -> DataFrame:
+    """``df`` with its place in the whole order, from 1: ranges of the order, and how many rows those before hold.
+
+    The ranges are written to the shared folder once, so that counts and places come from the same ones.
+    """
+    spark = df.sparkSession
+    path = f"{shared_folder(spark)}/placed-{uuid.uuid4().hex}"
+    df.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("_row", F.monotonically_increasing_id()).write.parquet(path)
+    rows = spark.read.parquet(path)
+    part, before, offsets = F.shiftright("_row", 33), 0, []
+    for p, n in sorted(rows.groupBy(part.alias("p")).count().collect()):  # a row a range
+        offsets.append((p, before))
+        before += n
+    counts = F.broadcast(spark.createDataFrame(offsets, "_part long, _before long"))
+    place = F.col("_before") + F.col("_row").bitwiseAND((1 << 33) - 1) + 1
+    return rows.withColumn("_part", part).join(counts, "_part").withColumn(name, place).drop("_part", "_before", "_row")
+
+
 class Scan:
     """Ordered scans of ``df`` by session. order: the columns of the order, the first a number or a time."""
 

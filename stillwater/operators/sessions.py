@@ -109,3 +109,8 @@ def state_after(code: Column) -> Column:
 def list_sessions(summary: DataFrame) -> DataFrame:
     """Sessions by id, as text."""
     return summary.withColumn("session", F.concat(F.lit("s-"), F.col("session_id").cast("string"))).orderBy("session")
+
+
+def wall_clock(now_wall: Column, now_steady: Column, steady: Column) -> Column:
+    """Wall time of a moment of the steady clock, by one reading of both clocks."""
+    return now_wall - (now_steady - steady)

@@ -183,6 +183,18 @@ def observe(baseline: DataFrame, consecutive: DataFrame, s: Schedule) -> DataFra
     )
 
 
+def ledger(captures: DataFrame) -> DataFrame:
+    """session_id, captures, comparisons, capture_us, elapsed_us, sleep_us from captures (session_id, at_us, duration_us)."""
+    end = F.col("at_us") + F.col("duration_us")
+    r = captures.groupBy("session_id").agg(
+        F.count("*").alias("captures"),
+        (F.count("*") - 1).alias("comparisons"),
+        F.sum("duration_us").alias("capture_us"),
+        (F.max(end) - F.min("at_us")).alias("elapsed_us"),
+    )
+    return r.withColumn("sleep_us", F.greatest(F.lit(0), F.col("elapsed_us") - F.col("capture_us")))
+
+
 def next_deadline(due: Column, now: Column, interval: Column) -> Column:
     """The deadline itself, or the next slot after ``now`` once it has passed."""
     behind = F.floor((now - due) / interval)

@@ -8,6 +8,7 @@ import numpy as np
 from pyspark.sql import functions as F
 
 from ..functions import codec, parsing
+from ..functions import geometry as G
 from ..operators import compare as C
 from ..operators import presentation as P
 from ..operators import resample as R
@@ -133,14 +134,19 @@ def changed_crop_file(spark, sf_dir):
     return j.filter(inside).groupBy(*_KEYS).agg(F.count("*").alias("pixels"), F.sum("r").alias("total"))
 
 
-@query("present_changed", f"""{_BOX} SELECT session_id, frame_id, CASE WHEN bbox_x IS NULL THEN 'none' WHEN bbox_w * bbox_h > 38.4 THEN 'overview' ELSE 'changed_region' END AS "view" FROM c""")
+_VIEW = """CASE WHEN bbox_x IS NULL THEN 'none' WHEN bbox_w * bbox_h / total_pixels::DOUBLE > 0.6 THEN 'overview' ELSE 'changed_region' END"""
+
+
+@query("present_changed", f"""{_BOX} SELECT session_id, frame_id, {_VIEW} AS "view" FROM c""")
 def present_changed(spark, sf_dir):
+    """The view of a change: its box, or the whole frame where the box is too large a part, or none."""
     c = C.compare_consecutive(S.embedding_scanlines(spark, sf_dir), C.CompareOptions("rgb", 40, 0.1), "lines")
-    box = F.col("bbox_w") * F.col("bbox_h")
-    return c.select(*_KEYS, F.when(F.col("bbox_x").isNull(), "none").when(box > 38.4, "overview").otherwise("changed_region").alias("view"))
+    back = P.changed_region(c, _KEYS, 1, 0.6, G.rect(F.lit(0), F.lit(0), F.lit(S.SIDE), F.lit(S.SIDE)))
+    shown = F.when(F.col("fell_back"), "overview").when(F.col("returned_x").isNotNull(), "changed_region").otherwise("none")
+    return back.select(*_KEYS, shown.alias("view"))
 
 
-@query("overview_under", f"{_BOX} SELECT session_id, count(*) FILTER (WHERE bbox_w * bbox_h > 38.4) AS overviews FROM c GROUP BY session_id")
+@query("overview_under", f"{_BOX} SELECT session_id, count(*) FILTER (WHERE {_VIEW} = 'overview') AS overviews FROM c GROUP BY session_id")
 def overview_under(spark, sf_dir):
     return present_changed(spark, sf_dir).groupBy("session_id").agg(F.count_if(F.col("view") == "overview").alias("overviews"))
 
@@ -177,13 +183,16 @@ def session_frame(spark, sf_dir):
     return j.select("session_id", "frame_id", "event_id", (F.col("newest") - F.col("frame_id")).alias("back"))
 
 
-@query("captured_wall_clock", f"SELECT session_id, frame_id, 1700000000000000 - (newest - frame_id) * 50000 AS wall_us FROM ({_NEWEST})")
+@query("captured_wall_clock", "SELECT user_id AS session_id, event_id, epoch_us(ts) AS wall_us FROM events")
 def captured_wall_clock(spark, sf_dir):
-    """Wall time of captures: now, given, less the monotonic time since."""
-    f = _frames(spark, sf_dir)
-    newest = f.groupBy("session_id").agg(F.max("frame_id").alias("newest"))
-    wall = F.lit(1_700_000_000_000_000) - (F.col("newest") - F.col("frame_id")) * 50_000
-    return f.join(newest, "session_id").select("session_id", "frame_id", wall.alias("wall_us"))
+    """Wall time of captures: the wall clock at the session's newest, less the steady time since.
+
+    A session's steady clock starts with its first event; only differences of it are used.
+    """
+    e = S.table(spark, sf_dir, "events").select(F.col("user_id").alias("session_id"), "event_id", F.unix_micros(F.col("ts").cast("timestamp_ltz")).alias("at"))
+    ends = e.groupBy("session_id").agg(F.min("at").alias("start"), F.max("at").alias("now_wall"))
+    j = e.join(ends, "session_id").withColumns({"steady": F.col("at") - F.col("start"), "now_steady": F.col("now_wall") - F.col("start")})
+    return j.select("session_id", "event_id", O.wall_clock(F.col("now_wall"), F.col("now_steady"), F.col("steady")).alias("wall_us"))
 
 
 _ASKED = "SELECT o_orderkey AS id, o_custkey % 300 AS capacity, o_orderkey % 5 AS w, o_custkey % 2 = 0 AS older, o_orderkey % 3 = 0 AS newest, ['all_same', 'newest_detailed', 'newest_only', 'metadata_older'][o_custkey % 4 + 1] AS mode FROM orders"

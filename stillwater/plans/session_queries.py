@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from ..errors import STATUS, from_service_code, status_table, message
 from ..operators import sessions as O
+from ..operators.segments import placed
 from ..sources import frames as S
 from .registry import query, scalar
 
@@ -135,10 +136,8 @@ def stack_order(spark, sf_dir):
     f"SELECT 's-' || session_id AS session, row_number() OVER (ORDER BY 's-' || session_id) AS place, captured_total FROM ({_SUMMARY})",
 )
 def list_sessions(spark, sf_dir):
-    from pyspark.sql import Window
-
     s = O.list_sessions(history_summary(spark, sf_dir))  # a row a session
-    return s.select("session", F.row_number().over(Window.orderBy("session")).alias("place"), "captured_total")
+    return placed(s.select("session", "captured_total"), "session")
 
 
 @query("session_count", "SELECT count(DISTINCT user_id) AS sessions FROM events")

@@ -103,13 +103,13 @@ def first_change_frame(spark, sf_dir):
 
 @query(
     "observation_ledger",
-    f"""WITH {Q.EMB}, n AS (SELECT session_id, count(DISTINCT frame_id) AS captures FROM emb GROUP BY session_id)
-SELECT session_id, captures, captures - 1 AS comparisons, captures * 7000 AS capture_us, (captures - 1) * 93000 AS sleep_us FROM n""",
+    """WITH e AS (SELECT user_id AS session_id, epoch_us(ts) AS at_us, CAST(round(value * 1000) AS BIGINT) AS d FROM events)
+SELECT session_id, count(*) AS captures, count(*) - 1 AS comparisons, sum(d)::BIGINT AS capture_us, max(at_us + d) - min(at_us) AS elapsed_us,
+  greatest(0, max(at_us + d) - min(at_us) - sum(d))::BIGINT AS sleep_us FROM e GROUP BY session_id""",
 )
 def observation_ledger(spark, sf_dir):
-    n = S.embedding_frames(spark, sf_dir).groupBy("session_id").agg(F.count("*").alias("captures"))
-    n = n.withColumn("comparisons", F.col("captures") - 1)
-    return n.withColumns({"capture_us": F.col("captures") * 7000, "sleep_us": F.col("comparisons") * 93000})
+    """Where the time of each session went: captures by their durations, and what was slept between."""
+    return T.ledger(S.event_timeline(spark, sf_dir))
 
 
 _DEADLINES = "SELECT event_id AS id, event_id % 50 * 100 AS due, CAST(round(value * 20) AS BIGINT) AS now FROM events"
