@@ -11,7 +11,7 @@ def test_responses_hold_every_frame(spark, sf_dir):
     for name in ("prepare_image", "encode_view", "capture"):
         got = [(r.session_id, r.frame_id) for r in plans.QUERIES[name](spark, sf_dir).collect()]
         assert len(got) == len(frames) and set(got) == frames, name
-    documents = plans.QUERIES["to_response"](spark, sf_dir).collect()
+    documents = plans.QUERIES["session_document"](spark, sf_dir).collect()
     held = [(r.session_id, f["frame_id"]) for r in documents for f in json.loads(r.document)["frames"]]
     assert len(held) == len(frames) and set(held) == frames
     assert plans.QUERIES["stage_totals"](spark, sf_dir).first().cropped == 108 * len(frames)
