@@ -63,8 +63,12 @@ def simhash(rows: DataFrame, key: str, shingles: str, names: tuple[str, str]) ->
     votes = hashed.groupBy(key).agg(F.count("*").alias("m"), *sums)
 
     def bits(x: str) -> Column:
-        ones = (f"shiftleft(cast(2 * (shiftrightunsigned({x}_{b // 3}, {21 * (b % 3)}) & {(1 << 21) - 1}L) > m as long), {b})" for b in range(64))
-        return F.expr(" | ".join(ones))
+        lanes = ", ".join(f"{x}_{j}" for j in range(22))
+        ones = f"shiftrightunsigned(v[b div 3], cast(21 * (b % 3) as int)) & {(1 << 21) - 1}L"
+        return F.expr(
+            f"""transform(array(array({lanes})), v -> aggregate(sequence(0, 63), 0L,
+                (f, b) -> f | shiftleft(cast(2 * ({ones}) > m as long), b)))[0]"""
+        )
 
     return votes.select(key, bits("x0").alias(names[0]), bits("x1").alias(names[1]))
 
@@ -140,7 +144,7 @@ def _matches(docs: DataFrame, items: DataFrame, sizes: list[int]) -> DataFrame:
     windows = windows.withColumn("window", F.unhex(F.sha1(F.expr("cast(array_join(shingles, ',') as binary)"))))
     windows = written(windows.select("key", "rid", "doc_id", "start", "window", "shingles"), "windows")
     contents = written(windows.groupBy("window").agg(F.first("shingles").alias("shingles")), "contents")
-    prints = simhash(contents, "window", "shingles", ("w0", "w1"))
+    prints = written(simhash(contents, "window", "shingles", ("w0", "w1")), "prints")
 
     # of the flips that a block of a pair may differ in, the items' side of the index has all but one
     index = items.select("item", "i0", "i1", F.explode(fingerprint_blocks("i0", "i1")).alias("at"))
