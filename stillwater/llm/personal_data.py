@@ -24,7 +24,7 @@ from pyspark.sql import functions as F
 from .common import row_key, slices
 
 KINDS = ("email", "ip", "card", "phone")
-#: Snippets of the corpus from which the model learns at most (those of the smallest digest), and their length.
+#: Snippets of the corpus from which the model learns at most (those drawn by a digest), and their length.
 SAMPLE, SNIPPET = 1_500, 160
 #: Hidden units of either direction, characters of a window, between their starts, and around a place that may hold data.
 HIDDEN, WINDOW, STRIDE, MARGIN = 20, 128, 64, 64
@@ -365,26 +365,32 @@ def examples_of(snippets: list[tuple[str, list[Span]]], count: int = EXAMPLES, s
 
 
 def snippets_of(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", most: int = SAMPLE) -> list[tuple[str, list[Span]]]:
-    """Snippets of the corpus around places that may hold data, with their base spans: those of the smallest digest."""
+    """Snippets of the corpus, around the first place that may hold data, with their base spans: ``most`` at most, half of
+    them from texts with a digit or an at sign.
+
+    A row is drawn by its digest where that lies below a share of all that its half's count sets, so no more than a few
+    of them leave a task, however many tasks there are; equal rows count as one.
+    """
+    rows = docs.filter(F.length(text_col) > 0).select(row_key(id_col, text_col).alias("key"), F.col(text_col).alias("text"))
+    rows = rows.withColumn("held", F.col("text").rlike("[0-9@]"))
+    counts = dict(rows.groupBy("held").count().collect())
+    draw = F.conv(F.substring(F.hex("key"), 1, 8), 16, 10).cast("double") / float(1 << 32)
+    share = F.when(F.col("held"), most / max(1, counts.get(True, 0))).otherwise(most / max(1, counts.get(False, 0)))
+    drawn = rows.filter(draw < share).groupBy("key").agg(F.first("text").alias("text"), F.first("held").alias("held"))
 
     def cut(batches):
         for batch in slices(batches):
-            rows = []
-            for key, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                if not (m := _PLACES.search(text or "")):
-                    low = 0
-                else:
-                    low = max(0, m.start() - SNIPPET // 2)
-                if text:
-                    rows.append((key, text[low : low + SNIPPET]))
-            yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.binary()), pa.array([r[1] for r in rows], pa.string())], ["key", "text"])
-
-    rows = docs.select(row_key(id_col, text_col).alias("key"), F.col(text_col).alias("text"))
-    found = rows.mapInArrow(cut, "key binary, text string")
-    # half of the sample holds something
-    held = F.col("text").rlike(r"[0-9]{3}|@")
-    both = [found.filter(side).orderBy("key", "text").limit(most // 2).collect() for side in (held, ~held)]
-    return [(r.text, base_spans(r.text)) for side in both for r in side]
+            texts = []
+            for text in batch.column(1).to_pylist():
+                m = _PLACES.search(text)
+                low = max(0, m.start() - SNIPPET // 2) if m else 0
+                texts.append(text[low : low + SNIPPET])
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(texts, pa.string()), batch.column(2)], ["key", "text", "held"])
+
+    # about ``most`` rows of either half; the limit is never met but by an unlikely draw
+    found = drawn.mapInArrow(cut, "key binary, text string, held boolean").limit(4 * most).collect()
+    found.sort(key=lambda r: bytes(r.key))
+    return [(r.text, base_spans(r.text)) for side in (True, False) for r in [x for x in found if x.held == side][: most // 2]]
 
 
 # Finding
