@@ -5,7 +5,7 @@ import pytest
 from stillwater import plans
 
 
-@pytest.mark.parametrize("name", ["present_stack"])
+@pytest.mark.parametrize("name", ["present_stack", "to_response"])
 def test_documents_read_the_events_once(name, spark, sf_dir):
     plan = plans.QUERIES[name](spark, sf_dir)._jdf.queryExecution().optimizedPlan().toString()
     assert plan.count("Relation [") == 3 and plan.count("Join ") == 2  # events, sizes and views of kinds
