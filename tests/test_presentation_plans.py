@@ -1,8 +1,11 @@
 """Plans of the presentation queries stay small: what is made once a kind of frames is written and read back."""
 
 import pytest
+from pyspark.sql import functions as F
 
 from stillwater import plans
+from stillwater.operators import presentation as P
+from stillwater.plans import presentation_queries as Q
 
 
 @pytest.mark.parametrize("name", ["present_stack", "to_response"])
@@ -10,3 +13,31 @@ def test_documents_read_the_events_once(name, spark, sf_dir):
     plan = plans.QUERIES[name](spark, sf_dir)._jdf.queryExecution().optimizedPlan().toString()
     assert plan.count("Relation [") == 3 and plan.count("Join ") == 2  # events, sizes and views of kinds
     assert plan.count("Window [") == 2 and "MapInArrow" not in plan
+
+
+def test_states_are_told_from_one_row_a_view(spark, sf_dir):
+    lines = plans.QUERIES["older_views_exhausted"](spark, sf_dir)._jdf.queryExecution().optimizedPlan().toString()
+    assert lines.index("Generate explode") < lines.index("Aggregate [")  # the states come after the sums
+    for name in ("rung_lower_quality", "rung_lower_resolution", "rung_omit_optional"):
+        assert plans.QUERIES[name](spark, sf_dir)._jdf.queryExecution().optimizedPlan().toString().count("Generate ") == 1
+
+
+def test_exhaustion_is_that_of_the_states(spark, sf_dir):
+    """Odd settings too: no views of older frames, formats without images, widths below all steps."""
+    plan = Q._fitted(spark, sf_dir).filter("stack_id % 7 = 0")
+    odd = plan.withColumns({"quality": F.when(F.col("format") == "jpeg", (F.col("frame_id") % 90 + 5).cast("int")), "width_policy": F.when(F.col("frame_id") % 3 > 0, (F.col("frame_id") % 2000 + 300).cast("int")),
+                            "format": F.when(F.col("frame_id") % 11 == 0, "metadata").otherwise(F.col("format"))})
+    for p in (plan, odd):
+        expected = {}
+        for r in P.ladder_states(p).collect():
+            e = expected.setdefault((r.stack_id, r.state), [True, False])
+            width = r.width_policy or r.frame_width
+            below = any(r.min_quality <= s < r.actual_quality for s in P.QUALITY_LADDER) if r.format == "jpeg" else False
+            below |= any(r.min_width <= s < r.actual_width for s in P.WIDTH_LADDER)
+            if not r.is_newest and r.shown:
+                e[0] &= not below
+            if r.is_newest:
+                e[1] |= r.actual_quality != r.quality or r.actual_width != width or not r.shown and r.format != "metadata"
+        got = {(r.stack_id, r.state): [r.exhausted, r.newest_degraded] for r in P.exhaustion(p, "stack_id").collect()}
+        assert got == expected
+        assert len({tuple(e) for e in expected.values()}) == 3  # the newest gives way after the older ones only
