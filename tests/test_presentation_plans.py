@@ -41,3 +41,11 @@ def test_exhaustion_is_that_of_the_states(spark, sf_dir):
         got = {(r.stack_id, r.state): [r.exhausted, r.newest_degraded] for r in P.exhaustion(p, "stack_id").collect()}
         assert got == expected
         assert len({tuple(e) for e in expected.values()}) == 3  # the newest gives way after the older ones only
+
+
+@pytest.mark.parametrize("name", ["fit_measured", "measure_plan"])
+def test_sizes_come_from_kinds_of_frames(name, spark, sf_dir):
+    """No view and no step of the frames themselves: they meet the sizes of their kind, and are added up."""
+    plan = plans.QUERIES[name](spark, sf_dir)._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("Join ") == 1 and "Generate" not in plan and "MapInArrow" not in plan
+    assert plan.count("Relation [") == 2
