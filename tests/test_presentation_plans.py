@@ -15,6 +15,25 @@ def test_documents_read_the_events_once(name, spark, sf_dir):
     assert plan.count("Window [") == 2 and "MapInArrow" not in plan
 
 
+def test_views_of_few_kinds_are_not_shuffled(spark, sf_dir, monkeypatch):
+    """They are broadcast by their own measure, not by the files' size, and either join gives the same documents."""
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        few = Q.to_response(spark, sf_dir)
+        with monkeypatch.context() as m:
+            m.setattr(P, "BROADCAST_BYTES", 1)
+            many = Q.to_response(spark, sf_dir)
+        with monkeypatch.context() as m:
+            m.setattr(P, "BROADCAST_KINDS", 1)
+            plans_of = [d._jdf.queryExecution().executedPlan().toString() for d in (few, many, Q.to_response(spark, sf_dir))]
+        assert [p.count("BroadcastHashJoin") for p in plans_of] == [1, 0, 0]
+        assert [p.count("SortMergeJoin") for p in plans_of] == [1, 2, 2]  # the sizes' join is Spark's own choice
+        assert sorted(map(tuple, few.collect())) == sorted(map(tuple, many.collect()))
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+
+
 def test_states_are_told_from_one_row_a_view(spark, sf_dir):
     lines = plans.QUERIES["older_views_exhausted"](spark, sf_dir)._jdf.queryExecution().optimizedPlan().toString()
     assert lines.index("Generate explode") < lines.index("Aggregate [")  # the states come after the sums
