@@ -34,6 +34,16 @@ def test_views_of_few_kinds_are_not_shuffled(spark, sf_dir, monkeypatch):
         spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
 
 
+def test_documents_are_gathered_in_parts(spark, sf_dir, monkeypatch):
+    """Parts are bounded by what their images take: frames are dealt out once, before they have any."""
+    monkeypatch.setattr(P, "GATHERED_BYTES", 1 << 20)
+    docs = Q.to_response(spark, sf_dir)
+    plan = docs._jdf.queryExecution().executedPlan().toString()
+    assert plan.index("ObjectHashAggregate") < plan.index("BroadcastHashJoin") < plan.index("REPARTITION_BY_NUM")
+    sizes = [r.n for r in docs.groupBy(F.spark_partition_id()).agg(F.sum(F.length("document")).alias("n")).collect()]
+    assert len(sizes) > 2 and max(sizes) < 2 << 20 and sum(sizes) < len(sizes) << 20
+
+
 def test_states_are_told_from_one_row_a_view(spark, sf_dir):
     lines = plans.QUERIES["older_views_exhausted"](spark, sf_dir)._jdf.queryExecution().optimizedPlan().toString()
     assert lines.index("Generate explode") < lines.index("Aggregate [")  # the states come after the sums
