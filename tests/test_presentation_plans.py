@@ -44,6 +44,34 @@ def test_documents_are_gathered_in_parts(spark, sf_dir, monkeypatch):
     assert len(sizes) > 2 and max(sizes) < 2 << 20 and sum(sizes) < len(sizes) << 20
 
 
+def _copies(spark, sf_dir, tmp_path, n, rows="true"):
+    """A folder of n copies of the events that ``rows`` names: other users and ids, the same contents in the same order."""
+    e = spark.read.parquet(f"{sf_dir}/events.parquet").filter(rows).crossJoin(spark.range(n).withColumnRenamed("id", "i"))
+    e = e.withColumns({"user_id": F.expr("user_id + i * 100000"), "event_id": F.expr("event_id + i * 32000000")}).drop("i")
+    e.write.parquet(f"{tmp_path}/copies/events.parquet")
+    return f"{tmp_path}/copies"
+
+
+def test_documents_that_show_the_same_lie_together(spark, sf_dir, tmp_path):
+    """Their images are repeated, which the codec of the files finds only in rows that are near each other."""
+    d = _copies(spark, sf_dir, tmp_path, 40, "user_id < 5")
+    docs, size = Q.to_response(spark, d), lambda at: sum(f.stat().st_size for f in at.rglob("*.parquet"))
+    docs.write.parquet(f"{tmp_path}/docs")
+    spark.read.parquet(f"{tmp_path}/docs").orderBy("stack_id").write.parquet(f"{tmp_path}/any")
+    assert size(tmp_path / "docs") < 0.5 * size(tmp_path / "any")
+    plan = docs._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange rangepartitioning") == 1 and plan.index("BroadcastHashJoin") < plan.index("Exchange rangepartitioning")
+
+
+def test_documents_that_all_show_the_same_are_dealt_out(spark, sf_dir, tmp_path, monkeypatch):
+    d = _copies(spark, sf_dir, tmp_path, 400, "event_id = 31")
+    monkeypatch.setattr(P, "GATHERED_BYTES", 1 << 20)
+    docs = Q.to_response(spark, d)
+    parts = docs.groupBy(F.spark_partition_id()).agg(F.count("*").alias("n"), F.sum(F.length("document")).alias("chars")).collect()
+    assert sum(r.n for r in parts) == 400 and docs.select("stack_id").distinct().count() == 400
+    assert len(parts) > 2 and max(r.chars for r in parts) < 2 << 20
+
+
 def test_states_are_told_from_one_row_a_view(spark, sf_dir):
     lines = plans.QUERIES["older_views_exhausted"](spark, sf_dir)._jdf.queryExecution().optimizedPlan().toString()
     assert lines.index("Generate explode") < lines.index("Aggregate [")  # the states come after the sums
